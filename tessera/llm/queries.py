@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.llm import oracles
 from tessera.llm.chat_formatting import format_chats, loss_text, read_turns
 from tessera.llm.common import table
+from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.mixing import mix
 from tessera.llm.secret_scans import secret_scan, spans_text
 
@@ -59,3 +60,8 @@ def op7_chat_formatting(spark, sf_dir):
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
