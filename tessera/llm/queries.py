@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import oracles
+from tessera.llm import language_id, oracles, toxicity
 from tessera.llm.chat_formatting import format_chats, loss_text, read_turns
 from tessera.llm.common import table
+from tessera.llm.decontamination import decontaminate
 from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.mixing import mix
 from tessera.llm.secret_scans import secret_scan, spans_text
@@ -40,6 +41,32 @@ def op3_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language_id.train(docs)
+    found = docs.withColumn("found", language_id.language(F.col("text"), net))
+    return found.select(
+        "doc_id",
+        (toxicity.fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+        F.col("found.lang").alias("lang_pred"),
+        F.col("found.score").alias("score"),
+    )
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.toxicity(F.col("text"), model).alias("score"))
+    return scored.select(
+        "doc_id",
+        (toxicity.fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op7_chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -65,3 +92,8 @@ def op7_chat_formatting(spark, sf_dir):
 @query
 def op8_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@query
+def op10_decontamination(spark, sf_dir):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
