@@ -30,6 +30,7 @@ COUNTERS = 1 << 20
 BLOCK = 1 << 12
 LEADERS = 4
 BINS = 16
+_BINS = pa.list_(pa.int32())
 #: Documents to verify are looked up by broadcasting their ids up to this many, by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -52,7 +53,7 @@ def _measure(k: int):
                     own = hashes[at[i] : at[i + 1]]
                     n.append(len(own))
                     sig.append(_signature(own) if len(own) else None)
-                    bins.append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=BINS).astype(np.int32).tobytes())
+                    bins.append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=BINS).astype(np.int32))
                 waiting.append((hashes & np.uint64(COUNTERS - 1)).astype(np.int64))
                 held += len(hashes)
                 if held > 1 << 21:
@@ -60,7 +61,7 @@ def _measure(k: int):
                     waiting, held = [], 0
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array(bins, pa.binary())]
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array(bins, _BINS)]
                 + [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                 names=["doc_id", "n", "sig", "bins", "block", "counts"],
             )
@@ -69,7 +70,7 @@ def _measure(k: int):
         used = [b for b in range(COUNTERS // BLOCK) if counters[b * BLOCK : (b + 1) * BLOCK].any()]
         for b in used:
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, _BINS)]
                 + [pa.array([b], pa.int32()), pa.array([counters[b * BLOCK : (b + 1) * BLOCK].astype(np.uint32).tobytes()], pa.binary())],
                 names=["doc_id", "n", "sig", "bins", "block", "counts"],
             )
@@ -166,7 +167,7 @@ class JaccardJoin:
         return (100 * small >= t * large) & indexed & (reach >= self.least_overlap(xn, yn))
 
     def measure(self) -> None:
-        kinds = "doc_id long, n int, sig long, bins binary, block int, counts binary"
+        kinds = "doc_id long, n int, sig long, bins array<int>, block int, counts binary"
         out = staged(self.docs.mapInArrow(_measure(self.k), kinds), "jaccard-sets")
         self.rows = out.where("block is null").select("doc_id", "n", "sig", "bins")
         blocks = out.where("block is not null").select("block", "counts").repartition("block")
@@ -212,8 +213,7 @@ class JaccardJoin:
         )
         t = self.percent
         least = self.least_overlap(F.col("a_.n"), F.col("b_.n"))
-        byte = lambda c, i: F.conv(F.hex(F.reverse(F.substring(F.col(f"{c}_.bins"), 4 * i + 1, 4))), 16, 10).cast("int")
-        apart = sum(F.abs(byte("a", i) - byte("b", i)) for i in range(BINS))
+        apart = sum(F.abs(F.col("a_.bins")[i] - F.col("b_.bins")[i]) for i in range(BINS))
         close = pairs.join(node("a"), "a").join(node("b"), "b").where(apart <= F.col("a_.n") + F.col("b_.n") - 2 * least)
         close = staged(
             close.select("a", F.col("a_.doc_id").alias("a_doc"), "b", F.col("b_.doc_id").alias("b_doc")), "jaccard-pairs"

@@ -64,6 +64,8 @@ def corpus(seed):
         rows.append((n, " ".join(copy)))
         n += 1
     rows += [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "One two"), (n + 4, "one TWO"), (n + 5, "one two three é"), (n + 6, "É x")]
+    long = [r.choice(words) for _ in range(9000)]
+    rows += [(n + 20, " ".join(long)), (n + 21, " ".join(long[:8900])), (n + 22, " ".join(long[:5000]))]
     rows += [(n + 7, "w1 " * 20_000), (n + 8, "w1 " * 30_000)]
     return rows
 
