@@ -1,5 +1,30 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+OP1_SUBSTRING_DEDUP = r"""
+WITH cut AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos,
+         len(string_split(text, chr(10))) AS n
+  FROM documents
+), placed AS (
+  SELECT *, length(line) + CASE WHEN pos < n THEN 1 ELSE 0 END AS size,
+         translate(trim(regexp_replace(line, '[ \t\r]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS clean
+  FROM cut
+), ranked AS (
+  SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto,
+         length(clean) >= 20 AND row_number() OVER (PARTITION BY clean ORDER BY doc_id, pos) > 1 AS gone
+  FROM placed
+), kept AS (
+  SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+         CAST(coalesce(sum(size) FILTER (gone), 0) AS BIGINT) AS n_removed_chars,
+         coalesce(string_agg(CAST(CAST(upto - size AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (gone), '') AS spans,
+         coalesce(string_agg(CASE WHEN pos < n THEN line || chr(10) ELSE line END, '' ORDER BY pos) FILTER (NOT gone), '') AS text
+  FROM ranked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(n_removed_chars, 0) AS n_removed_chars,
+       coalesce(k.spans, '') AS spans, k.text
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
 OP3_SOURCE_MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS key,
@@ -56,3 +81,17 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length(escaped) + 7 + CASE WHEN opens THEN 5 + length(role) + 7 ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+OP9_TOPK_SEARCH = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""

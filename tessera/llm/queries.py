@@ -11,6 +11,9 @@ from tessera.llm.decontamination import decontaminate
 from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.mixing import mix
 from tessera.llm.secret_scans import secret_scan, spans_text
+from tessera.llm.substring_dedup import substring_dedup
+from tessera.llm.suffix_dedup import suffix_dedup
+from tessera.llm.topk_search import top_k
 
 QUERIES = {}
 ORACLES = {}
@@ -23,6 +26,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_substring_dedup(spark, sf_dir):
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    pairs = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return out.select("doc_id", "n_removed", "n_removed_chars", F.array_join(pairs, ",").alias("spans"), "text")
+
+
 @query
 def op2_secret_scans(spark, sf_dir):
     found = secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -41,6 +51,12 @@ def op3_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -94,6 +110,11 @@ def op8_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+@query
+def op9_topk_search(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op10_decontamination(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
