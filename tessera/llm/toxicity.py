@@ -15,6 +15,7 @@ rows score alike; without any label of one class every score is the share of tox
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -74,6 +75,36 @@ class Words:
         self.buckets, self.owner = np.concatenate(grams).astype(np.int64), np.concatenate(owners)
         self.weight = 1.0 / np.maximum(1, np.bincount(self.owner, minlength=len(s)))
 
+    @classmethod
+    def together(cls, data: np.ndarray, offsets: np.ndarray) -> Words:
+        """As if made at once, a step of the texts at a time."""
+        parts = [cls(data, offsets[a : b + 1]) for a, b in steps(offsets) if offsets[b] > offsets[a]]
+        out = cls.__new__(cls)
+        held = [w.hashes for w in parts]
+        out.hashes, first, new = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_index=True, return_inverse=True)
+        is_first = np.zeros(len(new), dtype=bool)
+        is_first[first] = True
+        ids, buckets, owner, at = [], [], [], 0
+        for w in parts:
+            to, fresh = new[at : at + len(w.hashes)], is_first[at : at + len(w.hashes)]
+            at += len(w.hashes)
+            ids.append(to[w.ids].astype(np.int32))
+            keep = fresh[w.owner]
+            buckets.append(w.buckets[keep].astype(np.int32))
+            owner.append(to[w.owner[keep]].astype(np.int32))
+        none = np.zeros(0, np.int32)
+        out.ids, out.buckets, out.owner = (np.concatenate([none, *x]) for x in (ids, buckets, owner))
+        out.weight = 1.0 / np.maximum(1, np.bincount(out.owner, minlength=len(out.hashes)))
+        counts, k = [], 0
+        for a, b in steps(offsets):
+            if offsets[b] > offsets[a]:
+                counts.append(np.diff(parts[k].texts))
+                k += 1
+            else:
+                counts.append(np.zeros(b - a, np.int64))
+        out.texts = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))])
+        return out
+
     def scores(self, table: np.ndarray) -> np.ndarray:
         """Of each word occurrence: the average of its subwords' entries."""
         per = np.bincount(self.owner, weights=table[self.buckets], minlength=len(self.weight)) * self.weight
@@ -134,7 +165,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3, steps_each: int =
         return Model(np.zeros(BUCKETS), 0.0, 0.0, float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
     data, offsets = utf8(_lower(pa.array(texts, pa.large_string())))
-    words = Words(data, offsets)
+    words = Words.together(data, offsets)
     first, last = words.texts[:-1], words.texts[1:]
     # stretches every half span, whose average is over the words there are
     starts = [np.arange(a, max(a + 1, b - SPAN + 1), SPAN // 2) for a, b in zip(first, last) if b > a]
@@ -225,9 +256,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         taken = part if taken is None else taken.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = texts.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "text", "toxic"], na_position="first")
-    return fit([t or "" for t in rows["text"]], list(rows["toxic"]))
+    rows = texts.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "toxic").repartition(1)
+    # the sample is bounded, so one task fits the model; only the model comes to the driver
+    got = rows.mapInPandas(_fit_task, "model binary, slope double, shift double, constant double").first()
+    if got is None:  # no row, no task
+        return fit([], [])
+    return Model(np.frombuffer(got[0], np.float32), got[1], got[2], got[3])
+
+
+def _fit_task(batches):
+    held = [b for b in batches if len(b)]
+    texts, labels = [], []
+    if held:
+        rows = pd.concat(held).sort_values(["doc_id", "text", "toxic"], na_position="first")
+        texts, labels = [t or "" for t in rows["text"]], [int(x) for x in rows["toxic"]]
+    m = fit(texts, labels)
+    yield pd.DataFrame({"model": [m.table.tobytes()], "slope": [m.slope], "shift": [m.shift], "constant": pd.Series([m.constant], dtype=object)})
 
 
 def toxicity(text: Column, model: Model) -> Column:
