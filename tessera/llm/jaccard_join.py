@@ -8,8 +8,12 @@ the shorter set's index prefix.
 
 A large group of similar texts isn't paired off: in each prefix group every node is first compared with one leader only,
 leaders being the same over a group's shingles for each of ``LEADERS`` orders. What these links connect needs no
-further comparison; the second pass compares the nodes of a prefix group outside its largest component with all
-nodes of other components, so every link between components is found, and none within one is needed.
+further comparison. Rounds with other leaders, taken from each group's largest component, follow while they pay; the last
+pass compares the nodes outside their group's largest component with all nodes of other components, so every link between
+components is found, and none within one is needed.
+
+The suffix filter is a string of ``PARITY`` bits for each node, the parity of its shingles' number in as many hash ranges:
+each item that only one of two sets has flips one bit, so sets can't link where more bits differ than items may.
 
 Results by case: null text, empty text and text without words make an empty set, linked with nothing; repeated rows are
 rows of their own with one component; an empty table gives no rows; only the named columns are read.
@@ -29,8 +33,11 @@ from tessera.llm.hashing import mix, shingle_sets, steps, utf8
 COUNTERS = 1 << 20
 BLOCK = 1 << 12
 LEADERS = 4
-BINS = 16
-_BINS = pa.list_(pa.int32())
+#: Rounds with leaders at most, and the share of rows that one must settle for another to follow.
+ROUNDS, PAYS = 8, 0.1
+PARITY = 512
+_WORDS = PARITY // 64
+_BINS = pa.list_(pa.int64())
 #: Documents to verify are looked up by broadcasting their ids up to this many, by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -53,7 +60,8 @@ def _measure(k: int):
                     own = hashes[at[i] : at[i + 1]]
                     n.append(len(own))
                     sig.append(_signature(own) if len(own) else None)
-                    bins.append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=BINS).astype(np.int32))
+                    flips = np.bincount((own >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+                    bins.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
                 waiting.append((hashes & np.uint64(COUNTERS - 1)).astype(np.int64))
                 held += len(hashes)
                 if held > 1 << 21:
@@ -167,7 +175,7 @@ class JaccardJoin:
         return (100 * small >= t * large) & indexed & (reach >= self.least_overlap(xn, yn))
 
     def measure(self) -> None:
-        kinds = "doc_id long, n int, sig long, bins array<int>, block int, counts binary"
+        kinds = "doc_id long, n int, sig long, bins array<bigint>, block int, counts binary"
         out = staged(self.docs.mapInArrow(_measure(self.k), kinds), "jaccard-sets")
         self.rows = out.where("block is null").select("doc_id", "n", "sig", "bins")
         blocks = out.where("block is not null").select("block", "counts").repartition("block")
@@ -193,55 +201,95 @@ class JaccardJoin:
         x = x.where(F.col("x.sig") != F.col("y.sig")).where(self._may_link("x", "y"))
         return x.select(*_ordered_pair(F.col("x.sig"), F.col("y.sig"))).distinct()
 
-    def _cross_pairs(self, groups: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs of nodes that share a prefix shingle and are in different components so far."""
-        wide = groups.where("members > 2").select("h", "sig", "n", "pos").distinct()
-        wide = wide.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-        wide = staged(wide.withColumn("root", F.coalesce("root", "sig")), "jaccard-wide")
-        per = wide.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
+    def _apart(self, x: Column, y: Column) -> Column:
+        """At least so many items are in one of the sets only."""
+        return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(_WORDS)), F.lit(0))
+
+    def _near(self, x: str, y: str) -> Column:
+        """The suffix filter."""
+        n = F.col(f"{x}.n") + F.col(f"{y}.n")
+        return self._apart(F.col(f"{x}.bins"), F.col(f"{y}.bins")) <= n - 2 * self.least_overlap(F.col(f"{x}.n"), F.col(f"{y}.n"))
+
+    def _split_groups(self, wide: DataFrame, roots: DataFrame) -> DataFrame:
+        """Rows of the groups that have several components so far, with their root and their group's largest one (main)."""
+        rooted = wide.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        per = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
         main = per.groupBy("h").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-        wide = wide.join(main.where("roots > 1"), "h")
-        mine = wide.where(F.col("root") != F.col("main")).alias("x")
-        met = mine.join(wide.alias("y"), "h").where(F.col("x.root") != F.col("y.root"))
-        met = met.where((F.col("y.root") == F.col("y.main")) | (F.col("x.sig") < F.col("y.sig"))).where(self._may_link("x", "y"))
+        return rooted.join(main.where("roots > 1").drop("roots"), "h")
+
+    def _round_pairs(self, split: DataFrame, nth: int) -> DataFrame:
+        """Each row outside its group's main component with a leader out of that."""
+        order = F.xxhash64("sig", F.pmod("h", F.lit(LEADERS)), F.lit(nth))
+        inside = split.where(F.col("root") == F.col("main"))
+        lead = inside.groupBy("h").agg(F.min_by(F.struct("sig", "n", "pos", "bins"), order).alias("y"))
+        outside = split.where(F.col("root") != F.col("main")).select("h", F.struct("sig", "n", "pos", "bins").alias("x"))
+        met = outside.join(lead, "h").where(self._may_link("x", "y") & self._near("x", "y"))
         return met.select(*_ordered_pair(F.col("x.sig"), F.col("y.sig"))).distinct()
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link: suffix filter by the sets' counts in hash ranges, then the exact intersection, once a pair."""
-        node = lambda c: self.nodes.select(
-            F.col("sig").alias(c), F.struct("doc_id", "n", "bins").alias(f"{c}_")
-        )
-        t = self.percent
-        least = self.least_overlap(F.col("a_.n"), F.col("b_.n"))
-        apart = sum(F.abs(F.col("a_.bins")[i] - F.col("b_.bins")[i]) for i in range(BINS))
-        close = pairs.join(node("a"), "a").join(node("b"), "b").where(apart <= F.col("a_.n") + F.col("b_.n") - 2 * least)
-        close = staged(
-            close.select("a", F.col("a_.doc_id").alias("a_doc"), "b", F.col("b_.doc_id").alias("b_doc")), "jaccard-pairs"
-        )
-        wanted = close.select(F.col("a").alias("sig"), F.col("a_doc").alias("doc_id")).union(close.select("b", "b_doc")).distinct()
-        wanted = staged(wanted, "jaccard-wanted")
+    def _cross_pairs(self, split: DataFrame) -> DataFrame:
+        """All pairs that share a prefix shingle and are in different components."""
+        x, y = split.where(F.col("root") != F.col("main")).alias("x"), split.alias("y")
+        once = (F.col("y.root") == F.col("y.main")) | (F.col("x.sig") < F.col("y.sig"))
+        met = x.join(y, F.col("x.h") == F.col("y.h")).where((F.col("x.root") != F.col("y.root")) & once)
+        met = met.where(self._may_link("x", "y") & self._near("x", "y"))
+        return met.select(*_ordered_pair(F.col("x.sig"), F.col("y.sig"))).distinct()
+
+    def _with_nodes(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that pass the suffix filter."""
+        node = lambda c: self.nodes.select(F.col("sig").alias(c), F.struct("n", "bins").alias(f"{c}_"))
+        return pairs.join(node("a"), "a").join(node("b"), "b").where(self._near("a_", "b_")).select("a", "b")
+
+    def _items(self, sigs: DataFrame) -> DataFrame:
+        """sig, items: the sets of these nodes, made again from one document of each."""
+        wanted = staged(sigs.distinct().join(self.nodes.select("sig", "doc_id"), "sig"), "jaccard-wanted")
         ids = wanted.select("doc_id").distinct()
         if wanted.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
-        sets = self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
-            _sets(self.k), "doc_id long, sig long, items array<long>"
-        )
-        sets = staged(sets, "jaccard-items")
-        item = lambda c: sets.select(
-            F.col("sig").alias(c), F.col("doc_id").alias(f"{c}_doc"), F.col("items").alias(f"{c}_items")
-        )
-        met = close.join(item("a"), ["a", "a_doc"]).join(item("b"), ["b", "b_doc"])
+        sets = self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+        sets = sets.mapInArrow(_sets(self.k), "doc_id long, sig long, items array<bigint>")
+        return staged(sets.join(wanted, ["sig", "doc_id"], "left_semi").select("sig", "items"), "jaccard-items")
+
+    def _verified(self, pairs: DataFrame, items: DataFrame) -> DataFrame:
+        """The pairs that link, by their exact intersection."""
+        few = pairs.count() <= BROADCAST_IDS
+
+        def needed(c: str) -> DataFrame:
+            ids = pairs.select(F.col(c).alias("sig")).distinct()
+            own = items.join(F.broadcast(ids) if few else ids, "sig", "left_semi")
+            return own.select(F.col("sig").alias(c), F.col("items").alias(f"{c}_items"))
+
+        met = pairs.join(needed("a"), "a").join(needed("b"), "b")
         both = F.size(F.array_intersect("a_items", "b_items"))
         either = F.size("a_items") + F.size("b_items") - both
-        return staged(met.where(100 * both >= t * either).select("a", "b").distinct(), "jaccard-links")
+        return staged(met.where(100 * both >= self.percent * either).select("a", "b").distinct(), "jaccard-links")
 
     def link(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every document."""
         self.measure()
         groups = self.groups()
-        links = self._verified(self._leader_pairs(groups))
-        roots = components(links)
-        more = self._verified(self._cross_pairs(groups, roots))
+        tried = staged(self._with_nodes(self._leader_pairs(groups)), "jaccard-pairs")
+        wide = groups.where("members > 2").select("h", "sig", "n", "pos").distinct()
+        wide = staged(wide.join(self.nodes.select("sig", "bins"), "sig"), "jaccard-wide")
+        sigs = tried.select(F.col("a").alias("sig")).union(tried.select("b")).union(wide.select("sig"))
+        items = self._items(sigs)
+        links = self._verified(tried, items)
+        roots, left = components(links), None
+        for nth in range(1, ROUNDS + 1):
+            wide = staged(self._split_groups(wide, roots), "jaccard-split")
+            outside = wide.where("root <> main").count()
+            if outside == 0 or left is not None and outside > (1 - PAYS) * left:
+                break
+            left = outside
+            pairs = staged(self._round_pairs(wide, nth).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+            more = self._verified(pairs, items)
+            tried, links = tried.union(pairs), links.union(more)
+            if not more.isEmpty():
+                roots = components(links)
+            wide = wide.drop("root", "main")
+        else:
+            wide = staged(self._split_groups(wide, roots), "jaccard-split")
+        pairs = staged(self._cross_pairs(wide).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        more = self._verified(pairs, items)
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
