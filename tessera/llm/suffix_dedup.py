@@ -1,13 +1,15 @@
 """Suffix-array dedup: remove every byte covered by a string of ``size`` bytes that also starts earlier.
 
+Texts that are equal to one with a smaller id go whole (if they hold a window); only first copies are looked into.
+
 A window of ``size`` bytes is named by the least hash of its ``GRAM``-byte strings, so equal windows have equal names. A run of windows
 with one name is a segment; long runs are cut into pieces of ``PIECE`` windows. Three steps, all by name:
 
 1. Names are counted; a Bloom filter of fixed size holds those that occur twice. Where they are too many for it, names are
    handled in slices, one scan each.
-2. Segments with such names are written out. Equal segments are one: its first occurrence (by document id, then start) stands for all, and
-   the others are removed whole. This is a partial aggregation, so a passage with many copies is one row a task.
-3. Names that still have several different segments (or a segment that repeats its own name) go to shards. A shard's segments are joined into
+2. Segments with such names are written out by digest. Equal segments are one: its first occurrence (by document id, then start) stands
+   for all, and the others are removed whole. This is a partial aggregation, so a passage with many copies is one row a task.
+3. The bytes of names that still have several different segments (or a segment that repeats its own name) go to shards. A shard's segments are joined into
    one string; its suffix array is built by induced sorting, and permuted common prefixes of ``size`` or more show the equal
    windows, of which the earliest stays.
 
@@ -32,6 +34,8 @@ from tessera.llm.suffix_array import permuted_lcp, suffix_array
 SIZE, GRAM, PIECE = 100, 24, 256
 #: Bits of the Bloom filter, names it serves at once, and bytes of a shard's string.
 BLOOM_BITS, SLICE_KEYS, SHARD_BYTES = 1 << 26, 8_000_000, 2_000_000
+#: Later copies are kept out of the scans by broadcasting their ids up to this many, by a shuffle beyond.
+BROADCAST_IDS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -105,7 +109,7 @@ def _names(size: int):
     return run
 
 
-def _kept_segments(size: int, bloom, slices: int, nth: int):
+def _kept_segments(size: int, bloom, slices: int, nth: int, with_bytes: bool):
     def run(batches):
         bits, top = bloom.value, np.uint64(BLOOM_BITS - 1)
         has = lambda at: (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
@@ -133,8 +137,8 @@ def _kept_segments(size: int, bloom, slices: int, nth: int):
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(s.start[at].astype(np.int32))]
                     + [pa.array(s.windows[at].astype(np.int32)), pa.array(s.name[at].view(np.int64)), pa.array(s.again[at])]
                     + [pa.array(digests[:, 0]), pa.array(digests[:, 1])]
-                    + [pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(flat)])],
-                    names=["doc_id", "copy", "start", "windows", "name", "again", "d1", "d2", "bytes"],
+                    + ([pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(flat)])] if with_bytes else []),
+                    names=["doc_id", "copy", "start", "windows", "name", "again", "d1", "d2"] + ["bytes"] * with_bytes,
                 )
 
     return run
@@ -238,22 +242,26 @@ def removed_spans(docs: DataFrame, size: int, shard_bytes: int, slice_keys: int)
     names = docs.select("text").mapInArrow(_names(size), "name long, n int")
     names = staged(names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name"), "suffix-names")
     slices = max(1, -(-names.count() // slice_keys))
-    kinds = "doc_id long, copy long, start int, windows int, name long, again boolean, d1 long, d2 long, bytes binary"
-    out = None
+    kinds = "doc_id long, copy long, start int, windows int, name long, again boolean, d1 long, d2 long"
+    where, out = F.struct("doc_id", "copy", "start"), None
+    scan = docs.select("doc_id", "copy", "text")
     for nth in range(slices):
         mine = names if slices == 1 else names.where(_unsigned_mod(slices) == nth)
-        kept = docs.select("doc_id", "copy", "text").mapInArrow(_kept_segments(size, _bloom(mine), slices, nth), kinds)
-        kept = staged(kept, "suffix-segments")
-        where = F.struct("doc_id", "copy", "start")
+        kept = staged(scan.mapInArrow(_kept_segments(size, _bloom(mine), slices, nth, False), kinds), "suffix-segments")
         firsts = kept.groupBy("d1", "d2").agg(
-            F.min(where).alias("first"), F.max(where).alias("last"), F.any_value("bytes").alias("bytes"),
-            F.min("name").alias("name"), F.max("again").alias("again"),
+            F.min(where).alias("first"), F.max(where).alias("last"), F.min("name").alias("name"), F.max("again").alias("again")
         )
         firsts = staged(firsts, "suffix-firsts")
         copied = firsts.where(F.col("first") != F.col("last")).select("d1", "d2", "first")
         later = kept.select("d1", "d2", "doc_id", "copy", "start", "windows").join(copied, ["d1", "d2"]).where(where != F.col("first"))
         later = later.select("doc_id", "copy", "start", (F.col("start") + F.col("windows") + (size - 1)).alias("end"))
-        rows = firsts.select("name", "first.doc_id", "first.copy", "first.start", "again", "bytes")
+        mixed = firsts.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again")
+        mixed = _bloom(staged(mixed.select("name"), "suffix-mixed"))
+        cut = scan.mapInArrow(_kept_segments(size, mixed, slices, nth, True), kinds + ", bytes binary")
+        cut = cut.groupBy("d1", "d2").agg(
+            F.min(where).alias("first"), F.any_value("bytes").alias("bytes"), F.min("name").alias("name"), F.max("again").alias("again")
+        )
+        rows = cut.select("name", "first.doc_id", "first.copy", "first.start", "again", "bytes")
         sharded = rows.repartition("name").sortWithinPartitions("name")
         shown = sharded.mapInArrow(_shards(size, shard_bytes), "doc_id long, copy long, start int, end int")
         both = later.union(shown)
@@ -307,7 +315,17 @@ def suffix_dedup(
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that are left)."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("copy", F.xxhash64("text"))
-    spans = removed_spans(docs, size, shard_bytes, slice_keys)
+    ids = docs.select("doc_id", "copy", F.octet_length("text").alias("end"), F.sha2("text", 256).alias("whole"))
+    ids = staged(ids.where(F.col("end") >= size), "suffix-texts")
+    first = ids.groupBy("whole").agg(F.min(F.struct("doc_id", "copy")).alias("first"), F.max(F.struct("doc_id", "copy")).alias("last"))
+    first = first.where(F.col("first") != F.col("last")).select("whole", "first")
+    again = ids.join(first, "whole").where(F.struct("doc_id", "copy") != F.col("first"))
+    again = staged(again.select("doc_id", "copy", F.lit(0).alias("start"), "end").distinct(), "suffix-copies")
+    gone = again.select(F.col("doc_id").alias("s_id"), F.col("copy").alias("s_copy"))
+    if again.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    fresh = docs.join(gone, (F.col("doc_id") == F.col("s_id")) & (F.col("copy") == F.col("s_copy")), "left_anti")
+    spans = removed_spans(fresh, size, shard_bytes, slice_keys).union(again)
     spans = spans.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("s_id"), F.col("copy").alias("s_copy"), "spans")
     out = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("copy") == F.col("s_copy")), "left")
