@@ -1,3 +1,12 @@
 """tessera: a composable, typed query and data-mapping layer for Spark DataFrames."""
 
-__version__ = "0.1.0"
+from tessera.operators.changeset import Changeset
+from tessera.operators.multi import Multi
+from tessera.operators.repo import Engine
+from tessera.plans.query import assoc, dynamic, from_, subquery, values
+from tessera.plans.schema import Embed, Field, Schema, belongs_to, has_many, has_one, many_to_many, through
+
+__all__ = [
+    "Changeset", "Embed", "Engine", "Field", "Multi", "Schema", "assoc", "belongs_to", "dynamic", "from_", "has_many", "has_one",
+    "many_to_many", "subquery", "through", "values",
+]

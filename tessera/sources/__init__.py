@@ -1 +1,16 @@
+"""Tables from folders of files."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, path: str, kind: str = "parquet", **options) -> Callable[[str], DataFrame]:
+    """name -> the table stored as <path>/<name>.<kind>; columns and filters are pushed into the scan."""
+
+    def table(name: str) -> DataFrame:
+        return spark.read.format(kind).options(**options).load(f"{path}/{name}.{kind}")
+
+    return table
