@@ -368,7 +368,10 @@ class Member(Expr):
         if isinstance(values, Param):
             values = values.value
         if isinstance(values, Expr):
-            return F.array_contains(values.build(ctx), _fit(ctx, self.item, values))
+            kind, item = values.type(ctx), self.item
+            if isinstance(item, Lit) and isinstance(kind, tuple):
+                item = Param(item.value, kind[1])
+            return F.array_contains(values.build(ctx), item.build(ctx))
         if values is None or isinstance(values, str) or not isinstance(values, Iterable):
             raise QueryError(f"in needs a list, not {values!r}")
         values = [wrap(tuple_or(v)) for v in values]

@@ -423,7 +423,7 @@ def _(engine):
     return from_("documents").left_join("labels", on=lambda d, l: d.doc_id == l.doc_id).select(lambda d, l: {"doc_id": d.doc_id, "v": coalesce(l.quality, coalesce(l.toxic, -1))})
 
 
-@query("repo_aggregate_limit", "SELECT sum(v) AS value FROM (SELECT o_orderkey AS v FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10)")
+@query("repo_aggregate_limit", "SELECT CAST(sum(v) AS BIGINT) AS value FROM (SELECT o_orderkey AS v FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10)")
 def _(engine):
     q = from_("orders").select(lambda o: {"o_orderkey": o.o_orderkey}).order_by(lambda o: [("desc", o.o_totalprice), o.o_orderkey]).limit(10)
     return engine.aggregate_frame(q, "sum", "o_orderkey")
@@ -565,7 +565,7 @@ def _(engine):
     return from_("t").recursive_ctes().with_cte("t", fragment("SELECT 1 AS n UNION ALL SELECT n + 1 FROM t WHERE n < ?", 60)).select(["n"])
 
 
-@query("cte_recursive_union", "WITH RECURSIVE t(n) AS (SELECT 1 UNION SELECT (n * 2) % 11 FROM t) SELECT n FROM t")
+@query("cte_recursive_union", "WITH RECURSIVE t(n) AS (SELECT 1 UNION SELECT (n * 2) % 11 FROM t) SELECT CAST(n AS BIGINT) AS n FROM t")
 def _(engine):
     anchor = from_(values([{"n": 1}], {"n": "integer"})).select(lambda v: {"n": v.n})
     step = from_("t").select(lambda t: {"n": fragment("(? * 2) % 11", t.n)})
@@ -646,7 +646,7 @@ def _upsert(name, conflict, name_sql, size_sql):
         return done.table.select("p_partkey", "p_name", "p_size")
 
 
-_NAME, _SIZE = "CASE p_partkey WHEN 1 THEN 'a' ELSE 'b' END", "p_partkey + 90"
+_NAME, _SIZE = "CASE p_partkey WHEN 1 THEN 'a' ELSE 'b' END", "CAST(p_partkey + 90 AS INTEGER)"
 _upsert("nothing", lambda: "nothing", "p_name", "p_size")
 _upsert("replace", lambda: ("replace", ["p_name"]), _NAME, "p_size")
 _upsert("replace_all", lambda: "replace_all", _NAME, _SIZE)

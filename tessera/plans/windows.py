@@ -95,10 +95,12 @@ def build_over(ctx, function: Expr, window):
 
 def _function(ctx, f: WindowFunction, w, whole, terms):
     ranked = w if terms else whole.orderBy(F.lit(1))
-    if f.name in ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist"):
+    if f.name in ("percent_rank", "cume_dist"):
         return getattr(F, f.name)().over(ranked)
+    if f.name in ("row_number", "rank", "dense_rank"):
+        return getattr(F, f.name)().over(ranked).cast("long")
     if f.name == "ntile":
-        return F.ntile(f.args[0]).over(ranked)
+        return F.ntile(f.args[0]).over(ranked).cast("long")
     value = f.args[0].build(ctx)
     if f.name in ("first_value", "last_value"):
         return getattr(F, f.name)(value).over(w)
