@@ -5,24 +5,40 @@ WITH cut AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos,
          len(string_split(text, chr(10))) AS n
   FROM documents
-), placed AS (
-  SELECT *, length(line) + CASE WHEN pos < n THEN 1 ELSE 0 END AS size,
-         translate(trim(regexp_replace(line, '[ \t\r]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS clean
+), lines AS (
+  SELECT *, translate(trim(regexp_replace(line, '[ \t\r]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS clean
   FROM cut
 ), ranked AS (
-  SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto,
-         length(clean) >= 20 AND row_number() OVER (PARTITION BY clean ORDER BY doc_id, pos) > 1 AS gone
-  FROM placed
+  SELECT *, length(clean) >= 20 AND row_number() OVER (PARTITION BY clean ORDER BY doc_id, pos) > 1 AS line_gone FROM lines
+), pieces AS (
+  SELECT doc_id, pos, line_gone, unnest(regexp_extract_all(line, '.*?[.!?][ \t\r]+|.+')) AS piece,
+         generate_subscripts(regexp_extract_all(line, '.*?[.!?][ \t\r]+|.+'), 1) AS k
+  FROM ranked
+), sentences AS (
+  SELECT *, translate(trim(regexp_replace(piece, '[ \t\r]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS clean
+  FROM pieces
+), units AS (
+  SELECT doc_id, pos, k, piece,
+         line_gone OR (length(clean) >= 40 AND row_number() OVER (PARTITION BY clean ORDER BY doc_id, pos, k) > 1) AS gone
+  FROM sentences
+  UNION ALL SELECT doc_id, pos, 1000000000, chr(10), line_gone FROM ranked WHERE pos < n
+), placed AS (
+  SELECT *, sum(length(piece)) OVER w AS upto, gone AND NOT coalesce(lag(gone) OVER w, false) AS opens
+  FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY pos, k ROWS UNBOUNDED PRECEDING)
+), numbered AS (
+  SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos, k ROWS UNBOUNDED PRECEDING) AS run FROM placed
+), runs AS (
+  SELECT doc_id, run, CAST(min(upto - length(piece)) AS BIGINT) AS low, CAST(max(upto) AS BIGINT) AS high FROM numbered WHERE gone GROUP BY doc_id, run
+), spans AS (
+  SELECT doc_id, count(*) AS n_removed, CAST(sum(high - low) AS BIGINT) AS n_removed_chars,
+         string_agg(CAST(low AS VARCHAR) || ':' || CAST(high AS VARCHAR), ',' ORDER BY low) AS spans
+  FROM runs GROUP BY doc_id
 ), kept AS (
-  SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
-         CAST(coalesce(sum(size) FILTER (gone), 0) AS BIGINT) AS n_removed_chars,
-         coalesce(string_agg(CAST(CAST(upto - size AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (gone), '') AS spans,
-         coalesce(string_agg(CASE WHEN pos < n THEN line || chr(10) ELSE line END, '' ORDER BY pos) FILTER (NOT gone), '') AS text
-  FROM ranked GROUP BY doc_id
+  SELECT doc_id, string_agg(piece, '' ORDER BY pos, k) FILTER (NOT gone) AS text FROM units GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(n_removed_chars, 0) AS n_removed_chars,
-       coalesce(k.spans, '') AS spans, k.text
-FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+SELECT d.doc_id, coalesce(s.n_removed, 0) AS n_removed, coalesce(s.n_removed_chars, 0) AS n_removed_chars,
+       coalesce(s.spans, '') AS spans, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 OP3_SOURCE_MIXING = r"""

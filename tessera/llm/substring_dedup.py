@@ -1,11 +1,12 @@
-"""Substring dedup: line hashing with one global table of digests.
+"""Substring dedup: line and sentence hashing with one global table of digests.
 
-A text is cut at line feeds. A line is normalised (A-Z in lower case, runs of blanks, tabs and carriage returns to one blank, both
-ends stripped) and digested; lines with fewer than ``MIN_CHARS`` characters after that are never removed. Of each digest the
-earliest occurrence, by document id, then position, is kept; all others are removed, with their line feed, and their
-code point offsets in the original text are kept.
+A text is cut at line feeds, and each line after a full stop, exclamation or question mark that blanks follow. Lines and sentences
+are normalised (A-Z in lower case, runs of blanks, tabs and carriage returns to one blank, both ends stripped) and digested apart;
+lines with fewer than ``MIN_LINE`` and sentences with fewer than ``MIN_SENTENCE`` characters after that are never removed.
+Of each digest the earliest occurrence, by document id, then position, is kept; all others are removed, a line with its line feed and a
+sentence with its blanks, and their code point offsets in the original text are kept.
 
-Digests are grouped with partial sums, so a line that a third of the documents share is one row a task; lines that
+Digests are grouped with partial sums, so a line that a third of the documents share is one row a task; units that
 occur once are not joined again.
 
 Results by case: null text has no lines and stays null; empty lines stay; null ids rank first; rows that repeat an id and a text
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_CHARS = 20
+MIN_LINE, MIN_SENTENCE = 20, 40
+_SENTENCES = re.compile(r".*?[.!?][ \t\r]+|.+")
 _BLANKS = re.compile(r"[ \t\r]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -31,66 +33,81 @@ def normalise(line: str) -> str:
     return _BLANKS.sub(" ", line).strip(" ").translate(_LOWER)
 
 
-def units(text: Column, min_chars: int = MIN_CHARS) -> Column:
-    """array<struct<pos, start, end, digest>> of the lines long enough to be compared; end includes the line feed."""
+def _spans_of(text: str, min_line: int, min_sentence: int):
+    """(start, end, digest) of each unit long enough to be compared."""
+    at = 0
+    lines = text.split("\n")
+    for pos, line in enumerate(lines):
+        end = at + len(line) + (pos + 1 < len(lines))
+        if len(line) >= min_line and len(clean := normalise(line)) >= min_line:
+            yield at, end, hashlib.blake2b(clean.encode(), digest_size=16, person=b"line").digest()
+        if len(line) >= min_sentence:
+            for m in _SENTENCES.finditer(line):
+                if m.end() - m.start() >= min_sentence and len(clean := normalise(m[0])) >= min_sentence:
+                    digest = hashlib.blake2b(clean.encode(), digest_size=16, person=b"sentence").digest()
+                    yield at + m.start(), at + m.end(), digest
+        at = end
 
-    @F.arrow_udf("array<struct<pos:int,start:int,end:int,digest:binary>>")
+
+def units(text: Column, min_line: int = MIN_LINE, min_sentence: int = MIN_SENTENCE) -> Column:
+    """array<struct<start, end, digest>> of the units long enough to be compared; a line's end includes the line feed."""
+
+    @F.arrow_udf("array<struct<start:int,end:int,digest:binary>>")
     def run(texts: pa.Array) -> pa.Array:
-        out = []
+        starts, ends, digests, cuts = [], [], [], [0]
         for text in texts:
-            rows, at = [], 0
-            lines = (text.as_py() or "").split("\n")
-            for pos, line in enumerate(lines):
-                end = at + len(line) + (pos + 1 < len(lines))
-                if len(line) >= min_chars and len(clean := normalise(line)) >= min_chars:
-                    digest = hashlib.blake2b(clean.encode(), digest_size=16).digest()
-                    rows.append({"pos": pos, "start": at, "end": end, "digest": digest})
-                at = end
-            out.append(rows)
-        kind = pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())])
-        return pa.array(out, pa.list_(kind))
+            for start, end, digest in _spans_of(text.as_py() or "", min_line, min_sentence):
+                starts.append(start)
+                ends.append(end)
+                digests.append(digest)
+            cuts.append(len(starts))
+        own = [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())]
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(own, names=["start", "end", "digest"]))
 
     return run(text)
 
 
 def cut_out(text: Column, spans: Column) -> Column:
-    """The text without the spans (ordered, disjoint)."""
+    """struct<text, spans>: the text without the spans, and the spans joined to maximal runs."""
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("struct<text:string,spans:array<struct<start:int,end:int>>>")
     def run(texts: pa.Array, removed: pa.Array) -> pa.Array:
-        out = []
+        out, runs = [], []
         for text, own in zip(texts.to_pylist(), removed.to_pylist()):
-            if text is not None and own:
+            merged = []
+            for s in sorted((s["start"], s["end"]) for s in own or ()):
+                if merged and s[0] <= merged[-1]["end"]:
+                    merged[-1]["end"] = max(merged[-1]["end"], s[1])
+                else:
+                    merged.append({"start": s[0], "end": s[1]})
+            if merged and text is not None:
                 kept, at = [], 0
-                for s in own:
+                for s in merged:
                     kept.append(text[at : s["start"]])
                     at = s["end"]
                 text = "".join([*kept, text[at:]])
             out.append(text)
-        return pa.array(out, pa.string())
+            runs.append(merged)
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(runs, kind)], names=["text", "spans"])
 
     return run(text, spans)
 
 
-def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row a document: doc_id, text (deduplicated), n_removed, n_removed_chars, spans (array<struct<start, end>>)."""
+def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_line: int = MIN_LINE, min_sentence: int = MIN_SENTENCE) -> DataFrame:
+    """One row a document: doc_id, text (deduplicated), n_removed (runs), n_removed_chars, spans (array<struct<start, end>>)."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("copy", F.xxhash64("text"))
-    lines = docs.select("doc_id", "copy", F.explode(units(F.col("text"), min_chars)).alias("u")).select("doc_id", "copy", "u.*")
-    where = F.struct("doc_id", "copy", "pos")
+    lines = docs.select("doc_id", "copy", F.explode(units(F.col("text"), min_line, min_sentence)).alias("u")).select("doc_id", "copy", "u.*")
+    where = F.struct("doc_id", "copy", "start")
     repeated = lines.groupBy("digest").agg(F.min(where).alias("first"), F.max(where).alias("last"))
     repeated = repeated.where(F.col("first") != F.col("last")).select("digest", "first")
     later = lines.join(repeated, "digest").where(where != F.col("first"))
     # rows that repeat an id and a text give equal spans
-    spans = later.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = later.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("s_id"), F.col("copy").alias("s_copy"), "spans")
     out = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("copy") == F.col("s_copy")), "left")
-    out = out.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    out = out.select("doc_id", cut_out(F.col("text"), F.coalesce("spans", none)).alias("x")).select("doc_id", "x.text", "x.spans")
     chars = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select(
-        "doc_id",
-        cut_out(F.col("text"), F.col("spans")).alias("text"),
-        F.size("spans").cast("long").alias("n_removed"),
-        chars.alias("n_removed_chars"),
-        "spans",
-    )
+    return out.select("doc_id", "text", F.size("spans").cast("long").alias("n_removed"), chars.alias("n_removed_chars"), "spans")

@@ -1,29 +1,39 @@
 """op1 and op9 against brute force, and their special cases."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm.substring_dedup import MIN_CHARS, normalise, substring_dedup
+from tessera.llm.substring_dedup import MIN_LINE, MIN_SENTENCE, normalise, substring_dedup
 from tessera.llm.topk_search import MTree, top_k
 
 
 def brute_lines(rows):
     seen, out = set(), []
     for i, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
-        if text is None:
-            out.append((i, None, 0))
-            continue
-        kept, gone, lines = [], 0, text.split("\n")
+        gone, at = set(), 0
+        lines = (text or "").split("\n")
         for k, line in enumerate(lines):
+            end = at + len(line) + (k + 1 < len(lines))
             clean = normalise(line)
-            if len(clean) >= MIN_CHARS and clean in seen:
-                gone += 1
-                continue
-            seen.add(clean)
-            kept.append(line + ("\n" if k + 1 < len(lines) else ""))
-        out.append((i, "".join(kept), gone))
+            if len(clean) >= MIN_LINE:
+                if ("line", clean) in seen:
+                    gone |= set(range(at, end))
+                seen.add(("line", clean))
+            start = 0
+            for m in [*re.finditer(r"[.!?][ \t\r]+", line), None]:
+                stop = m.end() if m else len(line)
+                clean = normalise(line[start:stop])
+                if len(clean) >= MIN_SENTENCE:
+                    if ("sentence", clean) in seen:
+                        gone |= set(range(at + start, at + stop))
+                    seen.add(("sentence", clean))
+                start = stop
+            at = end
+        runs = sum(p - 1 not in gone for p in gone)
+        out.append((i, None if text is None else "".join(c for p, c in enumerate(text) if p not in gone), runs))
     return sorted(out, key=str)
 
 
@@ -34,6 +44,10 @@ def test_lines_equal_brute_force(spark):
     for i in range(150):
         lines = [r.choice(pool) if r.random() < 0.4 else f"own line {i} {k} with more words" for k in range(r.randint(1, 12))]
         rows.append((i, r.choice(["\n", "\n\n", " \t\n"]).join(x.upper() if r.random() < 0.1 else x for x in lines)))
+    passage = "One sentence of the passage that has many words in it. Another one of its sentences is here! A third, the last of all of them?"
+    for i in range(200, 240):
+        cut = r.randint(0, 20)
+        rows.append((i, f"own words {i} and {i * 7} more. {passage[cut:]} and the end {i}.\nshort. {passage}"))
     rows += [(500, None), (501, ""), (502, "\n\n\n"), (503, "a line that says one thing\n" * 3000), (None, pool[0] + " and some more words")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash")).repartition(4)
     got = substring_dedup(df).collect()
