@@ -34,7 +34,7 @@ COUNTERS = 1 << 20
 BLOCK = 1 << 12
 LEADERS = 4
 #: Rounds with leaders at most, and the share of rows that one must settle for another to follow.
-ROUNDS, PAYS = 8, 0.1
+ROUNDS, PAYS = 5, 0.2
 PARITY = 512
 _WORDS = PARITY // 64
 _BINS = pa.list_(pa.int64())
@@ -221,13 +221,14 @@ class JaccardJoin:
         """Each row outside its group's main component with a leader out of that."""
         order = F.xxhash64("sig", F.pmod("h", F.lit(LEADERS)), F.lit(nth))
         inside = split.where(F.col("root") == F.col("main"))
-        lead = inside.groupBy("h").agg(F.min_by(F.struct("sig", "n", "pos", "bins"), order).alias("y"))
-        outside = split.where(F.col("root") != F.col("main")).select("h", F.struct("sig", "n", "pos", "bins").alias("x"))
-        met = outside.join(lead, "h").where(self._may_link("x", "y") & self._near("x", "y"))
-        return met.select(*_ordered_pair(F.col("x.sig"), F.col("y.sig"))).distinct()
+        lead = inside.groupBy("h").agg(F.min_by(F.struct("sig", "n", "pos"), order).alias("y"))
+        outside = split.where(F.col("root") != F.col("main")).select("h", F.struct("sig", "n", "pos").alias("x"))
+        met = outside.join(lead, "h").where(self._may_link("x", "y"))
+        return self._with_nodes(met.select(*_ordered_pair(F.col("x.sig"), F.col("y.sig"))).distinct())
 
     def _cross_pairs(self, split: DataFrame) -> DataFrame:
         """All pairs that share a prefix shingle and are in different components."""
+        split = split.join(self.nodes.select("sig", "bins"), "sig")
         x, y = split.where(F.col("root") != F.col("main")).alias("x"), split.alias("y")
         once = (F.col("y.root") == F.col("y.main")) | (F.col("x.sig") < F.col("y.sig"))
         met = x.join(y, F.col("x.h") == F.col("y.h")).where((F.col("x.root") != F.col("y.root")) & once)
@@ -244,21 +245,20 @@ class JaccardJoin:
         wanted = staged(sigs.distinct().join(self.nodes.select("sig", "doc_id"), "sig"), "jaccard-wanted")
         ids = wanted.select("doc_id").distinct()
         if wanted.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
+            ids, wanted = F.broadcast(ids), F.broadcast(wanted)
         sets = self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
         sets = sets.mapInArrow(_sets(self.k), "doc_id long, sig long, items array<bigint>")
         return staged(sets.join(wanted, ["sig", "doc_id"], "left_semi").select("sig", "items"), "jaccard-items")
 
-    def _verified(self, pairs: DataFrame, items: DataFrame) -> DataFrame:
-        """The pairs that link, by their exact intersection."""
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by their exact intersection; each pair comes here once."""
+        if pairs.isEmpty():
+            return pairs.select("a", "b")
+        items = self._items(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")))
         few = pairs.count() <= BROADCAST_IDS
-
-        def needed(c: str) -> DataFrame:
-            ids = pairs.select(F.col(c).alias("sig")).distinct()
-            own = items.join(F.broadcast(ids) if few else ids, "sig", "left_semi")
-            return own.select(F.col("sig").alias(c), F.col("items").alias(f"{c}_items"))
-
-        met = pairs.join(needed("a"), "a").join(needed("b"), "b")
+        first = items.select(F.col("sig").alias("a"), F.col("items").alias("a_items"))
+        met = first.join(F.broadcast(pairs) if few else pairs, "a")
+        met = met.join(items.select(F.col("sig").alias("b"), F.col("items").alias("b_items")), "b")
         both = F.size(F.array_intersect("a_items", "b_items"))
         either = F.size("a_items") + F.size("b_items") - both
         return staged(met.where(100 * both >= self.percent * either).select("a", "b").distinct(), "jaccard-links")
@@ -269,10 +269,7 @@ class JaccardJoin:
         groups = self.groups()
         tried = staged(self._with_nodes(self._leader_pairs(groups)), "jaccard-pairs")
         wide = groups.where("members > 2").select("h", "sig", "n", "pos").distinct()
-        wide = staged(wide.join(self.nodes.select("sig", "bins"), "sig"), "jaccard-wide")
-        sigs = tried.select(F.col("a").alias("sig")).union(tried.select("b")).union(wide.select("sig"))
-        items = self._items(sigs)
-        links = self._verified(tried, items)
+        links = self._verified(tried)
         roots, left = components(links), None
         for nth in range(1, ROUNDS + 1):
             wide = staged(self._split_groups(wide, roots), "jaccard-split")
@@ -281,7 +278,7 @@ class JaccardJoin:
                 break
             left = outside
             pairs = staged(self._round_pairs(wide, nth).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-            more = self._verified(pairs, items)
+            more = self._verified(pairs)
             tried, links = tried.union(pairs), links.union(more)
             if not more.isEmpty():
                 roots = components(links)
@@ -289,7 +286,7 @@ class JaccardJoin:
         else:
             wide = staged(self._split_groups(wide, roots), "jaccard-split")
         pairs = staged(self._cross_pairs(wide).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        more = self._verified(pairs, items)
+        more = self._verified(pairs)
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
