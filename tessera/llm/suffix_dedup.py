@@ -33,7 +33,7 @@ from tessera.llm.suffix_array import permuted_lcp, suffix_array
 
 SIZE, GRAM, PIECE = 100, 24, 256
 #: Bits of the Bloom filter, names it serves at once, and bytes of a shard's string.
-BLOOM_BITS, SLICE_KEYS, SHARD_BYTES = 1 << 26, 8_000_000, 2_000_000
+BLOOM_BITS, SLICE_KEYS, SHARD_BYTES = 1 << 26, 8_000_000, 1_000_000
 #: Later copies are kept out of the scans by broadcasting their ids up to this many, by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
