@@ -312,8 +312,7 @@ def _(engine):
 
 def _top(how, n, on=False):
     items = from_("orders").where(lambda o: o.o_custkey == parent_as("c").c_custkey).select(lambda o: {"o": o.o_orderkey, "t": o.o_totalprice}).order_by(lambda o: [("desc", o.o_totalprice), o.o_orderkey]).limit(n)
-    q = from_("customer", as_="c").where(lambda c: c.c_custkey < 400)
-    return q.join(subquery(items), as_="t", how=how).select(lambda c, t: {"k": c.c_custkey, "o": t.o})
+    return from_("customer", as_="c").join(subquery(items), as_="t", how=how).select(lambda c, t: {"k": c.c_custkey, "o": t.o})
 
 
 _LATERAL = "SELECT c_custkey AS k, t.o FROM (SELECT * FROM customer WHERE c_custkey < 400) c {} LATERAL (SELECT o_orderkey AS o FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT {}) t {}"
