@@ -1,7 +1,7 @@
 """Registered queries that must take whole tables, against brute force at sf0.01."""
 
 import os
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -27,3 +27,15 @@ def test_lateral_joins_take_every_customer(spark, name, n, outer):
     got = [(r.k, r.o) for r in registry.QUERIES[f"join_lateral_{name}"](spark, SF).collect()]
     assert max(c for c, _ in got) >= 1000
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("name", ["union", "union_all", "except", "except_all", "intersect", "intersect_all"])
+def test_set_operations_take_every_customer(spark, name):
+    left, right = Counter(read(spark, "supplier", "s_nationkey")), Counter(read(spark, "customer", "c_nationkey"))
+    assert right.total() >= 1000
+    if not name.endswith("_all"):
+        left, right = Counter(set(left)), Counter(set(right))
+    want = {"union": left | right, "except": left - right, "intersect": left & right}[name.removesuffix("_all")]
+    if name == "union_all":
+        want = left + right
+    assert Counter(tuple(r) for r in registry.QUERIES[f"set_{name}"](spark, SF).collect()) == want
