@@ -483,7 +483,7 @@ _frame("groups", "GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW")
 
 @query("order_nulls", "SELECT doc_id, quality FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) ORDER BY quality DESC NULLS FIRST, doc_id LIMIT 700")
 def _(engine):
-    return from_("documents").left_join("labels", on=lambda d, l: d.doc_id == l.doc_id).select(lambda d, l: {"doc_id": d.doc_id, "quality": l.quality}).order_by(lambda d, l: [("desc_nulls_first", l.quality), d.doc_id]).limit(700)
+    return from_("documents").left_join("labels", on=lambda d, l: d.doc_id == l.doc_id).select(lambda d, l: {"doc_id": d.doc_id, "quality": l.quality}).order_by(lambda d, l: [("desc_nulls_first", l.quality), d.doc_id])
 
 
 @query("topk", "SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")

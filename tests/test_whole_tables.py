@@ -39,3 +39,13 @@ def test_set_operations_take_every_customer(spark, name):
     if name == "union_all":
         want = left + right
     assert Counter(tuple(r) for r in registry.QUERIES[f"set_{name}"](spark, SF).collect()) == want
+
+
+def test_order_nulls_gives_every_row_in_order(spark):
+    quality = defaultdict(list)
+    for i, q in read(spark, "labels", "doc_id", "quality"):
+        quality[i].append(q)
+    want = [(i, q) for (i,) in read(spark, "documents", "doc_id") for q in quality[i] or [None]]
+    want.sort(key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))
+    got = [(r.doc_id, r.quality) for r in registry.QUERIES["order_nulls"](spark, SF).collect()]
+    assert len(got) >= 1000 and got == want
