@@ -47,7 +47,7 @@ def _signature(own: np.ndarray) -> int:
 
 
 def _measure(k: int):
-    """doc_id, text -> a row for each document (n, sig, bins) and, at the end, the counters in blocks."""
+    """doc_id, text, key -> a row for each document (key, n, sig, bins) and, at the end, the counters in blocks."""
 
     def run(batches):
         counters, waiting, held = np.zeros(COUNTERS, np.int64), [], 0
@@ -69,18 +69,18 @@ def _measure(k: int):
                     waiting, held = [], 0
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array(bins, _BINS)]
+                [batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array(bins, _BINS)]
                 + [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                names=["doc_id", "n", "sig", "bins", "block", "counts"],
+                names=["doc_id", "key", "n", "sig", "bins", "block", "counts"],
             )
         if waiting:
             counters += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
         used = [b for b in range(COUNTERS // BLOCK) if counters[b * BLOCK : (b + 1) * BLOCK].any()]
         for b in used:
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, _BINS)]
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, _BINS)]
                 + [pa.array([b], pa.int32()), pa.array([counters[b * BLOCK : (b + 1) * BLOCK].astype(np.uint32).tobytes()], pa.binary())],
-                names=["doc_id", "n", "sig", "bins", "block", "counts"],
+                names=["doc_id", "key", "n", "sig", "bins", "block", "counts"],
             )
 
     return run
@@ -156,7 +156,7 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"):
         self.k, self.percent = k, percent
-        self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("key"))
         self.spark = docs.sparkSession
 
     def least_overlap(self, m: Column, n: Column) -> Column:
@@ -175,9 +175,9 @@ class JaccardJoin:
         return (100 * small >= t * large) & indexed & (reach >= self.least_overlap(xn, yn))
 
     def measure(self) -> None:
-        kinds = "doc_id long, n int, sig long, bins array<bigint>, block int, counts binary"
+        kinds = "doc_id long, key long, n int, sig long, bins array<bigint>, block int, counts binary"
         out = staged(self.docs.mapInArrow(_measure(self.k), kinds), "jaccard-sets")
-        self.rows = out.where("block is null").select("doc_id", "n", "sig", "bins")
+        self.rows = out.where("block is null").select("doc_id", "key", "n", "sig", "bins")
         blocks = out.where("block is not null").select("block", "counts").repartition("block")
         summed = blocks.mapInArrow(_add_blocks, "block int, counts binary").collect()
         counters = np.zeros(COUNTERS, np.int64)
@@ -185,11 +185,12 @@ class JaccardJoin:
             counters[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
         self.counters = self.spark.sparkContext.broadcast(np.minimum(counters, 2**32 - 1).astype(np.uint32))
         named = self.rows.where("sig is not null").groupBy("sig")
-        self.nodes = named.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"))
+        least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("least")
+        self.nodes = named.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"), least)
 
     def groups(self) -> DataFrame:
         """Prefix rows whose shingle another prefix has too, each with its group's size and leader."""
-        rows = self.docs.mapInArrow(_prefixes(self.k, self.percent, self.counters), "h long, sig long, n int, pos int")
+        rows = self.docs.select("doc_id", "text").mapInArrow(_prefixes(self.k, self.percent, self.counters), "h long, sig long, n int, pos int")
         same = Window.partitionBy("h")
         order = F.xxhash64("sig", F.pmod("h", F.lit(LEADERS)))
         lead = F.min(F.struct(order.alias("order"), "sig", "n", "pos")).over(same)
@@ -290,7 +291,7 @@ class JaccardJoin:
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
-        self.links = links
+        self.links, self.roots = links, roots
         nodes = self.nodes.select("sig", "doc_id").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
         nodes = nodes.withColumn("root", F.coalesce("root", "sig"))
         least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -299,6 +300,13 @@ class JaccardJoin:
             "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
         )
 
+    def survivors(self) -> DataFrame:
+        """doc_id, key: of each component the row with the least id, then text hash, and each row without words; after ``link()``. Null ids are left out."""
+        nodes = self.nodes.select("sig", "least").join(self.roots.withColumnRenamed("node", "sig"), "sig", "left")
+        least = nodes.groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("least").alias("least")).where("least is not null")
+        alone = self.rows.where("sig is null and doc_id is not null").select("doc_id", "key").distinct()
+        return least.select("least.doc_id", "least.key").union(alone)
+
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     return JaccardJoin(docs, k, percent, doc_id, text).link()

@@ -81,3 +81,15 @@ def test_stages_on_odd_rows(spark):
             assert got.count() == 5 and got.columns == docs.columns
         else:
             assert sum(r.taken for r in got.collect()) <= 30 and "lang" in got.columns
+
+
+def test_texts_that_share_an_id_are_kept_apart(spark):
+    text = lambda w, n=40: " ".join(f"{w}{i}" for i in range(n))
+    near = text("a") + " more"
+    rows = [(1, text("a")), (1, text("b")), (1, near), (3, near), (2, text("c")), (2, text("c") + " end"), (5, ""), (5, text("d")), (5, text("d")), (4, text("b")), (None, text("b"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x")).repartition(3)
+    got = [(r.doc_id, r.text) for r in pipe.keep_one_of_each_group(spark, docs, SF).collect()]
+    a = [r for r in got if r[1] and r[1].startswith("a0 ")]
+    c = [r for r in got if r[1] and r[1].startswith("c0 ")]
+    assert len(a) == 1 and a[0][0] == 1 and len(c) == 1 and c[0][0] == 2
+    assert sorted((r for r in got if r not in a + c), key=str) == sorted([(1, text("b")), (5, ""), (5, text("d")), (None, text("b"))], key=str)
