@@ -16,7 +16,8 @@ The suffix filter is a string of ``PARITY`` bits for each node, the parity of it
 each item that only one of two sets has flips one bit, so sets can't link where more bits differ than items may.
 
 Results by case: null text, empty text and text without words make an empty set, linked with nothing; repeated rows are
-rows of their own with one component; an empty table gives no rows; only the named columns are read.
+rows of their own with one component; a text without an id links like any other, and its component's id is the least of the
+ids there, null where there are none; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -245,11 +246,18 @@ class JaccardJoin:
         """sig, items: the sets of these nodes, made again from one document of each."""
         wanted = staged(sigs.distinct().join(self.nodes.select("sig", "doc_id"), "sig"), "jaccard-wanted")
         ids = wanted.select("doc_id").distinct()
-        if wanted.count() <= BROADCAST_IDS:
+        total, with_id = wanted.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+        if total <= BROADCAST_IDS:
             ids, wanted = F.broadcast(ids), F.broadcast(wanted)
         sets = self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-        sets = sets.mapInArrow(_sets(self.k), "doc_id long, sig long, items array<bigint>")
-        return staged(sets.join(wanted, ["sig", "doc_id"], "left_semi").select("sig", "items"), "jaccard-items")
+        kinds = "doc_id long, sig long, items array<bigint>"
+        found = sets.mapInArrow(_sets(self.k), kinds).join(wanted, ["sig", "doc_id"], "left_semi").select("sig", "items")
+        if with_id < total:
+            # no id leads to these, so all texts without an id are made into sets, each text once
+            texts = self.docs.where("doc_id is null").select("doc_id", "text").distinct()
+            left = texts.mapInArrow(_sets(self.k), kinds).join(wanted.where("doc_id is null"), "sig", "left_semi")
+            found = found.union(left.select("sig", "items").dropDuplicates(["sig"]))
+        return staged(found, "jaccard-items")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, by their exact intersection; each pair comes here once."""

@@ -99,3 +99,15 @@ def test_components_of_paths_and_stars(spark):
         want[root].add(node)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert components(df.limit(0)).count() == 0
+
+
+def test_texts_without_an_id_link_others(spark):
+    words = [f"w{i}" for i in range(40)]
+    one, two = " ".join(["x", "y", "z", *words[3:]]), " ".join([*words[:37], "p", "q", "r"])
+    rows = [(1, one), (2, two)] + [(None, " ".join(words))] * 3 + [(None, " ".join(reversed(words))), (None, "nothing near this"), (None, None), (7, "far from it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, 1, 85).collect()), key=str)
+    want = [(1, 40, 1), (2, 40, 1)] + [(None, 40, 1)] * 4 + [(None, 3, None), (None, 0, None), (7, 3, 7)]
+    assert got == sorted(want, key=str)
+    apart = jaccard_components(df.where("doc_id is not null"), 1, 85).collect()
+    assert all(r.component_id == r.doc_id for r in apart)
