@@ -3,17 +3,20 @@
 A text is the set of its distinct k-word shingles, as 64-bit hashes; texts with equal sets count as one node,
 named by a hash of the set. A node's shingles are ordered rare-first by a table of 2**20 hashed counters over the
 whole corpus, then by hash: a fixed-size table and one total order for all. (Any order gives the same result; the counters
-only keep frequent shingles out of prefixes.) A linked pair shares a shingle of the longer set's probe prefix and
-the shorter set's index prefix.
+only keep frequent shingles out of prefixes.) A linked pair shares a shingle of both prefixes. Pairs that pass the length
+and positional filters are made distinct and verified once: first by the suffix filter, then exactly.
 
-A large group of similar texts isn't paired off: in each prefix group every node is first compared with one leader only,
-leaders being the same over a group's shingles for each of ``LEADERS`` orders. What these links connect needs no
-further comparison. Rounds with other leaders, taken from each group's largest component, follow while they pay; the last
-pass compares the nodes outside their group's largest component with all nodes of other components, so every link between
-components is found, and none within one is needed.
+A group is the nodes that have one prefix shingle in common. Small groups are paired off. A large one isn't: its nodes, band of
+length by band, are compared with one leader only, the node whose prefix is most common in the corpus. Nodes that link with the
+leader need no links to each other. For the rest let D(x) be what only one of x and the leader has. Two nodes differ by
+D(x) and D(y) without what these share, and if x does not link with the leader, x and any y that links with x have a shingle of
+D(x) and D(y) in common (|D(x)| is over the bound, and |D(y)| is at least the difference of the lengths). So the rest
+is a join of the same kind on the sets D, ordered by their shingles' number within the leader's group: what all members share is
+gone from them, and groups get smaller. This goes on until no group has a node that isn't linked with its leader.
 
-The suffix filter is a string of ``PARITY`` bits for each node, the parity of its shingles' number in as many hash ranges:
-each item that only one of two sets has flips one bit, so sets can't link where more bits differ than items may.
+The suffix filter works in two steps. A string of ``PARITY`` bits for each node holds the parity of its shingles' number in as
+many hash ranges; then the sorted sets are cut at ``PIVOTS`` of one set's shingles, and the differences of the parts' sizes are
+summed up. Both are lower bounds of the number of shingles that only one of two sets has.
 
 Results by case: null text, empty text and text without words make an empty set, linked with nothing; repeated rows are
 rows of their own with one component; a text without an id links like any other, and its component's id is the least of the
@@ -22,6 +25,8 @@ ids there, null where there are none; an empty table gives no rows; only the nam
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,10 +38,11 @@ from tessera.llm.hashing import mix, shingle_sets, steps, utf8
 
 COUNTERS = 1 << 20
 BLOCK = 1 << 12
-LEADERS = 4
-#: Rounds with leaders at most, and the share of rows that one must settle for another to follow.
-ROUNDS, PAYS = 5, 0.2
-PARITY = 512
+#: Groups of up to so many nodes are paired off.
+SMALL = 128
+#: Shingles counted more often than this, and than four times the average counter, are never brought together in one task.
+HOT = 1 << 12
+PARITY, PIVOTS = 512, 7
 _WORDS = PARITY // 64
 _BINS = pa.list_(pa.int64())
 #: Documents to verify are looked up by broadcasting their ids up to this many, by a shuffle beyond.
@@ -97,8 +103,8 @@ def _add_blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
 
 
-def _prefixes(k: int, percent: int, counts):
-    """doc_id, text -> (h, sig, n, pos) for the probe prefix of each set that the task hasn't had yet."""
+def _prefixes(k: int, percent: int, counts, hot: int):
+    """doc_id, text -> a row for each shingle of the probe prefix of each set that the task hasn't had yet."""
 
     def run(batches):
         counters, seen = counts.value, set()
@@ -106,7 +112,7 @@ def _prefixes(k: int, percent: int, counts):
             data, offsets = utf8(batch.column(1))
             for first, last in steps(offsets):
                 hashes, at = shingle_sets(data, offsets[first : last + 1], k)
-                h, sig, size, pos = [], [], [], []
+                h, sig, size, pos, rank, often = [], [], [], [], [], []
                 for i in range(last - first):
                     own = hashes[at[i] : at[i + 1]]
                     n = len(own)
@@ -115,16 +121,18 @@ def _prefixes(k: int, percent: int, counts):
                     if len(seen) < 1 << 20:
                         seen.add(s)
                     length = n - (percent * n + 99) // 100 + 1
-                    order = np.argsort(counters[(own & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:length]
+                    counted = counters[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                    order = np.argsort(counted, kind="stable")[:length]
+                    counted = counted[order]
                     h.append(own[order])
                     sig.append(np.full(length, s, np.int64))
                     size.append(np.full(length, n, np.int32))
                     pos.append(np.arange(length, dtype=np.int32))
+                    rank.append(np.full(length, -int(100 * np.log2(1.0 + counted).mean()), np.int32))
+                    often.append(counted > hot)
                 if h:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x)) for x in ([y.view(np.int64) for y in h], sig, size, pos)],
-                        names=["h", "sig", "n", "pos"],
-                    )
+                    cols = [np.concatenate(x) for x in ([y.view(np.int64) for y in h], sig, size, pos, rank, often)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "sig", "n", "pos", "rank", "hot"])
 
     return run
 
@@ -145,8 +153,47 @@ def _sets(k: int):
     return run
 
 
-def _ordered_pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """At least so many items are in one of the two sorted sets only: cut at items of y, by the differences of the parts' sizes."""
+    cuts = y[len(y) * np.arange(1, PIVOTS + 1) // (PIVOTS + 1)]
+    ends = (np.concatenate([[0], np.searchsorted(z, cuts), [len(z)]]) for z in (x, y))
+    mine, other = (np.diff(e) for e in ends)
+    return int(np.abs(mine - other).sum())
+
+
+def _compare(percent: int):
+    """a, b, star, rank, a_items, b_items -> whether each pair links; of pairs with a leader (b) also what only one of the two has."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = batch.column(4), batch.column(5)
+            sets = []
+            for column in (left, right):
+                flat = column.values.to_numpy().view(np.uint64)
+                cuts = column.offsets.to_numpy()
+                sets.append([flat[p:q] for p, q in zip(cuts[:-1], cuts[1:])])
+            star = batch.column(2).to_pylist()
+            linked, sizes, deltas, at = [], [], [], [0]
+            for x, y, with_leader in zip(*sets, star):
+                may = (100 - percent) * (len(x) + len(y))
+                if with_leader or (100 + percent) * suffix_bound(x, y) <= may:
+                    only = np.setxor1d(x, y, assume_unique=True)
+                    linked.append((100 + percent) * len(only) <= may)
+                else:
+                    only = x[:0]
+                    linked.append(False)
+                if with_leader:
+                    deltas.append(only)
+                sizes.append(len(x))
+                at.append(at[-1] + len(only) * with_leader)
+            flat = np.concatenate(deltas) if deltas else np.zeros(0, np.uint64)
+            delta = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), delta],
+                names=["a", "b", "star", "rank", "linked", "n", "delta"],
+            )
+
+    return run
 
 
 class JaccardJoin:
@@ -160,20 +207,14 @@ class JaccardJoin:
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("key"))
         self.spark = docs.sparkSession
 
-    def least_overlap(self, m: Column, n: Column) -> Column:
-        """Of two sets of m and n items that link."""
-        t = self.percent
-        return F.floor((t * (m.cast("long") + n) + (99 + t)) / (100 + t))
-
     def _may_link(self, x: str, y: str) -> Column:
-        """Length, prefix and positional filters on one shared shingle of x and y."""
-        xn, yn, xp, yp = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.pos", f"{y}.pos"))
-        t = self.percent
-        small, large = F.least(xn, yn), F.greatest(xn, yn)
-        index = lambda n: n - F.floor((2 * t * n + (99 + t)) / (100 + t)) + 1
-        indexed = ((xn <= yn) & (xp < index(xn))) | ((yn <= xn) & (yp < index(yn)))
-        reach = F.least(xp, yp) + 1 + F.least(xn - xp - 1, yn - yp - 1)
-        return (100 * small >= t * large) & indexed & (reach >= self.least_overlap(xn, yn))
+        """Length and positional filters on one shared item of x and y, which are sets of ``size`` items that stand for ones of n."""
+        p = self.percent
+        c = lambda side, name: F.col(f"{side}.{name}").cast("long")
+        xn, yn = c(x, "n"), c(y, "n")
+        overlap = F.floor(((100 + p) * (c(x, "size") + c(y, "size")) - (100 - p) * (xn + yn) + 2 * (100 + p) - 1) / (2 * (100 + p)))
+        reach = F.least(c(x, "size") - c(x, "pos"), c(y, "size") - c(y, "pos"))
+        return (100 * F.least(xn, yn) >= p * F.greatest(xn, yn)) & (reach >= overlap)
 
     def measure(self) -> None:
         kinds = "doc_id long, key long, n int, sig long, bins array<bigint>, block int, counts binary"
@@ -184,63 +225,65 @@ class JaccardJoin:
         counters = np.zeros(COUNTERS, np.int64)
         for r in summed:
             counters[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
+        self.hot = int(max(HOT, 4 * counters.mean()))
         self.counters = self.spark.sparkContext.broadcast(np.minimum(counters, 2**32 - 1).astype(np.uint32))
         named = self.rows.where("sig is not null").groupBy("sig")
         least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("least")
-        self.nodes = named.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"), least)
-
-    def groups(self) -> DataFrame:
-        """Prefix rows whose shingle another prefix has too, each with its group's size and leader."""
-        rows = self.docs.select("doc_id", "text").mapInArrow(_prefixes(self.k, self.percent, self.counters), "h long, sig long, n int, pos int")
-        same = Window.partitionBy("h")
-        order = F.xxhash64("sig", F.pmod("h", F.lit(LEADERS)))
-        lead = F.min(F.struct(order.alias("order"), "sig", "n", "pos")).over(same)
-        rows = rows.withColumn("members", F.count(F.lit(1)).over(same)).withColumn("lead", lead)
-        return staged(rows.where("members > 1"), "jaccard-groups")
-
-    def _leader_pairs(self, groups: DataFrame) -> DataFrame:
-        x = groups.select(F.struct("sig", "n", "pos").alias("x"), F.col("lead").alias("y"))
-        x = x.where(F.col("x.sig") != F.col("y.sig")).where(self._may_link("x", "y"))
-        return x.select(*_ordered_pair(F.col("x.sig"), F.col("y.sig"))).distinct()
-
-    def _apart(self, x: Column, y: Column) -> Column:
-        """At least so many items are in one of the sets only."""
-        return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(_WORDS)), F.lit(0))
-
-    def _near(self, x: str, y: str) -> Column:
-        """The suffix filter."""
-        n = F.col(f"{x}.n") + F.col(f"{y}.n")
-        return self._apart(F.col(f"{x}.bins"), F.col(f"{y}.bins")) <= n - 2 * self.least_overlap(F.col(f"{x}.n"), F.col(f"{y}.n"))
-
-    def _split_groups(self, wide: DataFrame, roots: DataFrame) -> DataFrame:
-        """Rows of the groups that have several components so far, with their root and their group's largest one (main)."""
-        rooted = wide.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        per = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
-        main = per.groupBy("h").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-        return rooted.join(main.where("roots > 1").drop("roots"), "h")
-
-    def _round_pairs(self, split: DataFrame, nth: int) -> DataFrame:
-        """Each row outside its group's main component with a leader out of that."""
-        order = F.xxhash64("sig", F.pmod("h", F.lit(LEADERS)), F.lit(nth))
-        inside = split.where(F.col("root") == F.col("main"))
-        lead = inside.groupBy("h").agg(F.min_by(F.struct("sig", "n", "pos"), order).alias("y"))
-        outside = split.where(F.col("root") != F.col("main")).select("h", F.struct("sig", "n", "pos").alias("x"))
-        met = outside.join(lead, "h").where(self._may_link("x", "y"))
-        return self._with_nodes(met.select(*_ordered_pair(F.col("x.sig"), F.col("y.sig"))).distinct())
-
-    def _cross_pairs(self, split: DataFrame) -> DataFrame:
-        """All pairs that share a prefix shingle and are in different components."""
-        split = split.join(self.nodes.select("sig", "bins"), "sig")
-        x, y = split.where(F.col("root") != F.col("main")).alias("x"), split.alias("y")
-        once = (F.col("y.root") == F.col("y.main")) | (F.col("x.sig") < F.col("y.sig"))
-        met = x.join(y, F.col("x.h") == F.col("y.h")).where((F.col("x.root") != F.col("y.root")) & once)
-        met = met.where(self._may_link("x", "y") & self._near("x", "y"))
-        return met.select(*_ordered_pair(F.col("x.sig"), F.col("y.sig"))).distinct()
-
-    def _with_nodes(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that pass the suffix filter."""
+        self.nodes = staged(named.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"), least), "jaccard-nodes")
+
+    def first_rows(self) -> DataFrame:
+        """The rows of the first join: each node by the shingles of its prefix."""
+        kinds = "key long, sig long, n int, pos int, rank int, hot boolean"
+        rows = self.docs.select("doc_id", "text").mapInArrow(_prefixes(self.k, self.percent, self.counters, self.hot), kinds)
+        return rows.select("key", "sig", "n", "pos", F.col("n").alias("size"), "rank", F.lit(True).alias("out"), "hot")
+
+    def _grouped(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows of small groups, and of large ones."""
+        # a key that isn't hot has a bounded number of rows; hot ones are dealt out, and go to leaders without being brought together
+        dealt = F.when(F.col("hot"), F.col("sig")).otherwise(F.lit(0))
+        held = rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key", dealt)))
+        held = staged(held.where("hot or members > 1"), "jaccard-groups")
+        return held.where((F.col("members") <= SMALL) & ~F.col("hot")), held.where((F.col("members") > SMALL) | F.col("hot"))
+
+    def _small_pairs(self, small: DataFrame) -> DataFrame:
+        """a, b: the pairs of small groups that pass all filters before the sets are there."""
+        x, y = (small.select("key", "sig", F.struct("sig", "n", "pos", "size", "out").alias(c)) for c in "xy")
+        met = x.join(y.withColumnRenamed("sig", "other"), "key").where((F.col("sig") < F.col("other")) & (F.col("x.out") | F.col("y.out")))
+        pairs = met.where(self._may_link("x", "y")).select(F.col("sig").alias("a"), F.col("other").alias("b")).distinct()
         node = lambda c: self.nodes.select(F.col("sig").alias(c), F.struct("n", "bins").alias(f"{c}_"))
-        return pairs.join(node("a"), "a").join(node("b"), "b").where(self._near("a_", "b_")).select("a", "b")
+        apart = sum((F.bit_count(F.col("a_.bins")[i].bitwiseXOR(F.col("b_.bins")[i])) for i in range(_WORDS)), F.lit(0))
+        near = (100 + self.percent) * apart <= (100 - self.percent) * (F.col("a_.n").cast("long") + F.col("b_.n"))
+        return pairs.join(node("a"), "a").join(node("b"), "b").where(near).select("a", "b")
+
+    def _leader_pairs(self, large: DataFrame) -> DataFrame:
+        """a, rank, b: each node of a large group with its leaders b; a group's nodes are taken two neighbouring bands of length at a time.
+
+        Leaders are the least by one order of all nodes, so those of later joins come after those of earlier ones, and the joins end.
+        """
+        # a little wider than the ratio of lengths, so that rounding can't part two bands
+        band = F.floor(F.log("n") / (math.log(100 / self.percent) * (1 + 1e-9))) if self.percent < 100 else F.col("n")
+        rows = large.select("key", "sig", "rank", "out", F.explode(F.array(band.cast("long"), band.cast("long") - 1)).alias("band"))
+        lead = rows.groupBy("key", "band").agg(F.min(F.struct("rank", "sig")).alias("lead"), F.max("out").alias("any"))
+        lead = lead.where("any").select("key", "band", F.col("lead.sig").alias("b"))
+        pairs = rows.join(lead, ["key", "band"]).where("sig <> b")
+        return pairs.select(F.col("sig").alias("a"), "b", "rank").distinct()
+
+    def _next_rows(self, compared: DataFrame) -> DataFrame:
+        """The rows of the next join: nodes of groups that have one not linked with the leader, by the prefixes of their differences."""
+        p = self.percent
+        open_ = compared.where("star and not linked").select("b").distinct()
+        sets = compared.where("star").join(open_, "b", "left_semi").select("b", F.col("a").alias("sig"), "n", "rank", (~F.col("linked")).alias("out"), "delta")
+        items = sets.select("b", "sig", "n", "rank", "out", F.size("delta").alias("size"), F.explode("delta").alias("item"))
+        often = items.groupBy("b", "item").agg(F.count(F.lit(1)).alias("times"), F.max("out").alias("any"))
+        own = F.array_sort(F.collect_list(F.struct("times", "item", "any"))).alias("items")
+        wide = items.join(often, ["b", "item"]).groupBy("b", "sig", "n", "rank", "out", "size").agg(own)
+        size, n = F.col("size").cast("long"), F.col("n").cast("long")
+        overlap = F.greatest(F.lit(1), size - F.floor(n * (100 - p) / p))
+        overlap = F.when(F.col("out"), overlap).otherwise(F.greatest(overlap, F.floor(size * p / (100 + p)) + 1))
+        prefix = F.posexplode(F.slice("items", F.lit(1), (size - overlap + 1).cast("int"))).alias("pos", "i")
+        rows = wide.where(size >= overlap).select("b", "sig", "n", "size", "rank", "out", prefix).where("i.times > 1 and i.any")
+        key, hot = F.xxhash64("b", "i.item").alias("key"), (F.col("i.times") > self.hot).alias("hot")
+        return rows.select(key, "sig", "n", "pos", "size", "rank", "out", hot)
 
     def _items(self, sigs: DataFrame) -> DataFrame:
         """sig, items: the sets of these nodes, made again from one document of each."""
@@ -259,46 +302,33 @@ class JaccardJoin:
             found = found.union(left.select("sig", "items").dropDuplicates(["sig"]))
         return staged(found, "jaccard-items")
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link, by their exact intersection; each pair comes here once."""
-        if pairs.isEmpty():
-            return pairs.select("a", "b")
+    def _compared(self, pairs: DataFrame) -> DataFrame:
+        """a, b, star, rank (of a), linked, n (of a), delta for pairs a, b, star, rank; each pair comes here once."""
+        kinds = "a long, b long, star boolean, rank int, linked boolean, n int, delta array<bigint>"
         items = self._items(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")))
         few = pairs.count() <= BROADCAST_IDS
         first = items.select(F.col("sig").alias("a"), F.col("items").alias("a_items"))
         met = first.join(F.broadcast(pairs) if few else pairs, "a")
         met = met.join(items.select(F.col("sig").alias("b"), F.col("items").alias("b_items")), "b")
-        both = F.size(F.array_intersect("a_items", "b_items"))
-        either = F.size("a_items") + F.size("b_items") - both
-        return staged(met.where(100 * both >= self.percent * either).select("a", "b").distinct(), "jaccard-links")
+        met = met.select("a", "b", "star", "rank", "a_items", "b_items")
+        return staged(met.mapInArrow(_compare(self.percent), kinds), "jaccard-compared")
 
     def link(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every document."""
         self.measure()
-        groups = self.groups()
-        tried = staged(self._with_nodes(self._leader_pairs(groups)), "jaccard-pairs")
-        wide = groups.where("members > 2").select("h", "sig", "n", "pos").distinct()
-        links = self._verified(tried)
-        roots, left = components(links), None
-        for nth in range(1, ROUNDS + 1):
-            wide = staged(self._split_groups(wide, roots), "jaccard-split")
-            outside = wide.where("root <> main").count()
-            if outside == 0 or left is not None and outside > (1 - PAYS) * left:
+        rows, links = self.first_rows(), None
+        while True:
+            small, large = self._grouped(rows)
+            pairs = self._small_pairs(small).select("a", "b", F.lit(False).alias("star"), F.lit(None).cast("int").alias("rank"))
+            pairs = pairs.union(self._leader_pairs(large).select("a", "b", F.lit(True), "rank"))
+            compared = self._compared(staged(pairs.groupBy("a", "b").agg(F.max("star").alias("star"), F.max("rank").alias("rank")), "jaccard-pairs"))
+            found = compared.where("linked").select("a", "b")
+            links = found if links is None else links.union(found)
+            if compared.where("star and not linked").isEmpty():
                 break
-            left = outside
-            pairs = staged(self._round_pairs(wide, nth).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-            more = self._verified(pairs)
-            tried, links = tried.union(pairs), links.union(more)
-            if not more.isEmpty():
-                roots = components(links)
-            wide = wide.drop("root", "main")
-        else:
-            wide = staged(self._split_groups(wide, roots), "jaccard-split")
-        pairs = staged(self._cross_pairs(wide).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        more = self._verified(pairs)
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links)
+            rows = self._next_rows(compared)
+        links = staged(links.distinct(), "jaccard-links")
+        roots = components(links)
         self.links, self.roots = links, roots
         nodes = self.nodes.select("sig", "doc_id").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
         nodes = nodes.withColumn("root", F.coalesce("root", "sig"))

@@ -4,8 +4,10 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.llm import jaccard_join
 from tessera.llm.connected import components
 from tessera.llm.jaccard_join import jaccard_components
 
@@ -111,3 +113,32 @@ def test_texts_without_an_id_link_others(spark):
     assert got == sorted(want, key=str)
     apart = jaccard_components(df.where("doc_id is not null"), 1, 85).collect()
     assert all(r.component_id == r.doc_id for r in apart)
+
+
+def test_large_groups_are_settled_by_leaders_and_differences(spark, monkeypatch):
+    """Near copies of one text that mostly don't link with each other, with small groups and hot shingles made rare."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    for seed in (1, 2, 3):
+        r = random.Random(seed)
+        base = [f"b{i}" for i in range(60)]
+        rows = []
+        for n in range(90):
+            copy = list(base[: r.choice([45, 60, 60, 60])])
+            for _ in range(r.choice([0, 1, 2, 3, 4])):
+                at = r.randrange(len(copy))
+                copy[at : at + r.choice([0, 1, 1, 2])] = [f"e{r.randrange(4)}"] if r.random() < 0.5 else [f"u{n}"]
+            rows.append((n, " ".join(copy)))
+        rows += [(100 + n, " ".join([*base[:20], *(f"v{r.randrange(6)}" for _ in range(20))])) for n in range(30)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(df, 3, 85).collect()}
+        assert got == brute(rows, 3, 85)
+        assert len(set(got.values())) > 20
+
+
+def test_suffix_bound_never_exceeds_the_difference():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        x, y = (np.unique(r.integers(0, 80, r.integers(1, 60)).astype(np.uint64)) for _ in range(2))
+        assert jaccard_join.suffix_bound(x, y) <= len(np.setxor1d(x, y))
+    assert jaccard_join.suffix_bound(np.arange(10), np.arange(100, 110)) == 18
