@@ -27,8 +27,10 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 WINDOW = 20
-#: Bits a character over the best window, by character class.
-THRESHOLDS = {"hex": 2.9, "mixed": 3.6}
+CHUNK = 256
+#: Bits a character over the best window, by character class: hex digits, letters of both cases, letters with digits.
+#: Candidates of other classes (digits alone, letters of one case) are no secrets.
+THRESHOLDS = {"hex": 2.9, "letters": 3.9, "mixed": 3.6}
 #: Candidates that match one of these are no secrets.
 ALLOW_LIST = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -39,6 +41,28 @@ ALLOW_LIST = (
 )
 
 
+def in_chunks(items: Column, start: Column, none: Column, step) -> Column:
+    """The array that ``step(struct<at, out>, item)`` gathers in ``out`` over all items, ``at`` being carried along.
+
+    Adding to an array copies it. So items are taken ``CHUNK`` at a time, each chunk's results being an array of its own, and these
+    are joined once: a text with very many matches isn't a matter of their square.
+    """
+    chunks = F.transform(
+        F.array(items),  # bound to a variable, so it is made once
+        lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / CHUNK).cast("int")), lambda k: F.slice(x, k * CHUNK + 1, F.lit(CHUNK))),
+    )[0]
+    nested = F.slice(F.array(none), F.lit(1), F.lit(0))
+
+    def chunk_step(acc: Column, own: Column) -> Column:
+        made = F.transform(
+            F.array(F.aggregate(own, F.struct(acc["at"].alias("at"), none.alias("out")), step)),
+            lambda m: F.struct(m["at"].alias("at"), F.concat(acc["out"], F.array(m["out"])).alias("out")),
+        )
+        return made[0]
+
+    return F.aggregate(chunks, F.struct(start.alias("at"), nested.alias("out")), chunk_step, lambda acc: F.flatten(acc["out"]))
+
+
 def _located(text: Column, pattern: str, kind: str, keep_group: tuple[int, int] | None = None) -> Column:
     """array<struct<start, end, rank, kind, text>> of the pattern's matches, leftmost and non-overlapping.
 
@@ -63,24 +87,29 @@ def _located(text: Column, pattern: str, kind: str, keep_group: tuple[int, int]
             add = F.when(F.length(x["value"]) >= keep_group[1], add).otherwise(none)
         return F.struct(end.alias("at"), F.concat(acc["out"], add).alias("out"))
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    found = in_chunks(pieces, F.lit(0), none, step)
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
     """Highest Shannon entropy (bits a character) of the string's windows of ``window`` characters.
 
-    One pass keeps the counts of the characters in the window and the sum of c*log2(c); each step
-    adds the character that enters and takes out the one that leaves.
+    One pass keeps the counts of the characters in the window and the sum of c*log2(c); each step adds the character that
+    enters and takes out the one that leaves. Both come from the string cut into characters once, so the pass is linear.
     """
     cost = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1
+    chars = F.slice(F.split(value, ""), F.lit(1), F.length(value))
+    codes = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    steps = F.transform(
+        F.array(codes),
+        lambda own: F.arrays_zip(own.alias("enters"), F.concat(F.array_repeat(F.lit(-1), window), own).alias("leaves")),
+    )[0]
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best")
+        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"), F.lit(0).alias("n")
     )
 
-    def step(acc: Column, i: Column) -> Column:
-        enters, leaves = at(i), F.when(i > window, at(i - window)).otherwise(F.lit(-1))
+    def step(acc: Column, x: Column) -> Column:
+        enters, leaves = x["enters"], x["leaves"]
         c_in = F.get(acc["counts"], enters)
         c_out = F.when(leaves >= 0, F.get(acc["counts"], leaves)).otherwise(F.lit(0))
         change = (
@@ -91,20 +120,24 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
         counts = F.transform(
             acc["counts"], lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0)
         )
-        total = acc["total"] + change
-        bits = F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), total.alias("total"), F.greatest(acc["best"], bits).alias("best"))
+        total, n = acc["total"] + change, acc["n"] + 1
+        bits = F.when(n >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
+        return F.struct(counts.alias("counts"), total.alias("total"), F.greatest(acc["best"], bits).alias("best"), n.alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda acc: acc["best"])
+    return F.aggregate(F.filter(steps, lambda x: x["enters"].isNotNull()), zero, step, lambda acc: acc["best"])
 
 
 def _is_secret(value: Column, allow_list: tuple[str, ...], thresholds: dict[str, float]) -> Column:
     allowed = F.lit(False)
     for pattern in allow_list:
         allowed = allowed | value.rlike(pattern)
-    least = F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), thresholds["hex"]).otherwise(thresholds["mixed"])
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    return F.when(mixed & ~allowed, window_entropy(value) >= least).otherwise(F.lit(False))
+    digits, upper, lower = value.rlike("[0-9]"), value.rlike("[A-Z]"), value.rlike("[a-z]")
+    least = (
+        F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digits & (upper | lower), thresholds["hex"])
+        .when(digits & (upper | lower), thresholds["mixed"])
+        .when(upper & lower, thresholds["letters"])
+    )
+    return F.when(least.isNotNull() & ~allowed, window_entropy(value) >= least).otherwise(F.lit(False))
 
 
 def base_spans(text: Column) -> Column:
@@ -118,11 +151,11 @@ def base_spans(text: Column) -> Column:
 
 
 def entropy_spans(text: Column, base: Column, allow_list=ALLOW_LIST, thresholds=THRESHOLDS) -> Column:
-    """Candidate strings of high entropy that no base span overlaps."""
+    """Candidate strings of high entropy that no base span covers wholly."""
     text = F.coalesce(text, F.lit(""))
     return F.filter(
         _located(text, CANDIDATE, "entropy"),
-        lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
         & _is_secret(x["text"], allow_list, thresholds),
     )
 
@@ -140,16 +173,24 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
-    """The text with each span, or run of overlapping spans, replaced by ``mark``; null stays null."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span, or run of overlapping spans, replaced by ``mark``; null stays null.
+
+    The text is cut into characters once; the pieces between spans are slices of that, joined at the end.
+    """
+    none = F.expr("cast(array() as array<struct<low:int,high:int>>)")
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
+        gap = F.array(F.struct(acc["at"].alias("low"), s["start"].alias("high")))
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate(
-        spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    end = F.struct(last.alias("low"), F.length(text).alias("high"))
+    gaps = F.concat(in_chunks(spans, F.lit(0), none, step), F.array(end))
+    cut = F.transform(
+        F.array(F.struct(F.split(text, "").alias("chars"), gaps.alias("gaps"))),
+        lambda x: F.array_join(
+            F.transform(x["gaps"], lambda g: F.array_join(F.slice(x["chars"], g["low"] + 1, g["high"] - g["low"]), "")), mark
+        ),
+    )[0]
+    return F.when(F.size(spans) > 0, cut).otherwise(text)

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -59,12 +61,62 @@ def test_base_spans_equal_brute_force(spark):
 
 
 def test_window_entropy_equals_brute_force(spark):
-    values = ["q7Rt2LmX9vBz4KpW8sYc1NdF", HEXES, "a" * 30, "abababababababababababab0123456789"]
+    values = ["q7Rt2LmX9vBz4KpW8sYc1NdF", HEXES, "a" * 30, "abababababababababababab0123456789", "ab+/_-" * 40]
     df = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.window_entropy(F.col("v")).alias("h"))
     for r in df.collect():
         assert r.h == pytest.approx(brute_entropy(r.v), abs=1e-9)
 
 
+def brute_spans(text):
+    """All spans: the base ones and candidates by the entropy of every window."""
+    base = [x.split(":") for x in brute_base(text).split(",") if x]
+    out = [(int(s), secrets.KINDS.index(k), int(e), k) for k, s, e in base]
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text or ""):
+        v = m[0]
+        if any(re.search(p, v) for p in secrets.ALLOW_LIST) or any(int(s) <= m.start() and m.end() <= int(e) for _, s, e in base):
+            continue
+        digit, upper, lower = (bool(re.search(p, v)) for p in ("[0-9]", "[A-Z]", "[a-z]"))
+        kind = "mixed" if digit and (upper or lower) else "letters" if upper and lower else None
+        if kind == "mixed" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", v):
+            kind = "hex"
+        if kind and brute_entropy(v) >= secrets.THRESHOLDS[kind]:
+            out.append((m.start(), 3, m.end(), "entropy"))
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+
+
+def test_all_spans_equal_brute_force(spark):
+    r = random.Random(8)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = list(TEXTS)
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randint(1, 6)):
+            key = "".join(r.choice(r.choice([base62, base62[:52], base62[26:], "0123456789abcdef", "ABCDEF", "_-/+a1"])) for _ in range(r.randint(10, 60)))
+            parts.append(r.choice(["", "token=", "\U0001f600 ", "AKIA", "ZZ" + HEXES + "qQ7"]) + key)
+        texts.append(r.choice([" ", ", ", "\n"]).join(parts))
+    # letters alone, and a run of hex digits inside a longer key
+    texts += ["QwErTzUiOpAsDfGhJkLyXcVbNm", "zQ7Kx" + HEXES + "Tb9LmW2p", "one_long_snake_case_name_here", "A" * 40]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3])]
+    got = secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secrets.spans_text(F.col("secret_spans")).alias("s")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.s == brute_spans(texts[r.doc_id])
+    assert brute_spans(texts[-4]) and brute_spans(texts[-3]).count(",") == 1 and not brute_spans(texts[-1])
+
+
+def test_long_candidates_and_many_matches_take_linear_time(spark):
+    r = random.Random(5)
+    blob = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000))
+    many = " ".join(f"token={i:08d}" for i in range(20_000))
+    df = spark.createDataFrame([(1, blob), (2, many)], "doc_id long, text string")
+    began = time.perf_counter()
+    found = secrets.secret_scan(df).select("doc_id", "text", "secret_spans")
+    got = {r.doc_id: r for r in found.select("doc_id", secrets.spans_text(F.col("secret_spans")).alias("s"), secrets.redact(F.col("text"), F.col("secret_spans")).alias("r")).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].s == "entropy:0:100000" and got[1].r == "<SECRET>"
+    assert got[2].s == brute_base(many) and got[2].r == " ".join(["<SECRET>"] * 20_000)
+
+
 def test_redact_keeps_the_rest(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "text string")
     out = secrets.secret_scan(df).select("text", secrets.redact(F.col("text"), F.col("secret_spans")).alias("r")).collect()
