@@ -11,8 +11,9 @@ one that holds the cut is ordered row by row.
 
 Results by case: null text has size 0; a document of size 0 and a source without words take 0;
 null is a source of its own, sorted last; repeated rows are documents of their own; ties in finish
-time go by source, hash, id, row and pass; an empty table gives no rows; copies that finish later
-than ``LATEST`` are never taken, even if the budget is not used up.
+time go by source, hash, id, text hash, row and pass (rows that agree in id and text are alike, so which of them
+comes first doesn't matter); an empty table gives no rows; very long texts count like others, and one that passes
+what is left of the budget ends the mix.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ from tessera.llm.common import WORD, staged
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
-LATEST = 2.0
-#: Finish-time ranges of the global order.
-RANGES = 8192
+#: Finish-time ranges of the global order: so many for each unit up to 2, and for each doubling after that.
+RANGES = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -58,7 +58,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 
 def _order() -> list[Column]:
-    return [F.col(c) for c in ("finish", "rank", "key", "doc_id", "row", "epoch")]
+    return [F.col(c) for c in ("finish", "rank", "key", "doc_id", "same", "row", "epoch")]
 
 
 def mix(
@@ -80,6 +80,7 @@ def mix(
             word_count(F.col(text)).alias("size"),
             key.alias("key"),
             F.substring(key, 1, 3).alias("bucket"),
+            F.xxhash64(F.col(text)).alias("same"),
             F.monotonically_increasing_id().alias("row"),
             F.struct(*kept).alias("carried") if carry else F.lit(0).alias("carried"),
         ),
@@ -97,10 +98,10 @@ def mix(
     joined = slim.join(
         buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket"))
     )
-    own = Window.partitionBy("rank", "bucket").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("rank", "bucket").orderBy("key", "doc_id", "same", "row").rowsBetween(Window.unboundedPreceding, 0)
     queued = staged(
         joined.withColumn("reached", F.col("ahead") + F.sum("size").over(own)).select(
-            "doc_id", "row", "key", "rank", "size", "source_size", "target", "reached"
+            "doc_id", "same", "row", "key", "rank", "size", "source_size", "target", "reached"
         ),
         "mix-queued",
     )
@@ -109,9 +110,9 @@ def mix(
     copies = F.lit(0)
     if last is not None:
         kinds = dict(queued.dtypes) | {"finish": "double", "epoch": "int"}
-        cut = F.struct(*[F.lit(last[c]).cast(kinds[c]) for c in ("finish", "rank", "key", "doc_id", "row", "epoch")])
+        cut = F.struct(*[F.lit(last[c]).cast(kinds[c]) for c in ("finish", "rank", "key", "doc_id", "same", "row", "epoch")])
         for e in range(epochs):
-            here = F.struct(finish(e), F.col("rank"), F.col("key"), F.col("doc_id"), F.col("row"), F.lit(e))
+            here = F.struct(finish(e), F.col("rank"), F.col("key"), F.col("doc_id"), F.col("same"), F.col("row"), F.lit(e))
             within = F.when((F.col("size") > 0) & (F.col("target") > 0), here <= cut).otherwise(F.lit(False))
             copies = copies + F.when(within, 1).otherwise(0)
     out = queued.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
@@ -129,8 +130,7 @@ def _cut(queued: DataFrame, epochs: int):
         queued.where((F.col("size") > 0) & (F.col("target") > 0))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
         .withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("reached")).cast("double") / F.col("target"))
-        .where(F.col("finish") <= LATEST)
-        .withColumn("range", F.floor(F.col("finish") * (RANGES / LATEST)))
+        .withColumn("range", F.floor(RANGES * F.when(F.col("finish") <= 2, F.col("finish")).otherwise(1 + F.log2("finish"))))
     )
     upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = copies.groupBy("range").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(upto))
