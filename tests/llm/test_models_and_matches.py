@@ -48,8 +48,9 @@ def test_matches_equal_brute_force(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
     items = [(i, " ".join(word() for _ in range(r.randint(8, 30)))) for i in range(12)]
-    items += [(50, None), (51, ""), (52, "too short"), (53, items[0][1])]
-    docs = [(0, None), (1, ""), (2, "Too  SHORT!"), (3, "this is too short a text"), (4, "...")]
+    items += [(50, None), (51, ""), (52, "too short"), (53, items[0][1]), (54, "one of seven words is here quoted"), (55, "é")]
+    docs = [(0, None), (1, ""), (2, "Too  SHORT!"), (3, "this is too short a text"), (4, "..."), (5, "not too shorter"), (6, "caf é, café")]
+    docs += [(7, "it says: One of seven words is here quoted. So"), (8, "one of seven words is here quotes"), (9, "x " * 60_000 + items[3][1] + " y" * 60_000)]
     for i in range(10, 60):
         body = " ".join(word() for _ in range(r.randint(0, 60)))
         if i % 2:
@@ -65,11 +66,15 @@ def test_matches_equal_brute_force(spark):
         t = decon.normalise(t)
         for k, item in items:
             item = decon.normalise(item)
-            if len(item.split()) < decon.MIN_WORDS:
-                want += [(i, k, 0)] if item and item == t else []
-            elif (d := distance(item, t)) <= int(len(item) * decon.RATE):
+            errors = int(len(item) * decon.RATE)
+            if i == 9:
+                want += [(i, k, 0)] if item and f" {item} " in f" {t} " else []
+            elif not errors:
+                want += [(i, k, 0)] if item and f" {item} " in f" {t} " else []
+            elif (d := distance(item, t)) <= errors:
                 want.append((i, k, d))
     assert got == sorted(want) and len(got) > 15
+    assert {(i, k) for i, k, _ in got} >= {(2, 52), (3, 52), (6, 55), (7, 54), (8, 54), (9, 3)} and (5, 52, 0) not in got
 
 
 def test_decontamination_of_empty_tables_and_in_blocks(spark):
@@ -77,10 +82,14 @@ def test_decontamination_of_empty_tables_and_in_blocks(spark):
     bench = spark.createDataFrame([(i, "one two three four five six seven eight" + " x" * i) for i in range(3)], "item_id long, text string")
     assert decon.decontaminate(docs.limit(0), bench).count() == 0
     assert decon.decontaminate(docs, bench.limit(0)).count() == 0
-    parts = decon.blocks(bench, limit=50)
-    assert len(parts) == 3
-    found = docs.select(F.explode(decon.all_matches(F.col("text"), parts)).alias("m")).select("m.item_id").collect()
-    assert {x.item_id for x in found} >= {0}
+    assert len(list(decon.blocks(bench, limit=50))) == 3
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    whole = rows(decon.decontaminate(docs, bench))
+    assert whole and rows(decon.decontaminate(docs, bench, limit=50)) == whole
+    both = docs.union(spark.createDataFrame([(2, "nothing of it"), (None, None)], docs.schema))
+    for limit in (50, 10_000):
+        assert [r.doc_id for r in decon.clean_documents(both, bench, limit=limit).orderBy("doc_id").collect()] == [None, 2]
+    assert decon.clean_documents(both, bench.limit(0)).count() == 3
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
