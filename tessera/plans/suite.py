@@ -315,7 +315,7 @@ def _top(how, n, on=False):
     return from_("customer", as_="c").join(subquery(items), as_="t", how=how).select(lambda c, t: {"k": c.c_custkey, "o": t.o})
 
 
-_LATERAL = "SELECT c_custkey AS k, t.o FROM (SELECT * FROM customer WHERE c_custkey < 400) c {} LATERAL (SELECT o_orderkey AS o FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT {}) t {}"
+_LATERAL = "SELECT c_custkey AS k, t.o FROM customer c {} LATERAL (SELECT o_orderkey AS o FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT {}) t {}"
 
 
 @query("join_lateral_inner", _LATERAL.format("JOIN", 2, "ON true"))
@@ -481,7 +481,7 @@ _frame("groups", "GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW")
 # order, limit, distinct
 
 
-@query("order_nulls", "SELECT doc_id, quality FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) ORDER BY quality DESC NULLS FIRST, doc_id LIMIT 700")
+@query("order_nulls", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS FIRST, d.doc_id")
 def _(engine):
     return from_("documents").left_join("labels", on=lambda d, l: d.doc_id == l.doc_id).select(lambda d, l: {"doc_id": d.doc_id, "quality": l.quality}).order_by(lambda d, l: [("desc_nulls_first", l.quality), d.doc_id])
 
@@ -530,7 +530,7 @@ def _(engine):
 
 
 def _sets(name, op, sql):
-    @query(f"set_{name}", f"(SELECT s_nationkey AS k FROM supplier) {sql} (SELECT c_nationkey FROM customer WHERE c_custkey < 60)")
+    @query(f"set_{name}", f"(SELECT s_nationkey AS k FROM supplier) {sql} (SELECT c_nationkey FROM customer)")
     def run(engine):
         left = from_("supplier").select(lambda s: {"k": s.s_nationkey})
         right = from_("customer").select(lambda c: {"other": c.c_nationkey})
