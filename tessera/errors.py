@@ -56,9 +56,9 @@ class StaleEntryError(TesseraError):
 class ConstraintError(TesseraError):
     """A write that breaks a constraint."""
 
-    def __init__(self, message: str, rows=None):
+    def __init__(self, message: str, rows=None, kind: str | None = None, name: str | None = None):
         super().__init__(message)
-        self.rows = rows
+        self.rows, self.kind, self.name = rows, kind, name
 
 
 class InvalidChangesetError(TesseraError):

@@ -64,6 +64,10 @@ class CustomType:
         """The inside value of a stored column."""
         return column
 
+    def store(self, column: Column) -> Column:
+        """The stored value of an inside column."""
+        return column
+
     def equal(self, a, b) -> bool:
         return a == b
 
@@ -106,6 +110,20 @@ class Enum(CustomType):
         pairs = [F.lit(x) for name, held in self.mapping.items() for x in (held, name)]
         return F.try_element_at(F.create_map(*pairs), column.cast("bigint" if self.stored == "integer" else "string"))
 
+    def store(self, column: Column) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for pair in self.mapping.items() for x in pair]), column)
+
+
+def store(type_, column: Column) -> Column:
+    """The stored value of a column of that type."""
+    if isinstance(type_, tuple):
+        return F.transform(column, lambda x: store(type_[1], x)) if type_[0] == "array" and _custom(type_[1]) else column
+    return type_.store(column) if isinstance(type_, CustomType) else column
+
+
+def _custom(type_) -> bool:
+    return _custom(type_[1]) if isinstance(type_, tuple) else isinstance(type_, CustomType)
+
 
 def base(type_) -> Any:
     """The type that a value of this one is stored as."""

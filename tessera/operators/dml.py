@@ -1,7 +1,7 @@
 """Set-based writes as functions from tables to new tables: insert, update, delete and upsert.
 
-Nothing is changed in place. Each function returns the table's new state and the rows it affected; ``publish`` swaps a stored
-table for its new state in one step.
+Nothing is changed in place. Each function returns the table's new state and the rows it affected; ``publish`` puts the new states
+of one or several stored tables in place of the old ones.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ import uuid
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import ConstraintError, QueryError
 from tessera.functions import types
 from tessera.plans.expr import Lit, Param, wrap
 from tessera.plans.lower import fold, joined, lower, quoted
-from tessera.plans.query import Query
+from tessera.plans.query import Query, to_source
 from tessera.plans.schema import Schema
 
 
@@ -27,11 +27,23 @@ class Written:
 
     table: DataFrame
     affected: DataFrame
+    source: str | None = None
+    schema: Schema | None = None
 
     @property
     def count(self) -> int:
         return self.affected.count()
 
+    def stored(self) -> DataFrame:
+        """The new state under the table's own column names, values as they are stored."""
+        if self.schema is None:
+            return self.table
+        out = []
+        for c in self.table.columns:
+            kind = self.schema.type_of(c) if c in self.schema.fields else "any"
+            out.append(types.store(kind, F.col(quoted(c))).alias(self.schema.source_of(c)))
+        return self.table.select(*out)
+
 
 _ALLOWED = {"source", "name", "joins", "wheres", "ctes", "recursive", "updates", "prefix_", "names", "select_"}
 
@@ -112,7 +124,7 @@ def update_all(engine, query: Query) -> Written:
         values = {k: _value(ctx, query, k, op, v, base) for k, (op, v) in changes.items()}
         own = {c: ctx.column(query.bindings[0], c) for c in columns}
         marked = df.select(*[(F.when(hit, values[c]).otherwise(own[c]) if c in values else own[c]).alias(c) for c in columns], hit.alias("__hit"))
-        return Written(marked.drop("__hit"), marked.where("__hit").drop("__hit"))
+        return _of(query, marked.drop("__hit"), marked.where("__hit").drop("__hit"))
     key = _key(query, base)
     df = df if condition is None else df.where(condition)
     met = df.select(
@@ -124,7 +136,11 @@ def update_all(engine, query: Query) -> Written:
     wide = base.join(met, same, "left")
     hit = F.col("__hit").isNotNull()
     marked = wide.select(*[(F.when(hit, F.col(f"__v_{c}")).otherwise(F.col(quoted(c))) if c in changes else F.col(quoted(c))).alias(c) for c in columns], hit.alias("__hit"))
-    return Written(marked.drop("__hit"), marked.where("__hit").drop("__hit"))
+    return _of(query, marked.drop("__hit"), marked.where("__hit").drop("__hit"))
+
+
+def _of(query: Query, table: DataFrame, affected: DataFrame) -> Written:
+    return Written(table, affected, query.source.value if query.source.kind == "table" else None, query.source.schema)
 
 
 def delete_all(engine, query: Query) -> Written:
@@ -140,20 +156,30 @@ def delete_all(engine, query: Query) -> Written:
     if not query.joins:
         hit = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
         marked = df.select(*own, hit.alias("__hit"))
-        return Written(marked.where("not __hit").drop("__hit"), marked.where("__hit").drop("__hit"))
+        return _of(query, marked.where("not __hit").drop("__hit"), marked.where("__hit").drop("__hit"))
     key = _key(query, base)
     met = (df if condition is None else df.where(condition)).select(*[c for c in own]).select(*key).distinct()
-    return Written(base.join(met, key, "left_anti").select(*base.columns), base.join(met, key, "left_semi").select(*base.columns))
+    return _of(query, base.join(met, key, "left_anti").select(*base.columns), base.join(met, key, "left_semi").select(*base.columns))
 
 
 def insert_all(
-    engine, table: DataFrame, rows, schema: Schema | None = None, on_conflict="raise", conflict_target: list[str] | None = None, placeholders: dict | None = None
+    engine, table: DataFrame, rows, schema: Schema | None = None, on_conflict="raise", conflict_target: list[str] | None = None, placeholders: dict | None = None,
+    returning: bool | list[str] = True, replace_changed: bool = True, source: str | None = None,
 ) -> Written:
     """Insert rows (dicts, a DataFrame, or a query whose select names the columns).
 
     on_conflict: "raise", "nothing", "replace_all", ("replace", fields), ("replace_all_except", fields), or an update query on the
-    table's own fields (set and inc; its where limits the rows). Keys that the new rows repeat are an error.
+    table's own fields (set and inc; its where limits the rows). Of rows that repeat a key, "nothing" takes the first; otherwise
+    they are an error. replace_changed: rows that a replacement wouldn't change don't count as affected. returning: the fields of
+    the affected rows that are kept.
     """
+    done = _insert_all(engine, table, rows, schema, on_conflict, conflict_target, placeholders, replace_changed)
+    if returning is not True:
+        done = replace(done, affected=done.affected.select(*[F.col(quoted(c)) for c in returning or []]))
+    return replace(done, source=source, schema=schema)
+
+
+def _insert_all(engine, table: DataFrame, rows, schema, on_conflict, conflict_target, placeholders, replace_changed) -> Written:
     if isinstance(rows, Query):
         if rows.select_ is None:
             raise QueryError("insert_all of a query needs a select")
@@ -177,14 +203,21 @@ def insert_all(
             raise QueryError("on_conflict needs a key: a conflict target or a primary key")
         return Written(table.union(new), new)
     full = reduce(lambda a, b: a & b, [F.col(quoted(k)).isNotNull() for k in key])
-    if not new.where(full).groupBy(*key).count().where("count > 1").isEmpty():
+    if on_conflict == "nothing":
+        # rows without a whole key are never alike
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy("__row"))
+        new = new.withColumn("__row", F.monotonically_increasing_id()).withColumn("__nth", nth)
+        new = new.where(~full | (F.col("__nth") == 1)).drop("__row", "__nth")
+    elif not new.where(full).groupBy(*key).count().where("count > 1").isEmpty():
         raise ConstraintError(f"the new rows repeat a key {key}")
     met = new.join(table.select(*key), key, "left_semi")
     if on_conflict == "raise":
         if not met.isEmpty():
             raise ConstraintError(f"key {key} is there already", met)
+        _enforce(engine, schema, new, table)
         return Written(table.union(new), new)
     fresh = new.join(table.select(*key), key, "left_anti").select(*table.columns)
+    _enforce(engine, schema, fresh, table)
     if on_conflict == "nothing":
         return Written(table.union(fresh), fresh)
     values = _replaced(engine, table, schema, key, on_conflict)
@@ -193,10 +226,40 @@ def insert_all(
     hit = F.col("__hit").isNotNull()
     if values.get("__where") is not None:
         hit = hit & F.coalesce(values["__where"], F.lit(False))
+    if replace_changed and not isinstance(on_conflict, Query):
+        same = reduce(lambda a, b: a & b, [F.col(quoted("old", c)).eqNullSafe(v) for c, v in values.items()], F.lit(True))
+        hit = hit & ~same
     changed = both.select(*[(F.when(hit, values[c]).otherwise(F.col(quoted("old", c))) if c in values else F.col(quoted("old", c))).alias(c) for c in table.columns], hit.alias("__hit"))
     return Written(changed.drop("__hit").union(fresh), changed.where("__hit").drop("__hit").union(fresh))
 
 
+def _enforce(engine, schema: Schema | None, new: DataFrame, others: DataFrame) -> None:
+    """The schema's constraints on new rows; ``others`` are the rows that stay."""
+    if schema is not None and (broken := violations(engine, schema, new, others)):
+        kind, name = broken[0]
+        raise ConstraintError(f"constraint {name!r} ({kind}) is broken", kind=kind, name=name)
+
+
+def violations(engine, schema: Schema, new: DataFrame, others: DataFrame) -> list[tuple[str, str]]:
+    """(kind, name) of each of the schema's constraints that the new rows break, beside the others."""
+    out = []
+    for c in schema.constraints:
+        fields = list(c.fields)
+        full = reduce(lambda a, b: a & b, [F.col(quoted(k)).isNotNull() for k in fields], F.lit(True))
+        own = new.where(full).select(*fields)
+        if c.kind == "unique":
+            broken = own.groupBy(*fields).count().where("count > 1").select(*fields).union(own.join(others.select(*fields), fields, "left_semi"))
+        elif c.kind == "foreign_key":
+            target = c.target()
+            there = engine.lower(Query(to_source(target))).select(F.col(quoted(c.key or target.single_key())).alias(fields[0]))
+            broken = own.join(there, fields, "left_anti")
+        else:
+            broken = new.where(~F.expr(c.condition))
+        if not broken.isEmpty():
+            out.append((c.kind, c.name))
+    return out
+
+
 def _cell(engine, schema, k, v, placeholders):
     if isinstance(v, tuple) and len(v) == 2 and v[0] == "placeholder":
         v = placeholders[v[1]]
@@ -239,17 +302,43 @@ def _replaced(engine, table: DataFrame, schema, key, on_conflict) -> dict:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Write a table's new state beside the old one, then swap the folders; readers see one or the other."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    to = jvm.org.apache.hadoop.fs.Path
-    fs = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(to(path)):
-        fs.rename(to(path), to(old))
-    fs.rename(to(fresh), to(path))
-    fs.delete(to(old), True)
-    spark.catalog.refreshByPath(path)
+    """Put a table's new state in place of the stored one."""
+    publish_all(df.sparkSession, {path: df})
 
 
+def publish_all(spark, tables: dict[str, DataFrame]) -> None:
+    """Put new states in place of stored tables: all or none.
+
+    All new states are written beside the old ones first, so one may be computed from the other. Then the folders are renamed; if a
+    rename fails, those done are undone. The old folders are deleted last. While a folder is swapped, for the time between
+    two renames, a reader finds no table there.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    files = lambda path: at(path).getFileSystem(conf)
+    mark = uuid.uuid4().hex
+    fresh = {path: f"{path}.new-{mark}" for path in tables}
+    old = {path: f"{path}.old-{mark}" for path in tables}
+    done: list[tuple[str, str]] = []
+
+    def rename(a: str, b: str) -> None:
+        if not files(a).rename(at(a), at(b)):
+            raise OSError(f"{a} can't be renamed to {b}")
+        done.append((a, b))
+
+    try:
+        for path, df in tables.items():
+            df.write.parquet(fresh[path])
+        for path in tables:
+            if files(path).exists(at(path)):
+                rename(path, old[path])
+            rename(fresh[path], path)
+    except Exception:
+        for a, b in reversed(done):
+            files(b).rename(at(b), at(a))
+        for path in tables:
+            files(path).delete(at(fresh[path]), True)
+        raise
+    for path in tables:
+        files(path).delete(at(old[path]), True)
+        spark.catalog.refreshByPath(path)

@@ -1,6 +1,7 @@
 """Named steps run in order: a later step sees the results of those before, the first error stops the run.
 
-Writes are functions from tables to tables, so nothing is stored until ``publish`` names are swapped in at the end.
+Writes are functions from tables to tables: a later step sees the new states of earlier ones, but nothing is stored until the
+tables named in ``paths`` are swapped in together at the end.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from typing import Any
 
 from tessera.errors import CompileError, InvalidChangesetError
 from tessera.operators.changeset import Changeset
-from tessera.operators.dml import Written, publish
+from tessera.operators.dml import Written, publish_all
 from tessera.plans.query import Query
 
 
@@ -117,9 +118,8 @@ class Multi:
                     results[name] = self._step(engine, kind, what, results)
             except StepError as e:
                 return Outcome(False, results, name, e.value)
-        for name, path in (paths or {}).items():
-            if isinstance(results.get(name), Written):
-                publish(results[name].table, path)
+        states = {path: results[name].stored() for name, path in (paths or {}).items() if isinstance(results.get(name), Written)}
+        publish_all(engine.spark, states)
         return Outcome(True, results)
 
     def _step(self, engine, kind: str, what, results: dict):

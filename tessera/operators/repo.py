@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
@@ -14,7 +15,7 @@ from tessera.errors import MultiplePrimaryKeyError, MultipleResultsError, NoPrim
 from tessera.functions import types
 from tessera.operators import dml
 from tessera.plans.expr import Aggregate, Ref, wrap
-from tessera.plans.lower import lower, quoted
+from tessera.plans.lower import lower, quoted, typed
 from tessera.plans.query import Query, SubQuery, from_, to_query
 from tessera.plans.schema import Schema
 
@@ -42,20 +43,37 @@ class Engine:
         return self.spark.table(quoted(prefix, name) if prefix else quoted(name))
 
     def sql(self, text: str, views: dict[str, DataFrame]) -> DataFrame:
-        """SQL over these views; they are there for this statement only."""
-        for name, df in views.items():
-            df.createOrReplaceTempView(name)
-        try:
+        """SQL over these tables, which have these names in this statement only."""
+        used = {n: df for n, df in views.items() if n.lower() in text.lower()}
+        if not used:
             return self.spark.sql(text)
+        mark = uuid.uuid4().hex
+        held = {name: f"tessera_{mark}_{i}" for i, name in enumerate(used)}
+        try:
+            for name, df in used.items():
+                df.createTempView(held[name])
+            ctes = ", ".join(f"{quoted(n)} AS (SELECT * FROM {v})" for n, v in held.items())
+            return self.spark.sql(f"WITH {ctes} SELECT * FROM ({text})")
         finally:
-            for name in views:
-                self.spark.catalog.dropTempView(name)
+            for view in held.values():
+                self.spark.catalog.dropTempView(view)
 
-    def ensure_checkpoints(self) -> None:
-        """The cluster's checkpoint folder; one of our own only where none is set."""
+    def staged(self, df: DataFrame) -> DataFrame:
+        """Written to the cluster's shared folder and read back; a folder of our own only on one machine where none is set."""
+        folder = self.spark.conf.get("spark.checkpoint.dir", None)
         sc = self.spark.sparkContext
-        if not self.spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        if not folder:
+            held = sc._jsc.sc().getCheckpointDir()
+            if held.isDefined():
+                folder = held.get()
+            elif sc.master.startswith("local-") or not sc.master.startswith("local"):
+                raise QueryError("set spark.checkpoint.dir to a folder that the cluster shares")
+            else:
+                folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
+                sc.setCheckpointDir(folder)
+        path = f"{folder.rstrip('/')}/staged/query-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     # running
 
@@ -165,8 +183,8 @@ class Engine:
 
     def insert_all(self, target, rows, **options) -> dml.Written:
         schema = target if isinstance(target, Schema) else None
-        table = self.lower(from_(schema)) if schema is not None else self.table(target)
-        return dml.insert_all(self, table, rows, schema, **options)
+        table = typed(self.table(schema.source, schema.prefix), schema) if schema is not None else self.table(target)
+        return dml.insert_all(self, table, rows, schema, source=schema.source if schema is not None else target, **options)
 
     def update_all(self, query) -> dml.Written:
         q = to_query(query)

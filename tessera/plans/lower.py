@@ -9,6 +9,8 @@ from __future__ import annotations
 import itertools
 import warnings
 from dataclasses import replace
+from decimal import Decimal
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,7 +43,7 @@ class Context:
         self.kinds: list[dict[str, T.DataType]] = []
         self.outer: list[bool] = []
         self.selects: dict[str, Expr] = {}
-        self.pending: list[tuple[str, Column]] = []
+        self.pending: list[tuple[str, Any]] = []
         self.lateral = False
 
     # bindings
@@ -127,6 +129,16 @@ class Context:
         self.pending.append((name, column))
         return name
 
+    def before_select_step(self, name: str, step) -> Column:
+        """A column that step, a function of DataFrames, adds."""
+        self.pending.append((name, step))
+        return F.col(name)
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        for name, made in self.pending:
+            df = df.withColumn(name, made) if isinstance(made, Column) else made(df)
+        return df
+
     # nested queries and SQL
 
     def lower(self, query) -> DataFrame:
@@ -207,13 +219,17 @@ def _literal(v) -> str:
         return "NULL"
     if isinstance(v, bool):
         return "true" if v else "false"
-    if isinstance(v, (int, float)):
+    if isinstance(v, int):
         return repr(v)
+    if isinstance(v, float):
+        return f"CAST('{v!r}' AS DOUBLE)"
+    if isinstance(v, Decimal):
+        return f"{v:f}BD"
     if isinstance(v, (list, tuple)):
         return "array(" + ", ".join(_literal(x) for x in v) + ")"
     if isinstance(v, bytes):
         return f"X'{v.hex()}'"
-    kind = {"datetime": "timestamp_ntz", "date": "date"}.get(type(v).__name__)
+    kind = {"datetime": "timestamp_ntz" if getattr(v, "tzinfo", None) is None else "timestamp", "date": "date"}.get(type(v).__name__)
     text = "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
     return f"{kind} {text}" if kind else text
 
@@ -407,8 +423,7 @@ def lower(engine, query: Query, parent: Context | None = None, scope: dict[str,
         named_columns = [(n, e.build(ctx)) for n, e in named]
         hidden_columns = [(n, e.build(ctx)) for n, e, _ in hidden]
         hidden_columns += [(f"__on_{i}", o.expr.build(ctx)) for i, o in enumerate(distinct_on)]
-        for name, column in ctx.pending:
-            df = df.withColumn(name, column)
+        df = ctx.prepared(df)
     names = [n for n, _ in named_columns]
     if query.distinct_ is True:
         same = {id(e): n for n, e in named} | {("ref", e.binding._index, e.name): n for n, e in named if isinstance(e, Ref)}
@@ -417,18 +432,18 @@ def lower(engine, query: Query, parent: Context | None = None, scope: dict[str,
             at = e.name if isinstance(e, AliasRef) else same.get(id(e)) or isinstance(e, Ref) and same.get(("ref", e.binding._index, e.name))
             if not at:
                 raise QueryError("a distinct query can be ordered by what it selects only")
-            terms.append(ordered(F.col(quoted(at)), direction))
+            terms.append((at, direction))
         df = df.select(*[c.alias(n) for n, c in named_columns]).distinct()
         return _finish(engine, query, parent, scope, df, names, terms)
     if not hidden_columns:
         df = df.select(*[c.alias(n) for n, c in named_columns])
         return _finish(engine, query, parent, scope, df, names, [])
     df = df.select(*[c.alias(n) for n, c in [*named_columns, *hidden_columns]])
-    terms = [ordered(F.col(n), d) for n, _, d in hidden]
+    terms = [(n, d) for n, _, d in hidden]
     if distinct_on:
         keys = [F.col(f"__on_{i}") for i in range(len(distinct_on))]
-        by = [ordered(k, o.direction) for k, o in zip(keys, distinct_on)]
-        first = Window.partitionBy(*keys).orderBy(*(terms or [F.lit(1)]))
+        by = [(f"__on_{i}", o.direction) for i, o in enumerate(distinct_on)]
+        first = Window.partitionBy(*keys).orderBy(*(_sorted_by(terms) or [F.lit(1)]))
         df = df.withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
         terms = [*by, *terms]
     return _finish(engine, query, parent, scope, df, names, terms)
@@ -519,8 +534,7 @@ def _grouped(df, ctx: Context, query: Query, groups, named, hidden, distinct_on)
     columns = [(f"__out_{i}", e.build(ctx)) for i, (_, e) in enumerate(outputs)]
     condition = fold(ctx, query, query.havings)
     extra = [] if condition is None else [condition.alias("__having")]
-    for name, column in ctx.pending:
-        df = df.withColumn(name, column)
+    df = ctx.prepared(df)
     wanted = [*[c.alias(n) for n, c in columns], *extra]
     if keys:
         made = df.groupBy(*keys).agg(*wanted)
@@ -533,7 +547,23 @@ def _grouped(df, ctx: Context, query: Query, groups, named, hidden, distinct_on)
     return made, out[: len(named)], out[len(named) :]
 
 
-def _finish(engine, query: Query, parent, scope, df: DataFrame, names: list[str], terms: list[Column]) -> DataFrame:
+def _sorted_by(terms: list[tuple[str, str]]) -> list[Column]:
+    return [ordered(F.col(quoted(n)), d) for n, d in terms]
+
+
+def _with_ties(df: DataFrame, terms: list[tuple[str, str]], n: int, skip: int) -> DataFrame:
+    """The first n rows after skip and those that tie with the last: only rows with a value of the first n + skip are ranked."""
+    order = _sorted_by(terms)
+    if terms:
+        top = df.select(*[F.col(quoted(t)).alias(f"__top_{i}") for i, (t, _) in enumerate(terms)])
+        top = top.orderBy(*[ordered(F.col(f"__top_{i}"), d) for i, (_, d) in enumerate(terms)]).limit(n + skip).distinct()
+        df = df.join(top, reduce(Column.__and__, [F.col(quoted(t)).eqNullSafe(F.col(f"__top_{i}")) for i, (t, _) in enumerate(terms)]), "left_semi")
+    w = Window.orderBy(*(order or [F.lit(1)]))
+    ranked = df.withColumn("__rank", F.rank().over(w)).withColumn("__row", F.row_number().over(w))
+    return ranked.where((F.col("__row") > skip) & (F.col("__rank") <= skip + n))
+
+
+def _finish(engine, query: Query, parent, scope, df: DataFrame, names: list[str], terms: list[tuple[str, str]]) -> DataFrame:
     if query.combinations:
         df = df.select(*[F.col(quoted(n)) for n in names])
         for kind, other in query.combinations:
@@ -552,17 +582,15 @@ def _finish(engine, query: Query, parent, scope, df: DataFrame, names: list[str]
             at = e.name if isinstance(e, (AliasRef, Ref)) else None
             if at not in names:
                 raise QueryError("a combination can be ordered by its columns only")
-            terms.append(ordered(F.col(quoted(at)), o.direction))
+            terms.append((at, o.direction))
     n, skip = _number(query, query.limit_, "limit"), _number(query, query.offset_, "offset")
     if query.ties and n is not None:
-        w = Window.orderBy(*(terms or [F.lit(1)]))
-        ranked = df.withColumn("__rank", F.rank().over(w)).withColumn("__row", F.row_number().over(w))
-        df = ranked.where((F.col("__row") > (skip or 0)) & (F.col("__rank") <= (skip or 0) + n))
+        df = _with_ties(df, terms, n, skip or 0)
         if terms:
-            df = df.orderBy(*terms)
+            df = df.orderBy(*_sorted_by(terms))
     else:
         if terms:
-            df = df.orderBy(*terms)
+            df = df.orderBy(*_sorted_by(terms))
         if skip:
             df = df.offset(skip)
         if n is not None:
@@ -600,7 +628,7 @@ def _cte(engine, query: Query, name: str, cte, materialized, operation: str, par
         return recursive(engine, name, cte, parent, scope)
     else:
         df = lower(engine, cte, parent, scope)
-    return df.cache() if materialized else df
+    return engine.staged(df) if materialized else df
 
 
 def _mentions(query: Query, name: str) -> bool:
@@ -611,23 +639,23 @@ def _mentions(query: Query, name: str) -> bool:
 def recursive(engine, name: str, cte: Query, parent, scope, most: int = 10_000) -> DataFrame:
     """Anchor, then steps over the rows that the step before added, until one adds none.
 
-    UNION takes only rows not seen before, UNION ALL all. Each step's rows are written to the checkpoint folder, so
+    UNION takes only rows not seen before, UNION ALL all. Each step's rows are written to the shared folder, so
     plans stay short.
     """
     kind, step = cte.combinations[-1]
     if kind not in ("union", "union_all"):
         raise QueryError("a recursive CTE is an anchor united with a step")
     anchor = replace(cte, combinations=cte.combinations[:-1])
-    engine.ensure_checkpoints()
     fresh = lower(engine, anchor, parent, scope)
-    fresh = (fresh.distinct() if kind == "union" else fresh).checkpoint()
+    fresh = engine.staged(fresh.distinct() if kind == "union" else fresh)
     seen = fresh
     for _ in range(most):
         added = lower(engine, step, parent, scope | {name: fresh}).toDF(*seen.columns)
-        added = engine.spark.createDataFrame([], seen.schema).union(added)
+        added = added.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in seen.schema])
         if kind == "union":
-            added = added.distinct().subtract(seen)
-        fresh = added.checkpoint()
+            same = [F.col(quoted("new", c)).eqNullSafe(F.col(quoted("old", c))) for c in seen.columns]
+            added = added.distinct().alias("new").join(seen.alias("old"), reduce(Column.__and__, same), "left_anti")
+        fresh = engine.staged(added)
         if fresh.isEmpty():
             return seen
         seen = seen.union(fresh)

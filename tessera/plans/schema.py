@@ -81,11 +81,36 @@ class Embed:
     many: bool = False
 
 
+@dataclass(frozen=True)
+class Constraint:
+    """What writes hold new rows to: kind unique, foreign_key (``target``'s ``key``) or check (``condition``, SQL over fields)."""
+
+    kind: str
+    name: str
+    fields: tuple[str, ...] = ()
+    target: Callable[[], Schema] | None = None
+    key: str | None = None
+    condition: str | None = None
+
+
+def unique(name: str, *fields: str) -> Constraint:
+    return Constraint("unique", name, fields)
+
+
+def foreign_key(name: str, field: str, target, key: str | None = None) -> Constraint:
+    return Constraint("foreign_key", name, (field,), target, key)
+
+
+def check(name: str, condition: str) -> Constraint:
+    return Constraint("check", name, condition=condition)
+
+
 class Schema:
-    """name, fields, associations and embeds; ``source`` None makes an embedded schema."""
+    """name, fields, associations, embeds and constraints; ``source`` None makes an embedded schema."""
 
-    def __init__(self, name: str, source: str | None, fields: dict[str, Any], assocs=None, embeds=None, prefix: str | None = None):
+    def __init__(self, name: str, source: str | None, fields: dict[str, Any], assocs=None, embeds=None, prefix: str | None = None, constraints=()):
         self.name, self.source, self.prefix = name, source, prefix
+        self.constraints: tuple[Constraint, ...] = tuple(constraints)
         self.fields = {k: f if isinstance(f, Field) else Field(f) for k, f in fields.items()}
         self.assocs: dict[str, Assoc] = dict(assocs or {})
         self.embeds: dict[str, Embed] = dict(embeds or {})

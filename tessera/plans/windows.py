@@ -72,10 +72,10 @@ def build_over(ctx, function: Expr, window):
     if isinstance(function, WindowFunction):
         if excluded:
             raise QueryError("EXCLUDE is for sum and count only")
-        return _function(ctx, function, w, whole, terms)
+        return _function(ctx, function, w, whole, terms, parts)
     if isinstance(function, Aggregate):
         if function.distinct:
-            return F.size(function.build(ctx, over=True).over(w)).cast("long")
+            return _count_distinct(ctx, function, w, whole, parts, terms, spec.get("frame") is not None and (kind, low, high))
         value = function.build(ctx, over=True).over(w)
         if not excluded:
             return value
@@ -93,7 +93,42 @@ def build_over(ctx, function: Expr, window):
     raise CompileError("over() needs an aggregate or a window function")
 
 
-def _function(ctx, f: WindowFunction, w, whole, terms):
+def _count_distinct(ctx, function: Aggregate, w, whole, parts, terms, frame):
+    """Over whole partitions by ranks, over running frames by first occurrences; other frames gather what they hold."""
+    value = function.arg.build(ctx)
+    if function.condition is not None:
+        value = F.when(function.condition.build(ctx), value)
+    unbounded = (Window.unboundedPreceding, Window.unboundedFollowing)
+    if not function.arg.has_aggregate():
+        if not terms and not frame or frame and frame[1:] == unbounded:
+            place = ctx.before_select(F.dense_rank().over(whole.orderBy(value.asc_nulls_last())))
+            return F.coalesce(F.max(F.when(value.isNotNull(), place)).over(whole), F.lit(0)).cast("long")
+        if terms and (not frame or frame[0] in ("ROWS", "RANGE") and frame[1:] == (Window.unboundedPreceding, Window.currentRow)):
+            held = ctx.before_select(value)
+            nth = ctx.before_select(F.row_number().over(Window.partitionBy(*parts, held).orderBy(*terms)))
+            return F.sum(F.when(held.isNotNull() & (nth == 1), 1).otherwise(0)).over(w).cast("long")
+    return F.size(function.build(ctx, over=True).over(w)).cast("long")
+
+
+def _shifted(ctx, value, offset, parts, ranked):
+    """struct<v> of the row so many places on: rows are numbered and joined with themselves by number."""
+    keys = [ctx.before_select_name(p) for p in parts]
+    nth = ctx.before_select_name(F.row_number().over(ranked))
+    aim = ctx.before_select_name(F.col(nth) + offset)
+    held = ctx.before_select_name(F.struct(value.alias("v")))
+    name = f"{held}_at"
+
+    def step(df):
+        there = df.select(*[F.col(k).alias(f"{name}_{i}") for i, k in enumerate(keys)], F.col(nth).alias(f"{name}_n"), F.col(held).alias(name))
+        same = F.col(aim) == F.col(f"{name}_n")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"{name}_{i}"))
+        return df.join(there, same, "left")
+
+    return ctx.before_select_step(name, step)
+
+
+def _function(ctx, f: WindowFunction, w, whole, terms, parts):
     ranked = w if terms else whole.orderBy(F.lit(1))
     if f.name in ("percent_rank", "cume_dist"):
         return getattr(F, f.name)().over(ranked)
@@ -113,6 +148,9 @@ def _function(ctx, f: WindowFunction, w, whole, terms):
         shifted = getattr(F, f.name)(F.struct(value.alias("v")), offset).over(ranked)
         plain = shifted["v"]
         return plain if default is None else F.when(shifted.isNull(), default.build(ctx)).otherwise(plain)
+    if not any(a.has_aggregate() for a in (f.args[0], wrap(offset))):
+        found = _shifted(ctx, value, sign * wrap(offset).build(ctx), parts, ranked)
+        return found["v"] if default is None else F.when(found.isNull(), default.build(ctx)).otherwise(found["v"])
     nth = F.row_number().over(ranked) + sign * wrap(offset).build(ctx)
     all_rows = F.collect_list(F.struct(value.alias("v"))).over(
         ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -251,8 +251,10 @@ def test_inserts(engine):
     rows = [{"id": 1, "name": "ANN"}, {"id": 9, "name": "new"}]
     with pytest.raises(ConstraintError):
         engine.insert_all(USER, rows)
+    again = [{"id": 9, "name": "first"}, {"id": 9, "name": "second"}, {"id": None, "name": "x"}, {"id": None, "name": "y"}]
     with pytest.raises(ConstraintError, match="repeat"):
-        engine.insert_all(USER, [rows[1], rows[1]], on_conflict="nothing")
+        engine.insert_all(USER, again, on_conflict="replace_all")
+    assert sorted(r.name for r in engine.insert_all(USER, again, on_conflict="nothing").affected.collect()) == ["first", "x", "y"]
     with pytest.raises(QueryError, match="conflict target"):
         engine.insert_all(USER, rows, conflict_target=["id"])
     names = lambda **o: dict(engine.insert_all(USER, rows, **o).table.collect())
