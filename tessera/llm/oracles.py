@@ -19,7 +19,7 @@ WITH cut AS (
   FROM pieces
 ), units AS (
   SELECT doc_id, pos, k, piece,
-         line_gone OR (length(clean) >= 40 AND row_number() OVER (PARTITION BY clean ORDER BY doc_id, pos, k) > 1) AS gone
+         line_gone OR (length(clean) >= 20 AND row_number() OVER (PARTITION BY clean ORDER BY doc_id, pos, k) > 1) AS gone
   FROM sentences
   UNION ALL SELECT doc_id, pos, 1000000000, chr(10), line_gone FROM ranked WHERE pos < n
 ), placed AS (
@@ -29,12 +29,14 @@ WITH cut AS (
   SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos, k ROWS UNBOUNDED PRECEDING) AS run FROM placed
 ), runs AS (
   SELECT doc_id, run, CAST(min(upto - length(piece)) AS BIGINT) AS low, CAST(max(upto) AS BIGINT) AS high FROM numbered WHERE gone GROUP BY doc_id, run
+  HAVING sum(len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+'))) >= 15
 ), spans AS (
   SELECT doc_id, count(*) AS n_removed, CAST(sum(high - low) AS BIGINT) AS n_removed_chars,
          string_agg(CAST(low AS VARCHAR) || ':' || CAST(high AS VARCHAR), ',' ORDER BY low) AS spans
   FROM runs GROUP BY doc_id
 ), kept AS (
-  SELECT doc_id, string_agg(piece, '' ORDER BY pos, k) FILTER (NOT gone) AS text FROM units GROUP BY doc_id
+  SELECT n.doc_id, string_agg(piece, '' ORDER BY pos, k) FILTER (NOT gone OR r.run IS NULL) AS text
+  FROM numbered n LEFT JOIN runs r ON n.doc_id = r.doc_id AND n.run = r.run GROUP BY n.doc_id
 )
 SELECT d.doc_id, coalesce(s.n_removed, 0) AS n_removed, coalesce(s.n_removed_chars, 0) AS n_removed_chars,
        coalesce(s.spans, '') AS spans, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
@@ -71,7 +73,7 @@ WITH sized AS (
   FROM queued, (VALUES (0), (1), (2)) AS e(epoch) WHERE size > 0 AND target > 0
 ), ordered AS (
   SELECT doc_id, size, sum(size) OVER (ORDER BY finish, rank, key, doc_id, epoch ROWS UNBOUNDED PRECEDING) AS run
-  FROM copies WHERE finish <= 2.0
+  FROM copies
 ), took AS (
   SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM ordered
   WHERE run <= (SELECT sum(size) FROM sized) GROUP BY doc_id
@@ -111,3 +113,80 @@ WITH v AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+OP8_JACCARD_JOIN = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s
+  FROM words
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) + any_value(b.n) AS total
+  FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (total - shared)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.b = l.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
+FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON s.doc_id = r.a
+"""
+
+_CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+_ALLOWED = (
+    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    r"(?i)(example|sample|placeholder|dummy|changeme|redacted|x{6,})",
+    r"(?i)(abcdefgh|01234567|12345678)",
+    r"^([A-Za-z]{2,}[-_/+])+[A-Za-z0-9]*$",
+)
+_FOUND = """
+  SELECT doc_id, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(t, '{pattern}') AS hits,
+         regexp_extract_all(t, '{pattern}', {group}) AS parts, string_split_regex(t, '{pattern}') AS gaps, {least} AS least
+  FROM texts WHERE regexp_matches(t, '{pattern}')
+"""
+_KINDS = (
+    ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("entropy", _CANDIDATE, 0, 20),
+)
+
+OP2_SECRET_SCANS = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), found AS ({"UNION ALL".join(_FOUND.format(kind=k, rank=i, pattern=p, group=g, least=n) for i, (k, p, g, n) in enumerate(_KINDS))}
+), numbered AS (
+  SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found
+), placed AS (
+  SELECT doc_id, kind, rank, hits[i] AS hit, length(parts[i]) >= least AS long,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS low
+  FROM numbered
+), spans AS (
+  SELECT doc_id, kind, rank, hit, CAST(low AS BIGINT) AS low, CAST(low + length(hit) AS BIGINT) AS high FROM placed WHERE long
+), base AS (
+  SELECT * FROM spans WHERE kind <> 'entropy'
+), judged AS (
+  SELECT *, list_max(list_transform(range(1, length(hit) - 18), lambda i: list_aggregate(string_split(hit[i : i + 19], ''), 'entropy'))) AS bits,
+         regexp_matches(hit, '[0-9]') AS digits, regexp_matches(hit, '[A-Z]') AS upper, regexp_matches(hit, '[a-z]') AS lower
+  FROM spans WHERE kind = 'entropy' AND {" AND ".join(f"NOT regexp_matches(hit, '{p}')" for p in _ALLOWED)}
+), secret AS (
+  SELECT doc_id, kind, rank, hit, low, high FROM judged j
+  WHERE bits >= CASE WHEN digits AND (upper OR lower) AND regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') THEN 2.9
+                     WHEN digits AND (upper OR lower) THEN 3.6 WHEN upper AND lower THEN 3.9 END
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = j.doc_id AND b.low <= j.low AND j.high <= b.high)
+), every AS (
+  SELECT * FROM base UNION ALL SELECT * FROM secret
+), named AS (
+  SELECT *, kind || ':' || low || ':' || high AS name FROM every
+)
+SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(name, ',' ORDER BY low, rank) FILTER (kind <> 'entropy'), '')) AS base_sha256,
+       coalesce(string_agg(name, ',' ORDER BY low, rank), '') AS spans
+FROM texts t LEFT JOIN named n ON t.doc_id = n.doc_id GROUP BY t.doc_id
+"""

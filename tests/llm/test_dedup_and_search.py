@@ -6,11 +6,15 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm.substring_dedup import MIN_LINE, MIN_SENTENCE, normalise, substring_dedup
+from tessera.llm.substring_dedup import MIN_UNIT, MIN_WORDS, substring_dedup
 from tessera.llm.topk_search import MTree, top_k
 
 
-def brute_lines(rows):
+def normalise(line):
+    return re.sub(r"[ \t\r]+", " ", line).strip(" ").translate({i: i + 32 for i in range(65, 91)})
+
+
+def brute_lines(rows, min_words=MIN_WORDS):
     seen, out = set(), []
     for i, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
         gone, at = set(), 0
@@ -18,7 +22,7 @@ def brute_lines(rows):
         for k, line in enumerate(lines):
             end = at + len(line) + (k + 1 < len(lines))
             clean = normalise(line)
-            if len(clean) >= MIN_LINE:
+            if len(clean) >= MIN_UNIT:
                 if ("line", clean) in seen:
                     gone |= set(range(at, end))
                 seen.add(("line", clean))
@@ -26,12 +30,17 @@ def brute_lines(rows):
             for m in [*re.finditer(r"[.!?][ \t\r]+", line), None]:
                 stop = m.end() if m else len(line)
                 clean = normalise(line[start:stop])
-                if len(clean) >= MIN_SENTENCE:
+                if len(clean) >= MIN_UNIT:
                     if ("sentence", clean) in seen:
                         gone |= set(range(at + start, at + stop))
                     seen.add(("sentence", clean))
                 start = stop
             at = end
+        starts = sorted(p for p in gone if p - 1 not in gone)
+        runs = [(a, next(p for p in range(a, len(text) + 1) if p not in gone)) for a in starts]
+        for a, b in runs:
+            if len(re.findall(r"[^\x20\x09-\x0D]+", text[a:b])) < min_words:
+                gone -= set(range(a, b))
         runs = sum(p - 1 not in gone for p in gone)
         out.append((i, None if text is None else "".join(c for p, c in enumerate(text) if p not in gone), runs))
     return sorted(out, key=str)
@@ -50,6 +59,9 @@ def test_lines_equal_brute_force(spark):
         rows.append((i, f"own words {i} and {i * 7} more. {passage[cut:]} and the end {i}.\nshort. {passage}"))
     rows += [(500, None), (501, ""), (502, "\n\n\n"), (503, "a line that says one thing\n" * 3000), (None, pool[0] + " and some more words")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash")).repartition(4)
+    for least in (0, 9):
+        got = substring_dedup(df, min_words=least).collect()
+        assert sorted(((x.doc_id, x.text, x.n_removed) for x in got), key=str) == brute_lines(rows, least)
     got = substring_dedup(df).collect()
     assert sorted(((x.doc_id, x.text, x.n_removed) for x in got), key=str) == brute_lines(rows)
     texts = dict(rows)
@@ -66,7 +78,8 @@ def test_lines_equal_brute_force(spark):
 def test_repeated_rows_and_empty_tables(spark):
     line = "a line that is long enough to count"
     df = spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string")
-    assert sorted((x.doc_id, x.n_removed) for x in substring_dedup(df).collect()) == [(1, 0), (1, 0), (2, 1)]
+    assert sorted((x.doc_id, x.n_removed) for x in substring_dedup(df, min_words=8).collect()) == [(1, 0), (1, 0), (2, 1)]
+    assert sorted((x.doc_id, x.n_removed) for x in substring_dedup(df).collect()) == [(1, 0), (1, 0), (2, 0)]
     assert substring_dedup(df.limit(0)).count() == 0
 
 
