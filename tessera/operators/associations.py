@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import QueryError
-from tessera.plans.expr import Compare, Expr, Fragment, Logic, Ref, wrap
+from tessera.plans.expr import Compare, Expr, Fragment, Logic, Ref, ordered, wrap
 from tessera.plans.query import Binding, Join, Query, from_, to_query, to_source
 from tessera.plans.schema import Assoc, Schema
 from tessera.plans.windows import orders
@@ -176,6 +176,69 @@ def assoc_query(engine, rows: DataFrame, owner: Schema, path: list[str] | str) -
     return related.join(ids, OWNER, "left_semi").drop(OWNER).distinct()
 
 
+def build_assoc(owner: Schema, record: dict, name: str, values: dict | None = None) -> dict:
+    """A new related record with what ties it to its owner."""
+    a, target, own, theirs = keys(owner, name)
+    if a.through:
+        raise QueryError("a record can't be built through another association")
+    plain = {k: v for k, v in a.where.items() if v is not None and not isinstance(v, tuple)}
+    tied = {theirs: record[own]} if a.kind in ("has_many", "has_one") else {}
+    return {k: f.default for k, f in target.fields.items()} | plain | (values or {}) | tied
+
+
+def assoc_loaded(record, name: str) -> bool:
+    """Whether the association is there, be it empty."""
+    return name in (record.asDict() if hasattr(record, "asDict") else record)
+
+
+def joined_preloads(engine, query: Query, functions) -> DataFrame:
+    """Rows with associations taken from the query's own joins: {name: binding} or {name: (binding, {name: ...})}.
+
+    Each record is one column first; records further in are gathered for each record that they belong to.
+    """
+    if query.select_ is not None:
+        raise QueryError("a preload from a join goes with a select of the source itself")
+    tree: dict = {}
+    for f in functions:
+        tree |= query.resolve(f)
+    places: dict[str, tuple] = {}
+
+    def walk(schema: Schema, wanted: dict, path: str):
+        out = []
+        for name, to in wanted.items():
+            binding, below = to if isinstance(to, tuple) else (to, {})
+            a, target, *_ = keys(schema, name)
+            own = f"{path}__{name}"
+            places[own] = binding
+            out.append((own, name, a.many, walk(target, below, own)))
+        return out
+
+    nodes = walk(query.source.schema, tree, "__in")
+    orders_, bare = query.order_bys, replace(query, order_bys=())
+    df = engine.lower(bare.select({"__row": query.bindings[0]} | places))
+
+    def gather(df: DataFrame, node) -> DataFrame:
+        own, _, many, below = node
+        for child in below:
+            df = gather(df, child)
+        if below:
+            inner = [F.col(f"`{own}`.`{f.name}`") for f in df.schema[own].dataType.fields] + [F.col(c[0]).alias(c[1]) for c in below]
+            df = df.withColumn(own, F.when(F.col(own).isNotNull(), F.struct(*inner))).drop(*[c[0] for c in below])
+        rest = [c for c in df.columns if c != own]
+        found = F.sort_array(F.collect_set(own)) if many else F.any_value(own, True)
+        return df.groupBy(*[F.col(f"`{c}`") for c in rest]).agg(found.alias(own))
+
+    for node in nodes:
+        df = gather(df, node)
+    out = df.select("__row.*", *[F.col(own).alias(name) for own, name, _, _ in nodes])
+    if orders_:
+        terms = [o for part in orders_ for o in orders(query._fields(query.resolve(part)))]
+        if any(not isinstance(o.expr, Ref) or o.expr.binding._index for o in terms):
+            raise QueryError("rows with preloads from joins are ordered by the source's own fields")
+        out = out.orderBy(*[ordered(F.col(f"`{o.expr.name}`"), o.direction) for o in terms])
+    return out
+
+
 def preload(engine, rows: DataFrame, owner: Schema, wanted) -> DataFrame:
     """``rows`` with a nested column for each association: a list of records, or one.
 
@@ -187,6 +250,11 @@ def preload(engine, rows: DataFrame, owner: Schema, wanted) -> DataFrame:
     return rows
 
 
+def preload_pairs(wanted):
+    """(name, how) of what is to be preloaded."""
+    return _pairs(wanted if not isinstance(wanted, tuple) else [wanted])
+
+
 def _pairs(wanted):
     if isinstance(wanted, str):
         return [(wanted, None)]
@@ -228,11 +296,12 @@ def _preload_one(engine, rows: DataFrame, owner: Schema, name: str, how) -> Data
         related = related.withColumnRenamed("__outer_key", OWNER)
     record = F.struct(*[F.col(c) for c in related.columns if c != OWNER])
     many = a.kind in ("has_many", "many_to_many")
-    keyed = related.select(OWNER, record.alias("__record"), *_order_keys(order, target))
-    names = [c for c in keyed.columns if c.startswith("__by_")]
-    pair = F.struct(*[F.col(c) for c in names], F.col("__record"))
+    keyed = related.select(OWNER, record.alias("__record"))
+    pair = F.struct(F.col("__record"))
     if many:
-        lists = keyed.groupBy(OWNER).agg(F.sort_array(F.collect_list(pair)).alias("__list"))
+        by = [(o.expr.value if hasattr(o.expr, "value") else o.expr.name, o.direction) for o in (orders(order) if order else [])]
+        listed = F.collect_list(pair)
+        lists = keyed.groupBy(OWNER).agg((F.array_sort(listed, _comparing(by)) if by else F.sort_array(listed)).alias("__list"))
         lists = lists.select(OWNER, F.transform("__list", lambda x: x["__record"]).alias(name))
         out = rows.join(lists, rows[own] == lists[OWNER], "left").drop(OWNER)
         empty = F.array().cast(lists.schema[name].dataType)
@@ -241,19 +310,23 @@ def _preload_one(engine, rows: DataFrame, owner: Schema, name: str, how) -> Data
     return rows.join(one, rows[own] == one[OWNER], "left").drop(OWNER)
 
 
-def _order_keys(order, target: Schema):
-    """Columns that sort a list ascending: numbers and times are turned round for a falling order."""
-    out = []
-    for i, o in enumerate(orders(order) if order else []):
-        field = o.expr.value if hasattr(o.expr, "value") else o.expr.name
-        column = F.col(field)
-        if o.direction.startswith("desc"):
-            kind = target.type_of(field)
-            if kind in ("integer", "id", "float", "decimal"):
-                column = -column
-            elif "date" in str(kind):
-                column = -F.unix_micros(column.cast("timestamp"))
-            else:
-                raise QueryError(f"a list can't be sorted by falling {field!r} ({kind})")
-        out.append(column.alias(f"__by_{i}"))
-    return out
+def _comparing(by):
+    """Compares two records by fields and directions: nulls last when rising, first when falling, unless said otherwise."""
+
+    def one(a, b, name: str, direction: str):
+        x, y = a["__record"][name], b["__record"][name]
+        nulls = -1 if direction in ("desc", "desc_nulls_first", "asc_nulls_first") else 1
+        less = 1 if direction.startswith("desc") else -1
+        return (
+            F.when(x.isNull() & y.isNull(), 0).when(x.isNull(), nulls).when(y.isNull(), -nulls)
+            .when(x < y, less).when(x > y, -less).otherwise(0)
+        )
+
+    def compare(a, b):
+        out = F.when(a["__record"] < b["__record"], -1).when(a["__record"] > b["__record"], 1).otherwise(0)
+        for name, direction in reversed(by):
+            found = one(a, b, name, direction)
+            out = F.when(found != 0, found).otherwise(out)
+        return out
+
+    return compare

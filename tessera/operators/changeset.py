@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import InvalidChangesetError, QueryError
 from tessera.functions import types
+from tessera.operators import messages
 from tessera.plans.schema import Schema
 
 _NONE = "cast(array() as array<struct<field:string,message:string,validation:string>>)"
@@ -47,7 +48,7 @@ class Changeset:
         flags = [(F.col(c).isNotNull() & F.col(f"__cast_{c}").isNull()).alias(f"__bad_{c}") for c in wrong]
         made = Changeset(out.select(*plain, *flags))
         for c in wrong:
-            made = made.check(F.col(f"__bad_{c}"), c, "is invalid", "cast")
+            made = made.check(F.col(f"__bad_{c}"), c, messages.INVALID, "cast")
         return made
 
     # checks within a row
@@ -58,19 +59,19 @@ class Changeset:
             missing = F.col(f).isNull()
             if trim and kinds[f] == "string":
                 missing = missing | (F.regexp_replace(F.col(f), r"^\s+|\s+$", "") == "")
-            out = out.check(missing, f, "can't be blank", "required")
+            out = out.check(missing, f, messages.BLANK, "required")
         return out
 
-    def validate_format(self, field: str, pattern: str, message: str = "has invalid format") -> Changeset:
+    def validate_format(self, field: str, pattern: str, message: str = messages.FORMAT) -> Changeset:
         return self.check(~F.col(field).rlike(pattern), field, message, "format")
 
-    def validate_inclusion(self, field: str, values, message: str = "is invalid") -> Changeset:
+    def validate_inclusion(self, field: str, values, message: str = messages.INVALID) -> Changeset:
         return self.check(~F.col(field).isin(list(values)), field, message, "inclusion")
 
-    def validate_exclusion(self, field: str, values, message: str = "is reserved") -> Changeset:
+    def validate_exclusion(self, field: str, values, message: str = messages.RESERVED) -> Changeset:
         return self.check(F.col(field).isin(list(values)), field, message, "exclusion")
 
-    def validate_subset(self, field: str, values, message: str = "has an invalid entry") -> Changeset:
+    def validate_subset(self, field: str, values, message: str = messages.SUBSET) -> Changeset:
         allowed = F.array(*[F.lit(v) for v in values])
         return self.check(F.size(F.array_except(F.col(field), allowed)) > 0, field, message, "subset")
 
@@ -82,44 +83,43 @@ class Changeset:
         verb = "have" if many else "be"
         out = self
         if is_ is not None:
-            return out.check(size != is_, field, f"should {verb} {is_} {what}", "length")
+            return out.check(size != is_, field, messages.LENGTH["is"].format(verb=verb, n=is_, what=what), "length")
         if min_ is not None:
-            out = out.check(size < min_, field, f"should {verb} at least {min_} {what}", "length")
+            out = out.check(size < min_, field, messages.LENGTH["min"].format(verb=verb, n=min_, what=what), "length")
         if max_ is not None:
             # one message a field: too short goes before too long
             over = size > max_ if min_ is None else (size > max_) & ~(size < min_)
-            out = out.check(over, field, f"should {verb} at most {max_} {what}", "length")
+            out = out.check(over, field, messages.LENGTH["max"].format(verb=verb, n=max_, what=what), "length")
         return out
 
     def validate_number(self, field: str, **limits) -> Changeset:
         tests = {
-            "less_than": (lambda c, n: c >= n, "must be less than {}"),
-            "greater_than": (lambda c, n: c <= n, "must be greater than {}"),
-            "less_than_or_equal_to": (lambda c, n: c > n, "must be less than or equal to {}"),
-            "greater_than_or_equal_to": (lambda c, n: c < n, "must be greater than or equal to {}"),
-            "equal_to": (lambda c, n: c != n, "must be equal to {}"),
-            "not_equal_to": (lambda c, n: c == n, "must be not equal to {}"),
+            "less_than": lambda c, n: c >= n,
+            "greater_than": lambda c, n: c <= n,
+            "less_than_or_equal_to": lambda c, n: c > n,
+            "greater_than_or_equal_to": lambda c, n: c < n,
+            "equal_to": lambda c, n: c != n,
+            "not_equal_to": lambda c, n: c == n,
         }
         out, earlier = self, F.lit(False)
         for name, n in limits.items():
             if name not in tests:
                 raise QueryError(f"unknown limit {name!r}")
-            test, message = tests[name]
-            failed = F.coalesce(test(F.col(field), n), F.lit(False))
-            out, earlier = out.check(failed & ~earlier, field, message.format(n), "number"), earlier | failed
+            failed = F.coalesce(tests[name](F.col(field), n), F.lit(False))
+            out, earlier = out.check(failed & ~earlier, field, messages.NUMBER[name].format(n), "number"), earlier | failed
         return out
 
-    def validate_confirmation(self, field: str, message: str = "does not match confirmation") -> Changeset:
+    def validate_confirmation(self, field: str, message: str = messages.CONFIRMATION) -> Changeset:
         other = f"{field}_confirmation"
         return self.check(F.col(other).isNotNull() & ~F.col(field).eqNullSafe(F.col(other)), other, message, "confirmation")
 
-    def validate_acceptance(self, field: str, message: str = "must be accepted") -> Changeset:
+    def validate_acceptance(self, field: str, message: str = messages.ACCEPTANCE) -> Changeset:
         return self.check(~F.coalesce(F.col(field), F.lit(False)), field, message, "acceptance")
 
-    def validate_change(self, field: str, failed: Column, message: str = "is invalid") -> Changeset:
+    def validate_change(self, field: str, failed: Column, message: str = messages.INVALID) -> Changeset:
         return self.check(F.col(field).isNotNull() & failed, field, message, "custom")
 
-    def check_constraint(self, name: str, holds: Column, field: str, message: str = "is invalid") -> Changeset:
+    def check_constraint(self, name: str, holds: Column, field: str, message: str = messages.INVALID) -> Changeset:
         return self.check(~holds, field, message, name)
 
     # checks over rows
@@ -127,7 +127,7 @@ class Changeset:
     def _flagged(self, df: DataFrame) -> Changeset:
         return replace(self, df=df)
 
-    def validate_unique(self, fields: list[str], existing: DataFrame | None = None, message: str = "has already been taken") -> Changeset:
+    def validate_unique(self, fields: list[str], existing: DataFrame | None = None, message: str = messages.TAKEN) -> Changeset:
         """No two rows with one key, nor a row with a key of ``existing``; keys with a null are never equal."""
         flag = f"__unique_{len(self.checks)}"
         full = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in fields])
@@ -138,7 +138,7 @@ class Changeset:
         df = self.df.join(taken.withColumn(flag, F.lit(True)), fields, "left")
         return self._flagged(df.select(*self.df.columns, flag)).check(F.col(flag), fields[0], message, "unique")
 
-    def foreign_key(self, field: str, related: DataFrame, key: str, message: str = "does not exist") -> Changeset:
+    def foreign_key(self, field: str, related: DataFrame, key: str, message: str = messages.NO_SUCH) -> Changeset:
         flag = f"__foreign_{len(self.checks)}"
         known = related.select(F.col(key).alias(field)).where(F.col(field).isNotNull()).distinct().withColumn(flag, F.lit(True))
         df = self.df.join(known, field, "left").select(*self.df.columns, flag)
@@ -146,13 +146,13 @@ class Changeset:
 
     assoc_constraint = foreign_key
 
-    def no_assoc(self, key: str, related: DataFrame, field: str, message: str = "is still associated with this entry") -> Changeset:
+    def no_assoc(self, key: str, related: DataFrame, field: str, message: str = messages.STILL_ONE) -> Changeset:
         flag = f"__assoc_{len(self.checks)}"
         used = related.select(F.col(field).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
         df = self.df.join(used, key, "left").select(*self.df.columns, flag)
         return self._flagged(df).check(F.col(flag), key, message, "no_assoc")
 
-    def exclusion_constraint(self, low: str, high: str, by: list[str], message: str = "violates an exclusion constraint") -> Changeset:
+    def exclusion_constraint(self, low: str, high: str, by: list[str], message: str = messages.EXCLUSION) -> Changeset:
         """No row's range [low, high) meets another's of the same key; found with running maxima, not with pairs."""
         flag = f"__exclusion_{len(self.checks)}"
         order = Window.partitionBy(*by).orderBy(low, high)
@@ -173,6 +173,10 @@ class Changeset:
         plain = [c for c in self.df.columns if not c.startswith("__")]
         return self.df.select(*plain, errors.alias("errors")).withColumn("valid", F.size("errors") == 0)
 
+    def traverse_validations(self) -> list[tuple[str, str]]:
+        """(field, validation) of every check there is, in order."""
+        return [(f, v) for _, f, _, v in self.checks]
+
     def traverse_errors(self) -> DataFrame:
         """field, message, validation, rows: how often each failure occurs."""
         e = self.result().select(F.explode("errors").alias("e"))

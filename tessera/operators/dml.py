@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.errors import ConstraintError, QueryError
 from tessera.functions import types
@@ -96,6 +97,8 @@ def _value(ctx, query: Query, field: str, op: str, v, base: DataFrame):
     kind = base.schema[field].dataType
     schema_type = ctx.field_type(query.bindings[0], field)
     e = wrap(v)
+    if isinstance(e, Lit) and query.source.schema is not None and field in query.source.schema.embeds:
+        return nested(e.value, kind)
     if isinstance(e, (Lit, Param)) and schema_type != "any":
         inner = schema_type[1] if op in ("push", "pull") and isinstance(schema_type, tuple) else schema_type
         new = Lit(types.dump(inner, types.cast(inner, e.value))).build(ctx)
@@ -110,6 +113,18 @@ def _value(ctx, query: Query, field: str, op: str, v, base: DataFrame):
     return F.array_remove(own, new.cast(kind.elementType))
 
 
+def nested(value, kind: T.DataType):
+    """A record or a list of records as a column."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.StructType):
+        held = [value.get(f.name) if isinstance(value, dict) else value[i] for i, f in enumerate(kind)]
+        return F.struct(*[nested(v, f.dataType).alias(f.name) for v, f in zip(held, kind)])
+    if isinstance(kind, T.ArrayType):
+        return F.array(*[nested(v, kind.elementType) for v in value]).cast(kind)
+    return F.lit(value).cast(kind)
+
+
 def update_all(engine, query: Query) -> Written:
     """set, inc, push and pull on the rows that the query meets; with joins, each row is written once."""
     _guard(query, "update_all")
@@ -213,7 +228,8 @@ def _insert_all(engine, table: DataFrame, rows, schema, on_conflict, conflict_ta
     met = new.join(table.select(*key), key, "left_semi")
     if on_conflict == "raise":
         if not met.isEmpty():
-            raise ConstraintError(f"key {key} is there already", met)
+            name = f"{schema.source}_pkey" if schema is not None and key == schema.primary_key else None
+            raise ConstraintError(f"key {key} is there already", met, kind="unique", name=name)
         _enforce(engine, schema, new, table)
         return Written(table.union(new), new)
     fresh = new.join(table.select(*key), key, "left_anti").select(*table.columns)
@@ -301,6 +317,29 @@ def _replaced(engine, table: DataFrame, schema, key, on_conflict) -> dict:
     raise QueryError(f"unknown on_conflict {on_conflict!r}")
 
 
+class Folders:
+    """Folders of any file system that Spark knows."""
+
+    def __init__(self, spark):
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        at = self._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self._conf), at
+
+    def exists(self, path: str) -> bool:
+        fs, at = self._at(path)
+        return fs.exists(at)
+
+    def delete(self, path: str) -> None:
+        fs, at = self._at(path)
+        fs.delete(at, True)
+
+    def rename(self, a: str, b: str) -> bool:
+        fs, at = self._at(a)
+        return fs.rename(at, self._at(b)[1])
+
+
 def publish(df: DataFrame, path: str) -> None:
     """Put a table's new state in place of the stored one."""
     publish_all(df.sparkSession, {path: df})
@@ -313,16 +352,14 @@ def publish_all(spark, tables: dict[str, DataFrame]) -> None:
     rename fails, those done are undone. The old folders are deleted last. While a folder is swapped, for the time between
     two renames, a reader finds no table there.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path
-    files = lambda path: at(path).getFileSystem(conf)
+    folders = Folders(spark)
     mark = uuid.uuid4().hex
     fresh = {path: f"{path}.new-{mark}" for path in tables}
     old = {path: f"{path}.old-{mark}" for path in tables}
     done: list[tuple[str, str]] = []
 
     def rename(a: str, b: str) -> None:
-        if not files(a).rename(at(a), at(b)):
+        if not folders.rename(a, b):
             raise OSError(f"{a} can't be renamed to {b}")
         done.append((a, b))
 
@@ -330,15 +367,15 @@ def publish_all(spark, tables: dict[str, DataFrame]) -> None:
         for path, df in tables.items():
             df.write.parquet(fresh[path])
         for path in tables:
-            if files(path).exists(at(path)):
+            if folders.exists(path):
                 rename(path, old[path])
             rename(fresh[path], path)
     except Exception:
         for a, b in reversed(done):
-            files(b).rename(at(b), at(a))
+            folders.rename(b, a)
         for path in tables:
-            files(path).delete(at(fresh[path]), True)
+            folders.delete(fresh[path])
         raise
     for path in tables:
-        files(path).delete(at(old[path]), True)
+        folders.delete(old[path])
         spark.catalog.refreshByPath(path)

@@ -13,8 +13,12 @@ from typing import Any
 from tessera.errors import CompileError, InvalidChangesetError
 from tessera.operators.changeset import Changeset
 from tessera.operators.dml import Written, publish_all
+from tessera.operators.persist import as_change, save
+from tessera.operators.record import RecordChange
 from tessera.plans.query import Query
 
+_SINGLE = ("insert", "update", "insert_or_update", "delete")
+
 
 class StepError(Exception):
     """Raised inside a step to stop the run with a value."""
@@ -64,6 +68,19 @@ class Multi:
     def exists(self, name: str, query) -> Multi:
         return self._add(name, "exists", query)
 
+    def insert(self, name: str, record, **options) -> Multi:
+        """record: a change, (schema, dict), or a function of the results so far that gives one; likewise in the next three."""
+        return self._add(name, "insert", (record, options))
+
+    def update(self, name: str, change, **options) -> Multi:
+        return self._add(name, "update", (change, options))
+
+    def insert_or_update(self, name: str, change, **options) -> Multi:
+        return self._add(name, "insert_or_update", (change, options))
+
+    def delete(self, name: str, change, **options) -> Multi:
+        return self._add(name, "delete", (change, options))
+
     def insert_all(self, name: str, target, rows, **options) -> Multi:
         return self._add(name, "insert_all", (target, rows, options))
 
@@ -93,8 +110,9 @@ class Multi:
         return replace(self, steps=(*self.steps, (f"__inspect_{len(self.steps)}", "inspect", show)))
 
     def transact(self, engine, paths: dict[str, str] | None = None) -> Outcome:
-        """Run the steps; if all succeed, the tables of written steps named in ``paths`` are published."""
+        """Run the steps; if all succeed, the tables of written steps, or of sources, named in ``paths`` are published."""
         results: dict[str, Any] = {}
+        engine = engine.overlay()
         for name, kind, what in self.steps:
             if kind == "validate":
                 try:
@@ -103,6 +121,8 @@ class Multi:
                     return Outcome(False, {}, name, what.result().where("not valid"))
             elif kind == "error":
                 return Outcome(False, {}, name, what)
+            elif kind in _SINGLE and isinstance(what[0], RecordChange) and not what[0].valid:
+                return Outcome(False, {}, name, what[0])
         waiting = list(self.steps)
         while waiting:
             name, kind, what = waiting.pop(0)
@@ -118,7 +138,12 @@ class Multi:
                     results[name] = self._step(engine, kind, what, results)
             except StepError as e:
                 return Outcome(False, results, name, e.value)
-        states = {path: results[name].stored() for name, path in (paths or {}).items() if isinstance(results.get(name), Written)}
+        states = {}
+        for name, path in (paths or {}).items():
+            if isinstance(results.get(name), Written):
+                states[path] = results[name].stored()
+            elif name in engine.states:
+                states[path] = engine.states[name]
         publish_all(engine.spark, states)
         return Outcome(True, results)
 
@@ -133,5 +158,17 @@ class Multi:
             what = what(results)
         if kind == "insert_all":
             target, rows, options = what
-            return engine.insert_all(target, rows(results) if callable(rows) else rows, **options)
-        return getattr(engine, kind)(what)
+            done = engine.insert_all(target, rows(results) if callable(rows) else rows, **options)
+        elif kind in _SINGLE:
+            record, options = what
+            record = as_change(record(results) if callable(record) else record)
+            saved = save(engine, kind, record, **options)
+            if not saved.ok:
+                raise StepError(saved.change)
+            engine.states |= saved.tables
+            return saved.record
+        else:
+            done = getattr(engine, kind)(what)
+        if isinstance(done, Written) and done.source is not None:
+            engine.states[done.source] = done.stored()
+        return done

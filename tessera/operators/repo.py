@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 from tessera.errors import MultiplePrimaryKeyError, MultipleResultsError, NoPrimaryKeyValueError, NoResultsError, QueryError, StaleEntryError
 from tessera.functions import types
 from tessera.operators import dml
+from tessera.operators.persist import Saved, as_change, save
+from tessera.operators.record import RecordChange
 from tessera.plans.expr import Aggregate, Ref, wrap
 from tessera.plans.lower import lower, quoted, typed
 from tessera.plans.query import Query, SubQuery, from_, to_query
@@ -25,17 +28,36 @@ class Engine:
 
     tables: a function from a name to a DataFrame, or a dict of DataFrames; names not found there are asked of the catalog.
     prepare: a hook that may change each query before it runs (a tenant's filter, say).
+    default_options: a hook from an operation's name to options that calls without them get.
+    prepare_transaction: a hook that may change named steps and their options before they run.
+    states: tables as earlier writes have left them; they go before all others.
     """
 
     schemaless_merge = True
 
-    def __init__(self, spark: SparkSession, tables: Callable[[str], DataFrame | None] | dict | None = None, prepare: Callable[[str, Query], Query] | None = None):
+    def __init__(
+        self, spark: SparkSession, tables: Callable[[str], DataFrame | None] | dict | None = None, prepare: Callable[[str, Query], Query] | None = None,
+        default_options: Callable[[str], dict] | None = None, prepare_transaction: Callable | None = None,
+    ):
         self.spark, self.prepare = spark, prepare
+        self.default_options, self.prepare_transaction = default_options, prepare_transaction
         self._tables = tables.get if isinstance(tables, dict) else tables
+        self.states: dict[str, DataFrame] = {}
+
+    def overlay(self) -> Engine:
+        """The same engine, whose writes are seen by itself only."""
+        out = copy.copy(self)
+        out.states = dict(self.states)
+        return out
+
+    def _options(self, operation: str, given: dict) -> dict:
+        return (self.default_options(operation) if self.default_options else {}) | given
 
     # tables
 
     def table(self, name: str, prefix: str | None = None) -> DataFrame:
+        if prefix is None and name in self.states:
+            return self.states[name]
         if prefix is None and self._tables is not None:
             found = self._tables(name)
             if found is not None:
@@ -85,15 +107,28 @@ class Engine:
 
     def all(self, query) -> DataFrame:
         """The query's rows as a DataFrame, with its preloads."""
-        from tessera.operators.associations import preload
+        from tessera.operators.associations import joined_preloads, preload
 
         q = to_query(query)
-        df = self.lower(replace(q, preloads=()))
-        if q.preloads:
-            if q.source.schema is None:
-                raise QueryError("a preload needs a schema")
-            df = preload(self, df, q.source.schema, q.preloads)
-        return df
+        if q.preloads and q.source.schema is None:
+            raise QueryError("a preload needs a schema")
+        over = [p for p in q.preloads if callable(p) and not isinstance(p, tuple)]
+        apart = tuple(p for p in q.preloads if not callable(p) or isinstance(p, tuple))
+        if over:
+            q = self.prepare("all", q) if self.prepare else q
+            df = joined_preloads(self, replace(q, preloads=()), over)
+        else:
+            df = self.lower(replace(q, preloads=()))
+        return preload(self, df, q.source.schema, apart) if apart else df
+
+    def preload(self, rows: DataFrame, schema: Schema, *wanted, force: bool = False) -> DataFrame:
+        """Rows with associations; those there already stay as they are, unless forced."""
+        from tessera.operators.associations import preload_pairs, preload
+
+        pairs = [p for w in wanted for p in preload_pairs(w)]
+        if force:
+            rows = rows.drop(*[name for name, _ in pairs])
+        return preload(self, rows, schema, [(name, how) for name, how in pairs if name not in rows.columns])
 
     def all_by(self, query, **equal) -> DataFrame:
         return self.all(to_query(query).where(**equal))
@@ -184,6 +219,7 @@ class Engine:
     def insert_all(self, target, rows, **options) -> dml.Written:
         schema = target if isinstance(target, Schema) else None
         table = typed(self.table(schema.source, schema.prefix), schema) if schema is not None else self.table(target)
+        options = self._options("insert_all", options)
         return dml.insert_all(self, table, rows, schema, source=schema.source if schema is not None else target, **options)
 
     def update_all(self, query) -> dml.Written:
@@ -194,8 +230,18 @@ class Engine:
         q = to_query(query)
         return dml.delete_all(self, self.prepare("delete_all", q) if self.prepare else q)
 
-    def update(self, schema: Schema, key, changes: dict, lock: tuple[str, int] | None = None, allow_stale: bool = False) -> dml.Written:
-        """One row by key; with an optimistic lock (field, value), which is raised by one."""
+    def insert(self, record, **options) -> Saved:
+        """One record: a change, or (schema, dict)."""
+        return save(self, "insert", as_change(record), **self._options("insert", options))
+
+    def insert_or_update(self, change: RecordChange, **options) -> Saved:
+        """By the record's state."""
+        return save(self, "insert_or_update", change, **self._options("insert_or_update", options))
+
+    def update(self, schema: Schema | RecordChange, key=None, changes: dict | None = None, lock: tuple[str, int] | None = None, allow_stale: bool = False, force: bool = False):
+        """A change to a record; or one row by key, with an optimistic lock (field, value), which is raised by one."""
+        if isinstance(schema, RecordChange):
+            return save(self, "update", schema, allow_stale=allow_stale, force=force)
         q = from_(schema).where(**{schema.single_key(): key})
         if lock is not None:
             q = q.where(**{lock[0]: lock[1]})
@@ -203,7 +249,10 @@ class Engine:
         done = self.update_all(q.update(set=changes))
         return self._met(done, allow_stale)
 
-    def delete(self, schema: Schema, key, allow_stale: bool = False) -> dml.Written:
+    def delete(self, schema: Schema | RecordChange, key=None, allow_stale: bool = False):
+        """A record, with what its associations say of theirs; or one row by key."""
+        if isinstance(schema, RecordChange):
+            return save(self, "delete", schema, allow_stale=allow_stale)
         return self._met(self.delete_all(from_(schema).where(**{schema.single_key(): key})), allow_stale)
 
     def _met(self, done: dml.Written, allow_stale: bool) -> dml.Written:
@@ -232,5 +281,12 @@ class Engine:
     def storage_status(self, name: str) -> str:
         return "up" if self.spark.catalog.databaseExists(name) else "down"
 
+    def transact(self, multi, paths: dict[str, str] | None = None, **options):
+        """Named steps; see ``Multi.transact``."""
+        options = self._options("transact", options)
+        if self.prepare_transaction is not None:
+            multi, options = self.prepare_transaction(multi, options)
+        return multi.transact(self, paths, **options)
+
     def values_frame(self, rows: list[dict], schema: T.StructType) -> DataFrame:
         return self.spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)

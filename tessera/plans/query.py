@@ -339,6 +339,7 @@ class Query:
         return replace(self, updates=(*self.updates, *((op, fields) for op, fields in operations.items())))
 
     def preload(self, *names, **nested) -> Query:
+        """Names, (name, nested) or name=nested; a function of bindings gives {name: binding} for those that are joined already."""
         return replace(self, preloads=(*self.preloads, *names, *nested.items()))
 
     def lock(self, text: str) -> Query:

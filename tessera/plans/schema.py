@@ -22,14 +22,14 @@ class Field:
     load_in_query: bool = True
     writable: str = "always"
     on_writable_violation: str = "nothing"
-    read_after_writes: bool = False
     redact: bool = False
-    skip_default_validation: bool = False
     autogenerate: Callable | None = None
 
     def __post_init__(self):
         if self.writable not in ("always", "insert", "never"):
             raise CompileError(f"writable is always, insert or never, not {self.writable!r}")
+        if self.on_writable_violation not in ("nothing", "warn", "raise"):
+            raise CompileError(f"on_writable_violation is nothing, warn or raise, not {self.on_writable_violation!r}")
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,13 @@ class Assoc:
     join_where: dict = dc_field(default_factory=dict)
     through: tuple[str, ...] = ()
     on_delete: str = "nothing"
+    on_replace: str = "raise"
+
+    def __post_init__(self):
+        if self.on_delete not in ("nothing", "nilify_all", "delete_all"):
+            raise CompileError(f"on_delete is nothing, nilify_all or delete_all, not {self.on_delete!r}")
+        if self.on_replace not in ("raise", "mark_as_invalid", "nilify", "update", "delete"):
+            raise CompileError(f"on_replace can't be {self.on_replace!r}")
 
     @property
     def many(self) -> bool:
@@ -79,6 +86,7 @@ class Embed:
 
     schema: Schema
     many: bool = False
+    on_replace: str = "raise"
 
 
 @dataclass(frozen=True)
