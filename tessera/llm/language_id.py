@@ -4,30 +4,35 @@ Bytes are embedded, filters of several widths slide over a window, each filter's
 softmax over the languages. A text is cut into windows of ``WINDOW`` bytes that cover all of it; the mean of the windows'
 log probabilities, each weighted by its share of letters, decides, and its softmax value is the score.
 
-The fit uses at most ``PER_LANGUAGE`` texts of each language, those with the least hash of their id, and at most
-``PER_TEXT`` windows, spread evenly, of each of these; prediction covers every byte of every text.
+The fit uses about ``PER_LANGUAGE`` texts of each language, those with the least hash of their id, and at most
+``PER_TEXT`` windows, spread evenly, of each of these. The windows are cut where the texts are, one task fits the network, and only
+that comes to the driver; prediction covers every byte of every text.
 
 Results by case: null text, empty text and text without a letter get ``und`` with score 0; a text shorter than a window is
-padded with zero bytes; repeated rows get equal results; without any training row every text gets ``und``; only the named
-columns are read.
+padded with zero bytes; very long texts are read whole; repeated rows get equal results; without any training row every text gets
+``und``; only the named columns are read.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import staged
 from tessera.llm.hashing import utf8
 from tessera.llm.toxicity import fold
 
 WINDOW, DIM, WIDTHS, FILTERS = 128, 6, (2, 3, 4, 5), 10
 PER_LANGUAGE, PER_TEXT = 600, 6
-#: Languages that one model tells apart; more is an error.
-MOST_LANGUAGES = 500
 BLOCK = 512
+#: Texts to fit are looked up by broadcasting their ids up to this many, by a shuffle beyond.
+BROADCAST_IDS = 1_000_000
 _LETTER = np.zeros(256, dtype=np.float32)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = 1
 UNKNOWN = "und"
@@ -128,24 +133,25 @@ class Network:
         return named, np.where(weight > 0, prob.max(1), 0.0)
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 8, size: int = 128, seed: int = 13) -> Network | None:
+def spread_windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``PER_TEXT`` windows of each text, and each window's text."""
+    data, offsets = utf8(texts)
+    start, owner = windows(data, offsets)
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    taken = [np.unique(np.linspace(a, b - 1, min(PER_TEXT, b - a)).astype(int)) for a, b in zip(first[:-1], first[1:]) if b > a]
+    taken = np.concatenate(taken) if taken else np.zeros(0, int)
+    return cut(data, start[taken], offsets[owner[taken] + 1]), owner[taken]
+
+
+def fit(batch: np.ndarray, langs: list[str], epochs: int = 8, size: int = 128, seed: int = 13) -> Network | None:
+    """Fit on windows of known languages."""
     languages = sorted(set(langs))
     if not languages:
         return None
     net, rng = Network(languages), np.random.default_rng(seed)
-    data, offsets = utf8(pa.array(texts, pa.large_string()))
-    start, owner = windows(data, offsets)
-    taken = []
-    first = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for a, b in zip(first[:-1], first[1:]):
-        taken.append(np.unique(np.linspace(a, b - 1, min(PER_TEXT, b - a)).astype(int)) if b > a else np.zeros(0, int))
-    taken = np.concatenate(taken)
-    if not len(taken):
-        return None
-    batch = cut(data, start[taken], offsets[owner[taken] + 1])
+    truth = np.searchsorted(np.array(languages, dtype=object), np.array(langs, dtype=object))
     keep = _LETTER[batch].mean(1) > 0.3
-    batch, taken = (batch[keep], taken[keep]) if keep.any() else (batch, taken)
-    truth = np.array([languages.index(x) for x in langs])[owner[taken]]
+    batch, truth = (batch[keep], truth[keep]) if keep.any() else (batch, truth)
     state, t = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()], 0
     for epoch in range(epochs):
         order = rng.permutation(len(batch))
@@ -159,23 +165,36 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, size: int = 128, se
     return net
 
 
+def _cut_windows(batches):
+    for batch in batches:
+        cuts, owner = spread_windows(batch.column(2))
+        at, flat = np.arange(len(cuts) + 1, dtype=np.int32) * WINDOW, np.ascontiguousarray(cuts)
+        bytes_ = pa.BinaryArray.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(at), pa.py_buffer(flat)])
+        rows = pa.array(owner)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), bytes_], names=["doc_id", "lang", "window"])
+
+
+def _fit_task(batches):
+    rows = pd.concat([pd.DataFrame({"doc_id": [], "lang": [], "window": []}), *batches]).sort_values(["doc_id", "lang", "window"])
+    batch = np.frombuffer(b"".join(rows["window"]), np.uint8).reshape(-1, WINDOW)
+    yield pd.DataFrame({"network": [pickle.dumps(fit(batch, list(rows["lang"])))]})
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
-    """Fit on texts with a language outside fold 1 of 3, at most ``per_language`` of each language."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
+    """Fit on texts with a language outside fold 1 of 3, about ``per_language`` of each language."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = rows.select("doc_id", "lang").where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
     # a language's rows are ranked in 16 parts, so no language is ordered in one task
     least = F.xxhash64("doc_id", "lang")
     ranked = known.withColumn(
         "nth", F.row_number().over(Window.partitionBy("lang", F.pmod(least, F.lit(16))).orderBy(least, "doc_id"))
     )
-    taken = ranked.where(F.col("nth") <= -(-per_language // 16)).select("doc_id", "lang").distinct()
-    taken = taken.limit(MOST_LANGUAGES * (per_language + 16) + 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    rows = rows.join(F.broadcast(taken), ["doc_id", "lang"], "left_semi").where(F.col("text").rlike(r"\p{L}")).toPandas()
-    rows = rows.sort_values(["doc_id", "lang", "text"])
-    if rows["lang"].nunique() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return fit(list(rows["text"]), list(rows["lang"]))
+    taken = staged(ranked.where(F.col("nth") <= -(-per_language // 16)).select("doc_id", "lang").distinct(), "language-taken")
+    taken = F.broadcast(taken) if taken.count() <= BROADCAST_IDS else taken
+    texts = rows.join(taken, ["doc_id", "lang"], "left_semi").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    cuts = texts.mapInArrow(_cut_windows, "doc_id long, lang string, window binary")
+    got = cuts.repartition(1).mapInPandas(_fit_task, "network binary").first()
+    return None if got is None else pickle.loads(got[0])
 
 
 def language(text: Column, net: Network | None) -> Column:
