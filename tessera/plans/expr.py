@@ -636,6 +636,10 @@ class JsonPath(Expr):
     def __getitem__(self, key):
         return JsonPath(self.expr, (*self.path, key))
 
+    def is_nil(self):
+        """Whether there is nothing: a JSON null is something."""
+        return JsonMissing(self)
+
     def build(self, ctx):
         base, keys = self.expr.build(ctx), [k.value if isinstance(k, (Lit, Param)) else k for k in self.path]
         kind = ctx.json_kind(self.expr)
@@ -656,6 +660,26 @@ class JsonPath(Expr):
         return F.try_variant_get(base, path, "string") if kind == "variant" else F.get_json_object(base, path)
 
 
+@dataclass(eq=False, frozen=True)
+class JsonMissing(Expr):
+    at: JsonPath
+
+    def children(self):
+        return (self.at,)
+
+    def type(self, ctx):
+        return "boolean"
+
+    def build(self, ctx):
+        path = [k.value if isinstance(k, (Lit, Param)) else k for k in self.at.path]
+        kind = ctx.json_kind(self.at.expr)
+        if kind == "nested" or any(isinstance(k, Expr) for k in path):
+            return self.at.build(ctx).isNull()
+        base = self.at.expr.build(ctx)
+        base = base if kind == "variant" else F.try_parse_json(base)
+        return F.try_variant_get(base, "$" + "".join(_step(k) for k in path), "variant").isNull()
+
+
 def _step(key) -> str:
     return f"[{key}]" if isinstance(key, int) else f"['{key}']" if not key.isidentifier() else f".{key}"
 
@@ -840,5 +864,19 @@ class Updated(Expr):
     changes: dict = field(default_factory=dict)
 
 
+@dataclass(eq=False, frozen=True)
+class NewRecord(Expr):
+    """A record of a schema from some of its fields; the others have their defaults."""
+
+    schema: Any
+    values: dict = field(default_factory=dict)
+
+
+def record(schema, **values) -> NewRecord:
+    if unknown := values.keys() - schema.fields.keys():
+        raise CompileError(f"{sorted(unknown)} aren't fields of {schema.name}")
+    return NewRecord(schema, values)
+
+
 def update(base, **changes) -> Updated:
     return Updated(base, changes)

@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from tessera.errors import CompileError, QueryError, SubQueryError
 from tessera.functions import types
 from tessera.plans.expr import (
-    AliasRef, Compare, Expr, Fragment, Identifier, JsonPath, Lit, Logic, Merge, Order, Param, Ref, SelectedAs, Splice, Updated, Whole, compare, ordered, wrap,
+    AliasRef, Compare, Expr, Fragment, Function, Identifier, Lit, Logic, Merge, NewRecord, Order, Param, Ref, SelectedAs, Splice, Typed, Updated, Whole, compare,
+    ordered, wrap,
 )
 from tessera.plans.query import Binding, Join, Query, Source, SubQuery, Values, to_source
 from tessera.plans.windows import orders
@@ -359,7 +360,7 @@ def shape(ctx: Context, query: Query) -> tuple[list[tuple[str, Expr]], bool]:
         out.append((e.name if isinstance(e, SelectedAs) else name, e))
     if len({n for n, _ in out}) < len(out):
         raise CompileError("two selected values have one name")
-    return out, isinstance(part, Expr) and not isinstance(part, (Whole, Merge, Updated)) and not merges
+    return out, isinstance(part, Expr) and not isinstance(part, (Whole, Merge, Updated, NewRecord)) and not merges
 
 
 def spread(ctx: Context, part) -> dict[str, Expr]:
@@ -368,6 +369,12 @@ def spread(ctx: Context, part) -> dict[str, Expr]:
         return {n: Ref(part, n) for n in ctx.fields(part)}
     if isinstance(part, Whole):
         return {n: Ref(part.binding, n) for n in part.fields or ctx.fields(part.binding)}
+    if isinstance(part, NewRecord):
+        blank = {k: Typed(Lit(f.default), f.type) for k, f in part.schema.fields.items()}
+        return blank | {k: _value(v) for k, v in part.values.items()}
+    if isinstance(part, dict) and any(isinstance(k, Expr) for k in part):
+        # keys from the data: each row has a map of its own
+        return {"value": Function("map", lambda *c: F.create_map(*c), tuple(_value(x) for pair in part.items() for x in pair))}
     if isinstance(part, dict):
         return {str(k): _value(v) for k, v in part.items()}
     if isinstance(part, (list, tuple)):

@@ -142,6 +142,11 @@ class Query:
     prefix_: str | None = None
     names: tuple = field(default=())
 
+    def __str__(self):
+        from tessera.plans.inspect import inspect_query
+
+        return inspect_query(self)
+
     # bindings
 
     @property

@@ -8,16 +8,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.errors import CompileError, QueryError
-from tessera.plans.expr import Aggregate, Expr, Fragment, Order, WindowFunction, wrap
+from tessera.plans.expr import Aggregate, Expr, Fragment, Order, WindowFunction, ordered, wrap
 
-_BOUND = r"(UNBOUNDED PRECEDING|UNBOUNDED FOLLOWING|CURRENT ROW|\d+ PRECEDING|\d+ FOLLOWING)"
+_BOUND = r"(UNBOUNDED PRECEDING|UNBOUNDED FOLLOWING|CURRENT ROW|(?:\d+|INTERVAL '?\d+'? \w+) (?:PRECEDING|FOLLOWING))"
 _FRAME = re.compile(
-    rf"(ROWS|RANGE|GROUPS) (?:BETWEEN {_BOUND} AND {_BOUND}|{_BOUND})(?: EXCLUDE (CURRENT ROW|NO OTHERS))?", re.IGNORECASE
+    rf"(ROWS|RANGE|GROUPS) (?:BETWEEN {_BOUND} AND {_BOUND}|{_BOUND})(?: EXCLUDE (CURRENT ROW|NO OTHERS|GROUP|TIES))?", re.IGNORECASE
 )
+_MICROS = {"week": 604_800_000_000, "day": 86_400_000_000, "hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000, "millisecond": 1000, "microsecond": 1}
 
 
-def parse_frame(text: str) -> tuple[str, int, int, bool]:
-    """Kind, first and last offset, and whether the current row is excluded."""
+def parse_frame(text: str) -> tuple[str, int, int, str]:
+    """Kind, first and last offset (intervals in microseconds), and what is excluded."""
     found = _FRAME.fullmatch(" ".join(text.split()))
     if not found:
         raise CompileError(f"frame {text!r} isn't understood")
@@ -28,17 +29,24 @@ def parse_frame(text: str) -> tuple[str, int, int, bool]:
         bound = bound.upper()
         if bound == "CURRENT ROW":
             return 0
-        n, way = bound.split()
+        n, _, way = bound.rpartition(" ")
+        if n.startswith("INTERVAL"):
+            _, n, unit = n.replace("'", "").split()
+            if (unit := unit.lower().removesuffix("s")) not in _MICROS or kind.upper() != "RANGE":
+                raise CompileError(f"frame {text!r} isn't understood: RANGE takes intervals of {sorted(_MICROS)}")
+            n = str(int(n) * _MICROS[unit])
         if n == "UNBOUNDED":
             return Window.unboundedPreceding if way == "PRECEDING" else Window.unboundedFollowing
         return -int(n) if way == "PRECEDING" else int(n)
 
-    return kind.upper(), offset(low), offset(high), (exclude or "").upper() == "CURRENT ROW"
+    return kind.upper(), offset(low), offset(high), (exclude or "NO OTHERS").upper()
 
 
 def orders(items) -> list[Order]:
     """Order terms as given: expressions, Order, or (direction, expression)."""
     out = []
+    if isinstance(items, tuple) and len(items) == 2 and isinstance(items[0], str) and items[0].split("_")[0] in ("asc", "desc"):
+        items = [items]
     for x in items if isinstance(items, (list, tuple)) else [items]:
         if isinstance(x, tuple) and len(x) == 2 and isinstance(x[0], str):
             out.append(Order(wrap(x[1]), x[0]))
@@ -57,7 +65,7 @@ def build_over(ctx, function: Expr, window):
     terms = [o.column(ctx) for o in orders(spec.get("order_by", []))]
     whole = Window.partitionBy(*parts)
     w = whole.orderBy(*terms) if terms else whole
-    excluded = False
+    excluded = "NO OTHERS"
     if (frame := spec.get("frame")) is not None:
         text = "?".join(frame.parts()) if isinstance(frame, Fragment) else frame
         if isinstance(frame, Fragment):
@@ -67,27 +75,35 @@ def build_over(ctx, function: Expr, window):
         if kind == "GROUPS":
             nth = ctx.before_select(F.dense_rank().over(w))
             w = whole.orderBy(nth).rangeBetween(low, high)
+        elif kind == "RANGE" and "INTERVAL" in text.upper():
+            (term,) = orders(spec.get("order_by", []))
+            w = whole.orderBy(ordered(F.unix_micros(term.expr.build(ctx).cast("timestamp")), term.direction)).rangeBetween(low, high)
         else:
             w = w.rowsBetween(low, high) if kind == "ROWS" else w.rangeBetween(low, high)
+        if excluded in ("GROUP", "TIES") and (not low <= 0 <= high or kind == "ROWS" and (low, high) != (Window.unboundedPreceding, Window.unboundedFollowing)):
+            raise QueryError(f"EXCLUDE {excluded} needs a frame that holds all peers of its row")
     if isinstance(function, WindowFunction):
-        if excluded:
+        if excluded != "NO OTHERS":
             raise QueryError("EXCLUDE is for sum and count only")
         return _function(ctx, function, w, whole, terms, parts)
     if isinstance(function, Aggregate):
         if function.distinct:
             return _count_distinct(ctx, function, w, whole, parts, terms, spec.get("frame") is not None and (kind, low, high))
         value = function.build(ctx, over=True).over(w)
-        if not excluded:
+        if excluded == "NO OTHERS":
             return value
+        if function.name not in ("count", "sum"):
+            raise QueryError("EXCLUDE is for sum and count only")
         own = F.lit(1) if function.arg is None else function.arg.build(ctx)
         if function.condition is not None:
             own = F.when(function.condition.build(ctx), own)
-        others = F.count(own).over(w) - F.when(own.isNull(), 0).otherwise(1)
-        if function.name == "count":
-            return others
-        if function.name != "sum":
-            raise QueryError("EXCLUDE is for sum and count only")
-        return F.when(others > 0, value - F.coalesce(own, F.lit(0)))
+        gone, gone_sum = F.when(own.isNull(), 0).otherwise(1), F.coalesce(own, F.lit(0))
+        if excluded in ("GROUP", "TIES"):
+            peers = Window.partitionBy(*parts, *[o.expr.build(ctx) for o in orders(spec.get("order_by", []))])
+            mine, mine_sum = (gone, gone_sum) if excluded == "TIES" else (F.lit(0), F.lit(0))
+            gone, gone_sum = F.count(own).over(peers) - mine, F.coalesce(F.sum(own).over(peers), F.lit(0)) - mine_sum
+        others = F.count(own).over(w) - gone
+        return others if function.name == "count" else F.when(others > 0, value - gone_sum)
     if isinstance(function, Fragment):
         return function.build(ctx).over(w)
     raise CompileError("over() needs an aggregate or a window function")

@@ -328,3 +328,79 @@ def test_embedded_schemas_read_paths(engine, spark):
     got = own.one(from_(order).select(lambda o: {"a": o.item["price"], "b": o["items"][1]["price"], "avg": o.id}))
     assert (got.a, got.b) == (5, 8)
     assert own.aggregate(from_(order), "avg", "id") == 1 and avg(1).name == "avg"
+
+
+def test_frames_of_intervals_and_exclusions(spark):
+    own = Engine(spark, {"t": spark.createDataFrame([(i, i // 2, dt.datetime(2024, 1, 1 + i // 2), 10**i) for i in range(6)], "id int, g int, at timestamp_ntz, v long")})
+    run = lambda f, **spec: [r.v for r in own.all(from_("t").select(lambda t: {"id": t.id, "v": f(t).over(**{k: x(t) if callable(x) else x for k, x in spec.items()})}).order_by("id")).collect()]
+    day = "RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW"
+    assert run(lambda t: sum_(t.v), order_by=lambda t: t.at, frame=day) == [11, 11, 1111, 1111, 111100, 111100]
+    assert run(lambda t: count(), order_by=lambda t: ("desc", t.at), frame="RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND INTERVAL 0 SECOND FOLLOWING") == [4, 4, 4, 4, 2, 2]
+    whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE "
+    assert run(lambda t: sum_(t.v), order_by=lambda t: t.g, frame=whole + "GROUP") == [111100, 111100, 110011, 110011, 1111, 1111]
+    assert run(lambda t: sum_(t.v), order_by=lambda t: t.g, frame=whole + "TIES") == [111101, 111110, 110111, 111011, 11111, 101111]
+    assert run(lambda t: count(), order_by=lambda t: t.g, frame="GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE GROUP") == [0, 0, 2, 2, 2, 2]
+    assert run(lambda t: sum_(t.v), order_by=lambda t: t.g, frame="GROUPS CURRENT ROW EXCLUDE GROUP") == [None] * 6
+    with pytest.raises(QueryError, match="all peers"):
+        run(lambda t: count(), order_by=lambda t: t.g, frame="ROWS 1 PRECEDING EXCLUDE TIES")
+    with pytest.raises(CompileError, match="intervals"):
+        run(lambda t: count(), order_by=lambda t: t.at, frame="RANGE INTERVAL 1 MONTH PRECEDING")
+
+
+def test_shifts_by_a_column_and_distinct_counts(spark):
+    rows = [(i, i % 3 or None, i % 4, "abcab"[i % 5] if i % 7 else None) for i in range(40)]
+    own = Engine(spark, {"t": spark.createDataFrame(rows, "id int, p int, k int, s string")})
+    q = from_("t").select(lambda t: {"id": t.id, "lead": e.lead(t.id, t.k).over(partition_by=t.p, order_by=t.id), "lag": lag(t.id, t.k, -1).over(partition_by=t.p, order_by=t.id),
+        "all": count(t.s, distinct=True).over(partition_by=t.p), "run": count(t.s, distinct=True).over(partition_by=t.p, order_by=t.k), "rows": count(t.s, distinct=True).over(partition_by=t.p, order_by=[t.k, t.id], frame="ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"),
+        "near": count(t.s, distinct=True).over(partition_by=t.p, order_by=t.id, frame="ROWS 1 PRECEDING")})
+    got = {r.id: r for r in own.all(q).collect()}
+    for i, p, k, s in rows:
+        mine = [r for r in rows if r[1] == p]
+        at = [r[0] for r in mine].index(i)
+        values = lambda held: len({r[3] for r in held} - {None})
+        assert got[i].lead == (mine[at + k][0] if at + k < len(mine) else None) and got[i].lag == (mine[at - k][0] if at >= k else -1)
+        assert got[i].all == values(mine) and got[i].run == values(r for r in mine if r[2] <= k) and got[i].near == values(mine[max(0, at - 1) : at + 1])
+        assert got[i].rows == values(r for r in mine if (r[2], r[0]) <= (k, i))
+    plan = own.all(q)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and plan.count("collect_set") == 1
+
+
+def test_ties_rank_only_what_can_be_in(engine, spark):
+    own = Engine(spark, {"t": spark.createDataFrame([(i, None if i % 5 == 0 else i % 4) for i in range(50)], "id int, k int")})
+    for way in ("asc", "desc", "asc_nulls_first", "desc_nulls_last"):
+        for n, skip in ((3, 0), (12, 0), (5, 9), (60, 0)):
+            q = from_("t").order_by(lambda t: [(way, t.k)]).limit(n).offset(skip).with_ties().select(lambda t: {"k": t.k})
+            null_first = way in ("desc", "desc_nulls_last", "asc_nulls_first") and way != "desc_nulls_last"
+            order = sorted((None if i % 5 == 0 else i % 4 for i in range(50)), key=lambda v: ((v is None) != null_first, (v or 0) * (-1 if way.startswith("desc") else 1)))
+            last = order[min(len(order), n + skip) - 1]
+            want = [v for i, v in enumerate(order) if i >= skip and (i < n + skip or v == last)]
+            assert sorted(column(own.all(q), "k"), key=str) == sorted(want, key=str)
+
+
+def test_records_maps_and_json_nulls(engine):
+    one = from_(POST).where(id=1)
+    made = engine.one(from_(USER).where(id=1).select(lambda u: e.record(POST, title=u.name, visits=1)))
+    assert (made.title, made.visits, made.id, made.temp) == ("ann", 1, None, None)
+    with pytest.raises(CompileError, match="aren't fields"):
+        e.record(POST, nope=1)
+    got = engine.all(from_(USER).select(lambda u: {u.name: u.id, "key": 0})).collect()
+    assert sorted(sorted(r.value.items()) for r in got) == [[("ann", 1), ("key", 0)], [("bob", 2), ("key", 0)], [("cy", 3), ("key", 0)]]
+    nested = engine.one(from_(POST).where(id=1).left_join(lambda p: assoc(p, "author"), as_="u").select(lambda p, *, u: {"id": p.id, "author": e.struct(u, ["name"])}))
+    assert nested.author.name == "ann"
+    assert engine.one(one.select(lambda p: {"a": p.meta["n"].is_nil(), "b": p.meta["none"].is_nil(), "c": p.meta["a"][0]["b"].is_nil()}))[:] == (False, True, False)
+
+
+def test_queries_as_text(engine):
+    q = from_(POST, as_="p").left_join(COMMENT, as_="c", on=lambda p, c: c.post_id == p.id).where(lambda p: (p.id > 1) & ~p.title.like("x%")).or_where(id=3)
+    q = q.group_by(lambda p: p.id).having(lambda *_: count() > 1).select(lambda p, c: {"id": p.id, "n": count(c.id).filter(c.text == "a")}).order_by(lambda p: desc(p.id)).limit(3).offset(1)
+    assert str(q) == (
+        "from_(Post, as_='p').join(Comment, how='left', on=c.post_id == p.id, as_='c').where((p.id > 1) & not(like(p.title, 'x%'))).or_where(p.id == 3)"
+        ".group_by(p.id).having(count() > 1).select({'id': p.id, 'n': count(c.id).filter(c.text == 'a')}).order_by(('desc', p.id)).limit(3).offset(1)"
+    )
+    sub = from_(subquery(from_("t").select(["a"]))).join(lambda s: values([{"k": 1}], {"k": "integer"}), on=True).select(lambda s, v: (s.a, e.type_(v.k, "string"), fragment("? + ?", s.a, 1)))
+    assert str(sub) == "from_(subquery(from_('t').select(['a']))).join(values(1 rows, ['k']), how='inner', on=True).select((s0.a, type_(v1.k, 'string'), fragment('? + ?', s0.a, 1)))"
+    more = from_(USER).with_cte("w", from_("t").select(["a"]), materialized=True).where(lambda u: exists(from_("t").where(lambda t: t.a == parent_as("u").id).select(["a"])))
+    more = more.windows(w={"order_by": lambda u: u.id}).select(lambda u: {"n": row_number().over("w"), "d": datetime_add(u.at, 1, "day"), "j": u.meta["a"][0]}).union(from_("t").select(["a"])).lock("FOR UPDATE").preload("posts")
+    text = str(more)
+    for part in ("with_cte('w', from_('t').select(['a']), materialized=True)", "exists(from_('t').where(t0.a == parent_as('u').id).select(['a']))", "row_number().over('w')", "datetime_add(u0.at, 1, 'day')", "u0.meta['a'][0]", "union(from_('t')", "preload('posts')", "lock('FOR UPDATE')"):
+        assert part in text
