@@ -1,17 +1,17 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, vectorised in numpy.
 
 ``suffix_array`` classifies suffixes as S or L, sorts the leftmost S (LMS) substrings by one induction, names them, sorts the
-string of names, and induces the whole array from that order. An induction walks the buckets of first characters; all entries
-that a bucket holds at a time are handled together, and entries that they add to the same bucket make its next wave. The string
-of names is sorted by the same function while its alphabet is small, and by doubling of ranks where walking its buckets
-would cost more than sorting.
+string of names by the same function, and induces the whole array from that order. An induction walks the buckets of first
+characters; all entries that a bucket holds at a time are handled together, and entries that they add to the same bucket make
+its next wave. Where buckets hold few entries each, as in strings of names, entries are handled one by one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SMALL_ALPHABET = 2048
+#: From so many entries a bucket on, buckets are handled as arrays.
+LARGE_BUCKET = 32
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -38,6 +38,8 @@ def _grouped(chars: np.ndarray, sigma: int) -> tuple[np.ndarray, np.ndarray, np.
 def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """The suffix array that follows from the LMS suffixes in the given order."""
     n = len(t)
+    if n < LARGE_BUCKET * sigma:
+        return _induce_singly(t, small, lms, sigma)
     sa = np.full(n, -1, dtype=np.int64)
     count = np.bincount(t, minlength=sigma)
     ends = np.cumsum(count)
@@ -78,6 +80,33 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np
     return sa
 
 
+def _induce_singly(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """The same, entry by entry."""
+    chars, kinds = t.tolist(), small.tolist()
+    count = np.bincount(t, minlength=sigma)
+    ends = np.cumsum(count)
+    heads, tails = (ends - count).tolist(), ends.tolist()
+    sa = [-1] * len(chars)
+    for i in reversed(lms.tolist()):
+        c = chars[i]
+        tails[c] -= 1
+        sa[tails[c]] = i
+    for i in range(len(sa)):
+        j = sa[i] - 1
+        if j >= 0 and not kinds[j]:
+            c = chars[j]
+            sa[heads[c]] = j
+            heads[c] += 1
+    tails = ends.tolist()
+    for i in range(len(sa) - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and kinds[j]:
+            c = chars[j]
+            tails[c] -= 1
+            sa[tails[c]] = j
+    return np.array(sa, dtype=np.int64)
+
+
 def common(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, width: int) -> np.ndarray:
     """Length of the common prefix at positions a and b, up to ``most``, by words of 8 // width characters."""
     out, live, at = np.full(len(a), most, dtype=np.int64), np.arange(len(a)), 0
@@ -99,23 +128,6 @@ def packed(t: np.ndarray, pad: int) -> np.ndarray:
     return np.ndarray(shape=(len(t) + pad,), dtype="<u8", buffer=held, strides=(t.itemsize,))
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names (the last one unique and least)."""
-    rank, n, step = names.astype(np.int64), len(names), 1
-    while True:
-        after = np.zeros(n, dtype=np.int64)
-        after[:-step] = rank[step:] + 1
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        own = key[order]
-        new = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        step *= 2
-
-
 def suffix_array(t: np.ndarray, sigma: int | None = None) -> np.ndarray:
     """Suffix array of t, whose last character must be 0 and occur nowhere else."""
     t = t.astype(np.int64)
@@ -142,10 +154,8 @@ def suffix_array(t: np.ndarray, sigma: int | None = None) -> np.ndarray:
     highest = int(names.max())
     if highest + 1 == len(lms):
         order = np.argsort(names)
-    elif highest < SMALL_ALPHABET:
-        order = suffix_array(names, highest + 1)
     else:
-        order = _by_doubling(names)
+        order = suffix_array(names, highest + 1)
     return _induce(t, small, lms[order], sigma)
 
 

@@ -5,13 +5,14 @@ Texts that are equal to one with a smaller id go whole (if they hold a window);
 A window of ``size`` bytes is named by the least hash of its ``GRAM``-byte strings, so equal windows have equal names. A run of windows
 with one name is a segment; long runs are cut into pieces of ``PIECE`` windows. Three steps, all by name:
 
-1. Names are counted; a Bloom filter of fixed size holds those that occur twice. Where they are too many for it, names are
-   handled in slices, one scan each.
+1. Names are counted; a Bloom filter of fixed size holds those that occur twice. Where they are too many for it, the segments are
+   joined to them by a shuffle instead.
 2. Segments with such names are written out by digest. Equal segments are one: its first occurrence (by document id, then start) stands
    for all, and the others are removed whole. This is a partial aggregation, so a passage with many copies is one row a task.
 3. The bytes of names that still have several different segments (or a segment that repeats its own name) go to shards. A shard's segments are joined into
    one string; its suffix array is built by induced sorting, and permuted common prefixes of ``size`` or more show the equal
-   windows, of which the earliest stays.
+   windows, of which the earliest stays. A name with more than ``SHARD_SEGMENTS`` different segments (a very common phrase in
+   as many surroundings) is more than one shard's work: its windows are dealt out by 128-bit hashes of their own.
 
 Results by case: null text is empty; texts shorter than ``size`` lose nothing; matches never cross documents; null ids rank first;
 rows that repeat an id and a text are one document (each row gets its result); an empty table gives no rows; very long texts
@@ -32,8 +33,8 @@ from tessera.llm.hashing import mix, powers, steps, utf8
 from tessera.llm.suffix_array import permuted_lcp, suffix_array
 
 SIZE, GRAM, PIECE = 100, 24, 256
-#: Bits of the Bloom filter, names it serves at once, and bytes of a shard's string.
-BLOOM_BITS, SLICE_KEYS, SHARD_BYTES = 1 << 26, 8_000_000, 1_000_000
+#: Bits of the Bloom filter, names that it serves, bytes of a shard's string, and segments of one name in a shard.
+BLOOM_BITS, BLOOM_NAMES, SHARD_BYTES, SHARD_SEGMENTS = 1 << 26, 8_000_000, 1_000_000, 4096
 #: Later copies are kept out of the scans by broadcasting their ids up to this many, by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -109,19 +110,21 @@ def _names(size: int):
     return run
 
 
-def _kept_segments(size: int, bloom, slices: int, nth: int, with_bytes: bool):
+def _kept_segments(size: int, bloom, with_bytes: bool):
+    """Segments whose names the filter holds; all of them without one."""
+
     def run(batches):
-        bits, top = bloom.value, np.uint64(BLOOM_BITS - 1)
+        bits, top = bloom.value if bloom is not None else None, np.uint64(BLOOM_BITS - 1)
         has = lambda at: (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             for first, last in steps(offsets):
                 offs = offsets[first : last + 1]
                 s = Segments(data, offs, size)
-                keep = (has(s.name & top) & has((s.name >> np.uint64(32)) & top)).astype(bool)
-                if slices > 1:
-                    keep &= (s.name % np.uint64(slices)) == np.uint64(nth)
-                at = np.flatnonzero(keep)
+                if bits is None:
+                    at = np.arange(len(s.name))
+                else:
+                    at = np.flatnonzero(has(s.name & top) & has((s.name >> np.uint64(32)) & top))
                 if not len(at):
                     continue
                 low = offs[s.row[at]] + s.start[at]
@@ -237,42 +240,85 @@ def _bloom(names: DataFrame):
     return names.sparkSession.sparkContext.broadcast(out)
 
 
-def removed_spans(docs: DataFrame, size: int, shard_bytes: int, slice_keys: int) -> DataFrame:
+def _window_hashes(size: int):
+    """name, doc_id, copy, start, bytes -> each window by two hashes, and where it starts."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(4))
+            length = np.diff(offsets)
+            count = length - size + 1
+            owner = np.repeat(np.arange(len(length)), count)
+            within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            first = offsets[owner] - offsets[0] + within
+            part = data[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
+            hashes = []
+            for base in (_BASE, 0xD1342543DE82EF95):
+                sums = np.zeros(len(part) + 1, dtype=np.uint64)
+                np.cumsum(part * powers(base, len(part)), out=sums[1:])
+                inverse = powers(pow(base, -1, 1 << 64), len(part) + 1)
+                hashes.append(mix((sums[first + size] - sums[first]) * inverse[first]))
+            rows = pa.array(owner)
+            start = batch.column(3).to_numpy()[owner] + within
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).take(rows) for i in (0, 1, 2)), pa.array(start.astype(np.int32)), *(pa.array(h.view(np.int64)) for h in hashes)],
+                names=["name", "doc_id", "copy", "start", "h1", "h2"],
+            )
+
+    return run
+
+
+def _hot_spans(rows: DataFrame, size: int) -> DataFrame:
+    """Later windows of names with very many different segments."""
+    kinds = "name long, doc_id long, copy long, start int, h1 long, h2 long"
+    windows = staged(rows.select("name", "doc_id", "copy", "start", "bytes").mapInArrow(_window_hashes(size), kinds), "suffix-windows")
+    where = F.struct("doc_id", "copy", "start")
+    first = windows.groupBy("name", "h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).where(F.col("first") != F.col("last"))
+    later = windows.join(first, ["name", "h1", "h2"]).where(where != F.col("first"))
+    return later.select("doc_id", "copy", "start", (F.col("start") + size).alias("end"))
+
+
+def removed_spans(docs: DataFrame, size: int, shard_bytes: int, bloom_names: int, shard_segments: int) -> DataFrame:
     """doc_id, copy, start, end: byte ranges (overlapping) that occur earlier."""
     names = docs.select("text").mapInArrow(_names(size), "name long, n int")
     names = staged(names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name"), "suffix-names")
-    slices = max(1, -(-names.count() // slice_keys))
     kinds = "doc_id long, copy long, start int, windows int, name long, again boolean, d1 long, d2 long"
-    where, out = F.struct("doc_id", "copy", "start"), None
+    where = F.struct("doc_id", "copy", "start")
     scan = docs.select("doc_id", "copy", "text")
-    for nth in range(slices):
-        mine = names if slices == 1 else names.where(_unsigned_mod(slices) == nth)
-        kept = staged(scan.mapInArrow(_kept_segments(size, _bloom(mine), slices, nth, False), kinds), "suffix-segments")
-        firsts = kept.groupBy("d1", "d2").agg(
-            F.min(where).alias("first"), F.max(where).alias("last"), F.min("name").alias("name"), F.max("again").alias("again")
-        )
-        firsts = staged(firsts, "suffix-firsts")
-        copied = firsts.where(F.col("first") != F.col("last")).select("d1", "d2", "first")
-        later = kept.select("d1", "d2", "doc_id", "copy", "start", "windows").join(copied, ["d1", "d2"]).where(where != F.col("first"))
-        later = later.select("doc_id", "copy", "start", (F.col("start") + F.col("windows") + (size - 1)).alias("end"))
-        mixed = firsts.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again")
-        mixed = _bloom(staged(mixed.select("name"), "suffix-mixed"))
-        cut = scan.mapInArrow(_kept_segments(size, mixed, slices, nth, True), kinds + ", bytes binary")
+    few = names.count() <= bloom_names
+    kept = scan.mapInArrow(_kept_segments(size, _bloom(names) if few else None, False), kinds)
+    kept = staged(kept if few else kept.join(names, "name", "left_semi"), "suffix-segments")
+    firsts = kept.groupBy("d1", "d2").agg(
+        F.min(where).alias("first"), F.max(where).alias("last"), F.min("name").alias("name"), F.max("again").alias("again"), F.min("windows").alias("windows")
+    )
+    firsts = staged(firsts, "suffix-firsts")
+    copied = firsts.where(F.col("first") != F.col("last")).select("d1", "d2", "first")
+    later = kept.select("d1", "d2", "doc_id", "copy", "start", "windows").join(copied, ["d1", "d2"]).where(where != F.col("first"))
+    out = later.select("doc_id", "copy", "start", (F.col("start") + F.col("windows") + (size - 1)).alias("end"))
+    mixed = firsts.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again")
+    mixed = staged(mixed.select("name", "n"), "suffix-mixed")
+    if few:
+        cut = scan.mapInArrow(_kept_segments(size, _bloom(mixed), True), kinds + ", bytes binary")
         cut = cut.groupBy("d1", "d2").agg(
             F.min(where).alias("first"), F.any_value("bytes").alias("bytes"), F.min("name").alias("name"), F.max("again").alias("again")
         )
         rows = cut.select("name", "first.doc_id", "first.copy", "first.start", "again", "bytes")
-        sharded = rows.repartition("name").sortWithinPartitions("name")
-        shown = sharded.mapInArrow(_shards(size, shard_bytes), "doc_id long, copy long, start int, end int")
-        both = later.union(shown)
-        out = both if out is None else out.union(both)
-    return out
-
-
-def _unsigned_mod(n: int):
-    """name, as an unsigned number, modulo n."""
-    high, low = F.shiftrightunsigned("name", 1), F.col("name").bitwiseAND(1)
-    return F.pmod(F.pmod(high, F.lit(n)) * 2 + low, F.lit(n))
+    else:
+        wanted = firsts.join(mixed, "name", "left_semi").select("name", "first.*", "again", (F.col("windows") + (size - 1)).alias("length"))
+        own = wanted.groupBy(F.col("doc_id").alias("s_id"), F.col("copy").alias("s_copy")).agg(F.collect_list(F.struct("name", "start", "again", "length")).alias("own"))
+        held = scan.join(own, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("copy") == F.col("s_copy")))
+        held = held.select("doc_id", "copy", F.col("text").cast("binary").alias("text"), F.explode("own").alias("s"))
+        rows = held.select("s.name", "doc_id", "copy", "s.start", "s.again", F.substring("text", F.col("s.start") + 1, F.col("s.length")).alias("bytes"))
+        rows = rows.dropDuplicates(["name", "doc_id", "copy", "start"])
+    hot = mixed.where(F.col("n") > shard_segments).select("name")
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+        rows = staged(rows, "suffix-bytes")
+        out = out.union(_hot_spans(rows.join(hot, "name", "left_semi"), size))
+        rows = rows.join(hot, "name", "left_anti").select("name", "doc_id", "copy", "start", "again", "bytes")
+    sharded = rows.repartition("name").sortWithinPartitions("name")
+    return out.union(sharded.mapInArrow(_shards(size, shard_bytes), "doc_id long, copy long, start int, end int"))
 
 
 def cut_bytes(text, spans):
@@ -310,7 +356,8 @@ def cut_bytes(text, spans):
 
 
 def suffix_dedup(
-    df: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, slice_keys: int = SLICE_KEYS
+    df: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES,
+    bloom_names: int = BLOOM_NAMES, shard_segments: int = SHARD_SEGMENTS,
 ) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that are left)."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -325,7 +372,7 @@ def suffix_dedup(
     if again.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     fresh = docs.join(gone, (F.col("doc_id") == F.col("s_id")) & (F.col("copy") == F.col("s_copy")), "left_anti")
-    spans = removed_spans(fresh, size, shard_bytes, slice_keys).union(again)
+    spans = removed_spans(fresh, size, shard_bytes, bloom_names, shard_segments).union(again)
     spans = spans.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("s_id"), F.col("copy").alias("s_copy"), "spans")
     out = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("copy") == F.col("s_copy")), "left")

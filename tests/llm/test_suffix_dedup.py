@@ -30,7 +30,7 @@ def test_suffix_arrays_equal_sorting():
             assert plcp[b] == n
 
 
-def test_large_alphabets_are_sorted_by_doubling():
+def test_large_alphabets_are_sorted():
     r = np.random.default_rng(2)
     half = r.integers(1, 5000, 9000)
     t = np.concatenate([half, half[:4000], half, [0]])
@@ -89,11 +89,31 @@ def test_removed_bytes_equal_brute_force(spark):
         assert {k: v for k, v in got.items() if v != want[k]} == {} and got.keys() == want.keys()
 
 
-def test_small_shards_and_many_key_slices(spark):
+def test_strings_of_names_are_sorted_by_recursion(monkeypatch):
+    """Induced sorting recurses on names whatever their number is; both ways to walk the buckets agree."""
+    r = np.random.default_rng(3)
+    depths, plain = [], sa.suffix_array
+    monkeypatch.setattr(sa, "suffix_array", lambda t, sigma=None: depths.append(sigma) or plain(t, sigma))
+    half = r.integers(97, 123, 30_000)
+    t = np.concatenate([half, half[:20_000], half, [0]])
+    got = sa.suffix_array(t)
+    assert len(depths) >= 2 and max(d or 0 for d in depths) > 2048
+    monkeypatch.setattr(sa, "LARGE_BUCKET", 0)
+    assert list(sa.suffix_array(t)) == list(got)
+    raw = bytes(t.astype(np.uint8))
+    for a, b in zip(got[:-1][::50], got[1:][::50]):
+        assert raw[a:] < raw[b:]
+
+
+def test_small_shards_many_names_and_hot_names(spark):
     rows = corpus(3)
+    phrase = "a phrase that very many texts have in common "
+    rows += [(6000 + i, f"{'abcdefghij'[i % 10] * 60} {phrase}{'klmnopqrst'[i // 10] * 60}{i}") for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = suffix_dedup(df, shard_bytes=2000, slice_keys=50)
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()} == brute(rows, 100)
+    want = brute(rows, 100)
+    for options in ({"shard_bytes": 2000, "bloom_names": 50}, {"shard_segments": 3}, {"bloom_names": 0, "shard_segments": 2}):
+        out = suffix_dedup(df, **options)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()} == want
 
 
 def test_repeated_rows_and_empty_tables(spark):
