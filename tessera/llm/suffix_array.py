@@ -3,7 +3,8 @@
 ``suffix_array`` classifies suffixes as S or L, sorts the leftmost S (LMS) substrings by one induction, names them, sorts the
 string of names by the same function, and induces the whole array from that order. An induction walks the buckets of first
 characters; all entries that a bucket holds at a time are handled together, and entries that they add to the same bucket make
-its next wave. Where buckets hold few entries each, as in strings of names, entries are handled one by one.
+its next wave. Where buckets hold few entries each, as in strings of names, entries are handled one by one. Names that occur once
+settle comparisons, so runs of them are left out of the recursion.
 """
 
 from __future__ import annotations
@@ -81,29 +82,32 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np
 
 
 def _induce_singly(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
-    """The same, entry by entry."""
-    chars, kinds = t.tolist(), small.tolist()
+    """The same, entry by entry. Empty places hold 0, as does the place of position 0: neither has a suffix before it."""
     count = np.bincount(t, minlength=sigma)
     ends = np.cumsum(count)
     heads, tails = (ends - count).tolist(), ends.tolist()
-    sa = [-1] * len(chars)
-    for i in reversed(lms.tolist()):
-        c = chars[i]
-        tails[c] -= 1
-        sa[tails[c]] = i
-    for i in range(len(sa)):
-        j = sa[i] - 1
-        if j >= 0 and not kinds[j]:
-            c = chars[j]
-            sa[heads[c]] = j
-            heads[c] += 1
-    tails = ends.tolist()
-    for i in range(len(sa) - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and kinds[j]:
-            c = chars[j]
-            tails[c] -= 1
-            sa[tails[c]] = j
+    # the character of each suffix of the kind that a pass places, -1 for the others and for what comes before position 0
+    large = np.where(small, -1, t).tolist()
+    smaller = np.where(small, t, -1)
+    smaller[-1] = -1
+    order, own, within = _grouped(t[lms], sigma)
+    filled = np.zeros(len(t), dtype=np.int64)
+    per = np.bincount(own, minlength=sigma)
+    filled[ends[own] - per[own] + within] = lms[order]
+    sa = filled.tolist()
+    for at in sa:
+        c = large[at - 1]
+        if c >= 0:
+            place = heads[c]
+            sa[place] = at - 1
+            heads[c] = place + 1
+    smaller = smaller.tolist()
+    for at in reversed(sa):
+        c = smaller[at - 1]
+        if c >= 0:
+            place = tails[c] - 1
+            sa[place] = at - 1
+            tails[c] = place
     return np.array(sa, dtype=np.int64)
 
 
@@ -155,10 +159,27 @@ def suffix_array(t: np.ndarray, sigma: int | None = None) -> np.ndarray:
     if highest + 1 == len(lms):
         order = np.argsort(names)
     else:
-        order = suffix_array(names, highest + 1)
+        order = _order_of_names(names)
     return _induce(t, small, lms[order], sigma)
 
 
+def _order_of_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names, the last one unique and least.
+
+    A name that occurs once settles a comparison. So of a run of such names only the first goes into the string that is
+    sorted by recursion, as the end of what comes before it.
+    """
+    once = np.bincount(names)[names] == 1
+    kept = ~once
+    kept[1:] |= ~once[:-1]
+    kept[-1] = True
+    at = np.flatnonzero(kept)
+    _, own = np.unique(names[at], return_inverse=True)
+    rank = np.zeros(len(names), dtype=np.int64)
+    rank[at[suffix_array(own, int(own.max()) + 1)]] = np.arange(len(at))
+    return np.lexsort((rank, names))
+
+
 def _equal(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, sigma: int) -> np.ndarray:
     """Whether t[a:a+size] and t[b:b+size] are equal, character by character over those still equal."""
     out, live, at = np.ones(len(a), dtype=bool), np.arange(len(a)), 0

@@ -32,7 +32,7 @@ from tessera.llm.common import staged
 from tessera.llm.hashing import mix, powers, steps, utf8
 from tessera.llm.suffix_array import permuted_lcp, suffix_array
 
-SIZE, GRAM, PIECE = 100, 24, 256
+SIZE, GRAM, PIECE = 100, 40, 256
 #: Bits of the Bloom filter, names that it serves, bytes of a shard's string, and segments of one name in a shard.
 BLOOM_BITS, BLOOM_NAMES, SHARD_BYTES, SHARD_SEGMENTS = 1 << 26, 8_000_000, 1_000_000, 4096
 #: Later copies are kept out of the scans by broadcasting their ids up to this many, by a shuffle beyond.
