@@ -102,6 +102,7 @@ def _value(ctx, query: Query, field: str, op: str, v, base: DataFrame):
     if isinstance(e, (Lit, Param)) and schema_type != "any":
         inner = schema_type[1] if op in ("push", "pull") and isinstance(schema_type, tuple) else schema_type
         new = Lit(types.dump(inner, types.cast(inner, e.value))).build(ctx)
+        new = types.load(inner, new) if isinstance(inner, types.CustomType) else new
     else:
         new = e.build(ctx)
     if op == "set":
@@ -203,8 +204,13 @@ def _insert_all(engine, table: DataFrame, rows, schema, on_conflict, conflict_ta
         new = rows
     else:
         held = [{k: _cell(engine, schema, k, v, placeholders or {}) for k, v in r.items()} for r in rows]
-        kind = table.schema if not held else type(table.schema)([f for f in table.schema.fields if any(f.name in r for r in held)])
+        if unknown := {k for r in held for k in r} - set(table.columns):
+            raise QueryError(f"{sorted(unknown)} aren't columns of the table")
+        custom = {k: f.type for k, f in schema.fields.items() if isinstance(f.type, types.CustomType)} if schema is not None else {}
+        fields = [f for f in table.schema.fields if any(f.name in r for r in held) or not held]
+        kind = T.StructType([T.StructField(f.name, types.spark_type(custom[f.name]) or f.dataType if f.name in custom else f.dataType) for f in fields])
         new = engine.spark.createDataFrame([tuple(r.get(f.name) for f in kind.fields) for r in held], kind)
+        new = new.select(*[types.load(custom[c], F.col(quoted(c))).alias(c) if c in custom else F.col(quoted(c)) for c in new.columns])
     if unknown := set(new.columns) - set(table.columns):
         raise QueryError(f"{sorted(unknown)} aren't columns of the table")
     if schema is not None and (fixed := [c for c in new.columns if c in schema.fields and schema.fields[c].writable == "never"]):

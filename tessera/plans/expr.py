@@ -178,7 +178,9 @@ def _fit(ctx, value: Expr, other: Expr) -> Column:
         kind = other.type(ctx)
         if kind != "any" and not (isinstance(value, Param) and value.as_type):
             try:
-                return Lit(types.dump(kind, types.cast(kind, value.value))).build(ctx)
+                stored = Lit(types.dump(kind, types.cast(kind, value.value))).build(ctx)
+                # columns of such types hold inside values
+                return types.load(kind, stored) if isinstance(kind, types.CustomType) else stored
             except CastError as e:
                 raise QueryError(f"value {value.value!r} in comparison with {other.label()}: {e}") from e
     return value.build(ctx)

@@ -196,11 +196,6 @@ def _(engine):
     return from_("part").where(lambda p: ~p.p_size.in_([])).select(lambda p: {"k": p.p_partkey})
 
 
-@query("filter_like_ilike", "SELECT p_partkey AS k FROM part WHERE p_name LIKE '%a%' AND p_type ILIKE '%STEEL%'")
-def _(engine):
-    return from_("part").where(lambda p: p.p_name.like("%a%") & p.p_type.ilike("%steel%")).select(lambda p: {"k": p.p_partkey})
-
-
 @query("filter_array_member", "SELECT doc_id FROM documents WHERE list_contains(string_split(text, ' '), 'the')")
 def _(engine):
     return from_("documents").where(lambda d: wrap("the").in_(fragment("split(?, ' ')", d.text))).select(lambda d: {"doc_id": d.doc_id})

@@ -224,3 +224,18 @@ def test_hooks(spark, engine):
         prepare_transaction=lambda multi, options: (multi.put("hook", 1), options))
     assert own.insert_all(AUTHOR, [{"id": 1, "name": "zz"}]).count == 0 and seen == ["insert_all"]
     assert own.transact(Multi().put("a", 2)).results == {"a": 2, "hook": 1}
+
+
+def test_custom_types_are_compared_and_stored(spark):
+    from tessera.functions import types
+
+    level = types.Enum(low=1, high=2)
+    schema = Schema("L", "levels", {"id": Field("integer", primary_key=True), "level": Field(level, source="lv")})
+    own = Engine(spark, {"levels": spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id long, lv long")})
+    assert rows(own.all(from_(schema).where(level="high")), "id", "level") == [(2, "high")]
+    assert rows(own.all(from_(schema).where(lambda x: x.level.in_(["low", 2]))), "id") == [(1,), (2,)]
+    done = own.update_all(from_(schema).where(id=1).update(set={"level": "high"}))
+    assert rows(done.affected, "level") == [("high",)] and rows(done.stored(), "id", "lv")[:2] == [(1, 2), (2, 2)]
+    done = own.insert_all(schema, [{"id": 4, "level": "low"}])
+    assert rows(done.affected, "id", "level") == [(4, "low")] and rows(done.stored().where("id = 4"), "lv") == [(1,)]
+    assert own.insert(change(schema, {}, {"level": "low"})).tables["levels"].where("id = 4").first().lv == 1
