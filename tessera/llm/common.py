@@ -17,13 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from the session's setting; one is set only where none is."""
+    """The folder that the cluster shares, from the session's setting; one of our own only on one machine where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
+        elif not sc.master.startswith("local") or sc.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="tessera-")
             sc.setCheckpointDir(found)
@@ -33,9 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/staged/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_STAGED: list[str] = []
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables that this process has staged; results that still read them must be written before. Returns their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = len(_STAGED)
+    while _STAGED:
+        at = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        at.getFileSystem(conf).delete(at, True)
+    return gone
+

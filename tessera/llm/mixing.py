@@ -41,22 +41,33 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     budget is used up follows from running sums.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("rank", F.row_number().over(named).cast("long"))
+    per = running(per, [F.col("source").asc_nulls_last()], one=F.lit(1)).withColumn("rank", F.col("one_before") + 1).drop("one_before")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (1 + (F.col("rank") - 1) % len(weights)).cast("int"))
     per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(epochs))
-    level = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before, everything = level.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    heavy = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    per = per.withColumn("share", left / heavy)
-    per = per.withColumn("share", F.when(F.col("share") <= F.col("cap") / F.col("weight"), F.col("share")))
-    level_at = F.max("share").over(everything)
-    return per.select(
-        "source", "rank", "source_size", F.least(F.col("cap"), level_at * F.col("weight")).alias("target")
+    per = running(per, [(F.col("cap") / F.col("weight")).asc(), F.col("rank").asc()], cap=F.col("cap"), weight=F.col("weight"))
+    whole = per.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("heavy"))
+    share = (F.col("words") - F.col("cap_before")) / (F.col("heavy") - F.col("weight_before"))
+    level = per.crossJoin(F.broadcast(whole)).agg(F.max(F.when(share <= F.col("cap") / F.col("weight"), share)).alias("level"))  # one row each
+    return per.crossJoin(F.broadcast(level)).select(
+        "source", "rank", "source_size", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target")
     )
 
 
+def running(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
+    """``df`` with <name>_before: the sum of each value over the rows before, in this order.
+
+    Rows are dealt out by ranges; sums go over a range's rows, and over the ranges, which are few.
+    """
+    parts = max(1, -(-df.count() // 100_000))
+    held = staged(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "mix-ranges")
+    sums = held.groupBy("__part").agg(*[F.sum(v).alias(f"__{n}") for n, v in values.items()])
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__part", *[F.coalesce(F.sum(f"__{n}").over(ahead), F.lit(0)).alias(f"__{n}") for n in values])
+    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = held.join(F.broadcast(sums), "__part")
+    return out.select(*df.columns, *[(F.col(f"__{n}") + F.coalesce(F.sum(v).over(own), F.lit(0))).alias(f"{n}_before") for n, v in values.items()])
+
+
 def _order() -> list[Column]:
     return [F.col(c) for c in ("finish", "rank", "key", "doc_id", "same", "row", "epoch")]
 

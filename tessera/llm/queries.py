@@ -87,7 +87,8 @@ def op6_toxicity(spark, sf_dir):
 def op7_chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    row = lambda turn, role: spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(hard).alias("text"))
+    extra = row(0, "user").union(row(1, "assistant"))
     out = format_chats(turns.unionByName(extra)).select(
         "conv_id",
         "formatted",

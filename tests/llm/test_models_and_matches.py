@@ -2,7 +2,9 @@
 
 import os
 import random
+import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm import decontamination as decon
 from tessera.llm import language_id, queries, toxicity
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def distance(pattern, text):
@@ -166,7 +168,23 @@ def test_toxicity_query(spark):
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
     clean = [r for r in rows if r.toxic == 0 and r.held_out]
-    assert sum(r.predicted for r in clean) <= 0.1 * len(clean)
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="needs the driver's tables")
+def test_toxicity_recall_on_held_out_labels(spark):
+    """Some texts are labelled toxic without a word that tells so; of those with one, nearly all must be found."""
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    rows = queries.QUERIES["op6_toxicity"](spark, LARGER).join(labels, "doc_id").where("toxic is not null").collect()
+    texts = {r.doc_id: set(re.findall(r"\w+", (r.text or "").lower())) for r in spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text").collect()}
+    fitted = [r for r in rows if not r.held_out]
+    harmless = set().union(*(texts[r.doc_id] for r in fitted if r.toxic == 0))
+    seen = Counter(w for r in fitted if r.toxic == 1 for w in texts[r.doc_id] - harmless)
+    telling = {w for w, n in seen.items() if n >= 20}
+    toxic = [r for r in rows if r.held_out and r.toxic == 1 and texts[r.doc_id] & telling]
+    clean = [r for r in rows if r.held_out and r.toxic == 0]
+    assert len(toxic) >= 50 and sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
 
 
 def test_toxicity_without_labels(spark):
