@@ -80,8 +80,9 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     epochs: int = EPOCHS,
     carry: tuple[str, ...] = (),
+    nested: bool = False,
 ) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, copies, taken; ``carry`` columns follow."""
+    """One row a document: doc_id, source, size, source_size, target, copies, taken; ``carry`` columns follow, or one record of them, carried."""
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     kept = [F.col(c) for c in carry]
     sized = staged(
@@ -129,7 +130,7 @@ def mix(
     out = queued.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
     if carry:
         out = out.join(sized.select("row", "source", "carried"), "row")
-        return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *[f"carried.{c}" for c in carry])
+        return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *(["carried"] if nested else [f"carried.{c}" for c in carry]))
     names = per_source.select(F.col("rank"), F.col("source"))
     return out.join(names, "rank").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm.substring_dedup import MIN_UNIT, MIN_WORDS, substring_dedup
-from tessera.llm.topk_search import MTree, top_k
+from tessera.llm.topk_search import Cells, MTree, top_k
 
 
 def normalise(line):
@@ -131,3 +131,31 @@ def test_tree_prunes_by_bounds():
     want = sorted(((-s, i) for i, s in enumerate(scores) if i != 5))[:5]
     assert best == [(-s, i) for s, i in want]
     assert sum(seen) < 0.75 * len(rows)
+
+
+def test_repeated_and_null_ids_in_a_search(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (2, [0.0, 0.5]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard_rows in (100, 2):
+        got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in top_k(df, F.col("vec_id") % 50 == 0, k=2, shard_rows=shard_rows).collect())
+        assert got == [(0, 1, 1, 256 * 128), (0, 1, 2, 256 * 128), (0, 2, 1, 0), (0, 2, 1, 256 * 128)]
+
+
+def test_cells_leave_out_only_what_cannot_win():
+    r = np.random.default_rng(7)
+    centres = r.integers(-2000, 2000, (12, 16))
+    rows = np.concatenate([c + r.integers(-40, 41, (60, 16)) for c in centres])
+    cells = Cells([list(map(int, v)) for v in rows[::60]])
+    at = [cells.nearest(v) for v in rows]
+    cell, apart = np.array([c for c, _ in at]), np.array([d for _, d in at])
+    cells.fill([(int(c), int((cell == c).sum()), float(apart[cell == c].max())) for c in np.unique(cell)], 25)
+    sent = 0
+    for q in rows[::17].astype(float):
+        done, shards = cells.first_round(q)
+        scores = rows @ q
+        least = np.sort(scores[cell == done])[-5] if (cell == done).sum() >= 5 else None
+        more = cells.second_round(q, done, least)
+        needed = {int(c) for c in np.unique(cell[scores >= (least if least is not None else -np.inf)])} - {done}
+        assert all(set(cells.shards[c]) <= set(more) for c in needed) and not set(shards) & set(more)
+        sent += len(shards) + len(more)
+    assert sent < 0.6 * len(rows[::17]) * sum(map(len, cells.shards))

@@ -80,7 +80,9 @@ def test_stages_on_odd_rows(spark):
         elif name != "mixing":
             assert got.count() == 5 and got.columns == docs.columns
         else:
-            assert sum(r.taken for r in got.collect()) <= 30 and "lang" in got.columns
+            assert sum(r.taken for r in got.collect()) <= 30 and got.columns == [*docs.columns, "copies", "taken"]
+            clash = stage(spark, docs.withColumn("copies", F.lit("own")), SF)
+            assert clash.columns[-3:] == ["copies", "mix_copies", "taken"] and {r.copies for r in clash.collect()} == {"own"}
 
 
 def test_texts_that_share_an_id_are_kept_apart(spark):
