@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import QueryError
 from tessera.plans.expr import Compare, Expr, Fragment, Logic, Ref, ordered, wrap
-from tessera.plans.query import Binding, Join, Query, from_, to_query, to_source
+from tessera.plans.query import Binding, Join, Query, SubQuery, from_, to_query, to_source
 from tessera.plans.schema import Assoc, Schema
 from tessera.plans.windows import orders
 
@@ -99,7 +99,7 @@ def _related(chain, j: Join):
     a, target, _, _ = keys(owner, name)
     if len(chain) == 1 and a.kind != "many_to_many":
         return to_source(target)
-    return to_source(related_rows(chain))
+    return to_source(SubQuery(related_rows(chain)))
 
 
 OWNER = "__owner_key"

@@ -179,7 +179,7 @@ def delete_all(engine, query: Query) -> Written:
 
 
 def insert_all(
-    engine, table: DataFrame, rows, schema: Schema | None = None, on_conflict="raise", conflict_target: list[str] | None = None, placeholders: dict | None = None,
+    engine, table: DataFrame, rows, schema: Schema | None = None, on_conflict="raise", conflict_target: list[str] | tuple[str, str] | None = None, placeholders: dict | None = None,
     returning: bool | list[str] = True, replace_changed: bool = True, source: str | None = None,
 ) -> Written:
     """Insert rows (dicts, a DataFrame, or a query whose select names the columns).
@@ -216,6 +216,8 @@ def _insert_all(engine, table: DataFrame, rows, schema, on_conflict, conflict_ta
     if schema is not None and (fixed := [c for c in new.columns if c in schema.fields and schema.fields[c].writable == "never"]):
         raise QueryError(f"{fixed} are never written")
     new = new.select(*[(F.col(quoted(f.name)) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields])
+    if isinstance(conflict_target, tuple):
+        conflict_target = _constraint_fields(schema, *conflict_target)
     key = conflict_target or (schema.primary_key if schema is not None else [])
     if on_conflict == "raise" and conflict_target:
         raise QueryError("a conflict target needs an on_conflict other than raise")
@@ -255,6 +257,14 @@ def _insert_all(engine, table: DataFrame, rows, schema, on_conflict, conflict_ta
     return Written(changed.drop("__hit").union(fresh), changed.where("__hit").drop("__hit").union(fresh))
 
 
+def _constraint_fields(schema: Schema | None, what: str, name: str) -> list[str]:
+    """The fields of a named unique constraint, given as ("constraint", name)."""
+    found = [c for c in schema.constraints if c.kind == "unique" and c.name == name] if schema is not None and what == "constraint" else []
+    if not found:
+        raise QueryError(f"{name!r} is no unique constraint of {schema.name if schema is not None else 'the table'}")
+    return list(found[0].fields)
+
+
 def _enforce(engine, schema: Schema | None, new: DataFrame, others: DataFrame) -> None:
     """The schema's constraints on new rows; ``others`` are the rows that stay."""
     if schema is not None and (broken := violations(engine, schema, new, others)):

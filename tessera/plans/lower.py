@@ -490,6 +490,8 @@ def _joined(engine, query: Query, ctx: Context, df: DataFrame, j: Join) -> DataF
     if source.kind == "query" and not lateral and _only_where(source.value):
         # a query of filters alone: its filters go into the join's condition
         source, filters = source.value.source, source.value.wheres
+    elif source.kind == "query" and source.bare and not lateral and not _bare(source.value):
+        raise QueryError("a query that is joined as it is has filters only; wrap others in subquery()")
     right, schema = frame_of(engine, source, ctx, query)
     if filters:
         inner = Context(engine, Query(source), None, ctx.scope)
@@ -520,6 +522,11 @@ def _joined(engine, query: Query, ctx: Context, df: DataFrame, j: Join) -> DataF
     return df.join(right, condition, how)
 
 
+def _bare(q: Query) -> bool:
+    """A query that is its source and no more."""
+    return replace(q, name=None) == Query(q.source, prefix_=q.prefix_)
+
+
 def _only_where(q: Query) -> bool:
     bare = replace(q, wheres=(), name=None)
     return bool(q.wheres) and bare == Query(q.source, prefix_=q.prefix_) and q.source.kind in ("table", "frame")

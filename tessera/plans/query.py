@@ -33,6 +33,7 @@ class Source:
     prefix: str | None = None
     columns: tuple[str, ...] | None = None
     hints: tuple[str, ...] = ()
+    bare: bool = False
 
 
 @dataclass(frozen=True)
@@ -109,7 +110,7 @@ def to_source(value, prefix=None, columns=None, hints=()) -> Source:
     if isinstance(value, SubQuery):
         return Source("query", value.query, hints=hints)
     if isinstance(value, Query):
-        return Source("query", value, hints=hints)
+        return Source("query", value, hints=hints, bare=True)
     if isinstance(value, Fragment):
         return Source("fragment", value, columns=tuple(columns) if columns else None, hints=hints)
     if isinstance(value, Values):

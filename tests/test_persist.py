@@ -239,3 +239,16 @@ def test_custom_types_are_compared_and_stored(spark):
     done = own.insert_all(schema, [{"id": 4, "level": "low"}])
     assert rows(done.affected, "id", "level") == [(4, "low")] and rows(done.stored().where("id = 4"), "lv") == [(1,)]
     assert own.insert(change(schema, {}, {"level": "low"})).tables["levels"].where("id = 4").first().lv == 1
+
+
+def test_conflict_targets_by_constraint_and_joined_queries(engine):
+    new = [{"id": 50, "name": "ann", "age": 77}]
+    done = engine.insert_all(AUTHOR, new, on_conflict=("replace", ["age"]), conflict_target=("constraint", "authors_name_index"))
+    assert rows(done.table, "id", "name", "age") == [(1, "ann", 77), (2, "bob", 40)]
+    with pytest.raises(QueryError, match="no unique constraint"):
+        engine.insert_all(AUTHOR, new, on_conflict="nothing", conflict_target=("constraint", "nope"))
+    late = from_(BOOK).where(lambda b: b.title != "one")
+    q = from_(AUTHOR).join(late, on=lambda a, b: b.author_id == a.id).select(lambda a, b: {"t": b.title})
+    assert rows(engine.all(q), "t") == [("kept",), ("two",)]
+    with pytest.raises(QueryError, match="filters only"):
+        engine.all(from_(AUTHOR).join(late.limit(1), on=lambda a, b: b.author_id == a.id).select(lambda a, b: {"t": b.title}))
