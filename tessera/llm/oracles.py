@@ -190,3 +190,31 @@ SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
        coalesce(string_agg(name, ',' ORDER BY low, rank), '') AS spans
 FROM texts t LEFT JOIN named n ON t.doc_id = n.doc_id GROUP BY t.doc_id
 """
+
+OP4_SUFFIX_DEDUP = """
+WITH hexed AS (
+  SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents
+), chunks AS (  -- a part of a long string is found faster in a short one
+  SELECT doc_id, length(h) // 2 - 99 AS n, h, unnest(range(0, (length(h) // 2 - 99 + 499) // 500)) AS c FROM hexed WHERE length(h) >= 200
+), windows AS (
+  SELECT doc_id, 500 * c + i AS p, hash(substr(own, 2 * i + 1, 200)) AS w
+  FROM (SELECT doc_id, c, substr(h, 1000 * c + 1, 1198) AS own, unnest(range(0, least(500, n - 500 * c))) AS i FROM chunks)
+), ranked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS nth FROM windows
+), later AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS opens FROM ranked WHERE nth > 1
+), numbered AS (
+  SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM later
+), runs AS (
+  SELECT doc_id, min(p) AS low, max(p) + 100 AS high FROM numbered GROUP BY doc_id, run
+), placed AS (
+  SELECT *, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM runs
+), kept AS (
+  SELECT r.doc_id, sum(r.high - r.low) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(x.h, 2 * r.before + 1, 2 * (r.low - r.before)), '' ORDER BY r.low) || substr(any_value(x.h), 2 * max(r.high) + 1) AS h
+  FROM placed r JOIN hexed x ON r.doc_id = x.doc_id GROUP BY r.doc_id
+)
+SELECT x.doc_id, length(x.h) // 2 AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, coalesce(k.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k.h, x.h))) AS kept_sha256
+FROM hexed x LEFT JOIN kept k ON x.doc_id = k.doc_id
+"""

@@ -187,6 +187,24 @@ def test_toxicity_recall_on_held_out_labels(spark):
     assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
 
 
+def test_models_on_long_repeated_and_clashing_rows(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice(["an", "the", "er", "on", "re", "ti"]) for _ in range(r.randint(1, 4)))
+    rows = [(i, " ".join([*(word() for _ in range(20)), *(["worthless", "pathetic"] if i % 2 else [])]), i % 2) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").withColumn("toxic", F.lit("clash")).withColumn("score", F.lit("clash"))
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").withColumn("text", F.lit("clash")))
+    long = " ".join(word() for _ in range(200_000))
+    odd = spark.createDataFrame([(1, long), (2, long + " worthless pathetic"), (3, rows[1][1]), (3, rows[1][1]), (4, None)], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = [(x.doc_id, x.s) for x in odd.select("doc_id", toxicity.toxicity(F.col("text"), model).alias("s")).collect()]
+    assert got[0][1] < 0.5 <= got[1][1] and got[2] == got[3] and got[4][1] == 0
+    assert odd.limit(0).select(toxicity.toxicity(F.col("text"), model)).count() == 0
+    langs = spark.createDataFrame([(i, "the house and the garden " * 3 if i % 2 else "das haus und der garten " * 3, "en" if i % 2 else "de") for i in range(200)], "doc_id long, text string, lang string")
+    net = language_id.train(langs.union(langs))
+    odd = spark.createDataFrame([(1, "the garden and the house " * 40_000), (2, "der garten"), (2, "der garten")], "doc_id long, text string").withColumn("lang", F.lit("xx"))
+    got = [tuple(x.x) for x in odd.select(language_id.language(F.col("text"), net).alias("x")).collect()]
+    assert [g for g, _ in got] == ["en", "de", "de"] and got[1] == got[2]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")

@@ -171,6 +171,17 @@ def test_mixing_meets_its_targets(spark):
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def test_very_long_texts_are_mixed_and_formatted_whole(spark):
+    rows = [(1, "w " * 300_000, "a"), (2, "x y", "a"), (3, "z " * 40, "b"), (4, "q " * 400_000, "c")]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[i]["size"] for i in (1, 2, 3, 4)] == [300_000, 2, 40, 400_000]
+    assert got[3].target == 120 and got[3].taken == 120 and sum(r.taken for r in got.values()) <= 700_042
+    long = "### a </turn> \\ é" * 40_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    row = chat.format_chats(df).select(chat.read_turns(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss")).first()
+    assert [t.text for t in row.t] == [long, long] and row.loss == long
+
+
 def test_mixing_of_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(empty).count() == 0

@@ -70,17 +70,19 @@ def test_run_applies_all_stages(spark):
 def test_stages_on_odd_rows(spark):
     line = "one two three four five six seven eight nine ten"
     odd = [(None, line, "en", "s", 4), (1, None, None, None, None), (2, "", "en", "s", 0), (3, line, "en", "s", 48), (3, line, "en", "s", 48)]
+    long = " ".join(f"word{i % 5003}x{i}" for i in range(60_000))
+    odd += [(4, long, "en", "t", len(long))]
     docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").withColumn("size", F.lit("x"))
     for name, stage in pipe.STAGES:
         got = stage(spark, docs, SF)
         empty = stage(spark, docs.limit(0), SF)
         assert empty.count() == 0, name
         if name == "jaccard_join":
-            assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 2, 3]
+            assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 2, 3, 4]
         elif name != "mixing":
-            assert got.count() == 5 and got.columns == docs.columns
+            assert got.count() == 6 and got.columns == docs.columns
         else:
-            assert sum(r.taken for r in got.collect()) <= 30 and got.columns == [*docs.columns, "copies", "taken"]
+            assert sum(r.taken for r in got.collect()) <= 60_030 and got.columns == [*docs.columns, "copies", "taken"]
             clash = stage(spark, docs.withColumn("copies", F.lit("own")), SF)
             assert clash.columns[-3:] == ["copies", "mix_copies", "taken"] and {r.copies for r in clash.collect()} == {"own"}
 
