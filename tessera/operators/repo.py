@@ -80,6 +80,16 @@ class Engine:
             for view in held.values():
                 self.spark.catalog.dropTempView(view)
 
+    #: Results of up to so many rows are held on the driver between steps of a recursion.
+    LOCAL_ROWS = 10_000
+
+    def held(self, df: DataFrame) -> tuple[DataFrame, bool]:
+        """A result that doesn't depend on its plan any more, and whether it has rows: few rows locally, others staged."""
+        few = df.limit(self.LOCAL_ROWS + 1).toArrow()
+        if few.num_rows <= self.LOCAL_ROWS:
+            return self.spark.createDataFrame(few, df.schema), few.num_rows > 0
+        return self.staged(df), True
+
     def staged(self, df: DataFrame) -> DataFrame:
         """Written to the cluster's shared folder and read back; a folder of our own only on one machine where none is set."""
         folder = self.spark.conf.get("spark.checkpoint.dir", None)

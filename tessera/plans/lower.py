@@ -650,27 +650,29 @@ def _mentions(query: Query, name: str) -> bool:
     return any(s.kind == "table" and s.value == name or s.kind == "query" and _mentions(s.value, name) for s in sources)
 
 
-def recursive(engine, name: str, cte: Query, parent, scope, most: int = 10_000) -> DataFrame:
+def recursive(engine, name: str, cte: Query, parent, scope, most: int = 10_000, most_parts: int = 25) -> DataFrame:
     """Anchor, then steps over the rows that the step before added, until one adds none.
 
-    UNION takes only rows not seen before, UNION ALL all. Each step's rows are written to the shared folder, so
-    plans stay short.
+    UNION takes only rows not seen before, UNION ALL all. Each step's rows are held apart from the plan that made them, and
+    all rows so far every ``most_parts`` steps, so plans stay short.
     """
     kind, step = cte.combinations[-1]
     if kind not in ("union", "union_all"):
         raise QueryError("a recursive CTE is an anchor united with a step")
     anchor = replace(cte, combinations=cte.combinations[:-1])
     fresh = lower(engine, anchor, parent, scope)
-    fresh = engine.staged(fresh.distinct() if kind == "union" else fresh)
+    fresh, _ = engine.held(fresh.distinct() if kind == "union" else fresh)
     seen = fresh
-    for _ in range(most):
+    for nth in range(1, most + 1):
         added = lower(engine, step, parent, scope | {name: fresh}).toDF(*seen.columns)
         added = added.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in seen.schema])
         if kind == "union":
             same = [F.col(quoted("new", c)).eqNullSafe(F.col(quoted("old", c))) for c in seen.columns]
             added = added.distinct().alias("new").join(seen.alias("old"), reduce(Column.__and__, same), "left_anti")
-        fresh = engine.staged(added)
-        if fresh.isEmpty():
+        fresh, more = engine.held(added)
+        if not more:
             return seen
         seen = seen.union(fresh)
+        if nth % most_parts == 0:
+            seen, _ = engine.held(seen)
     raise QueryError(f"the recursive CTE {name!r} didn't end in {most} steps")

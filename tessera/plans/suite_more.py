@@ -154,9 +154,9 @@ def _(engine):
 # values
 
 
-@query("arithmetic", "SELECT l_orderkey AS k, l_linenumber AS n, l_quantity - 1 AS less, l_extendedprice / l_quantity AS each, -l_tax AS minus, 2 * l_discount + 1 AS more FROM lineitem")
+@query("arithmetic", "SELECT l_orderkey AS k, l_linenumber AS n, l_quantity - 1 AS less, l_extendedprice / l_quantity AS each, -l_quantity AS minus, 2 * l_discount + 1 AS more FROM lineitem")
 def _(engine):
-    return from_("lineitem").select(lambda l: {"k": l.l_orderkey, "n": l.l_linenumber, "less": l.l_quantity - 1, "each": l.l_extendedprice / l.l_quantity, "minus": -l.l_tax, "more": 2 * l.l_discount + 1})
+    return from_("lineitem").select(lambda l: {"k": l.l_orderkey, "n": l.l_linenumber, "less": l.l_quantity - 1, "each": l.l_extendedprice / l.l_quantity, "minus": -l.l_quantity, "more": 2 * l.l_discount + 1})
 
 
 _UNITS = {"year": 2, "month": -5, "week": 3, "day": -9, "hour": 30, "minute": -200, "second": 4000, "millisecond": -2500, "microsecond": 1700}
@@ -183,9 +183,9 @@ def _(engine):
     return from_("customer").where(lambda c: lower_of(c.c_mktsegment) == "building").select(lambda c: {"k": c.c_custkey, "s": lower_of(c.c_mktsegment)})
 
 
-@query("fragment_aggregate", "SELECT o_orderpriority AS p, quantile_cont(o_totalprice, 0.5) AS median FROM orders GROUP BY 1")
+@query("fragment_aggregate", "SELECT o_orderpriority AS p, round(quantile_cont(o_totalprice, 0.5), 3) AS median FROM orders GROUP BY 1")
 def _(engine):
-    return from_("orders").group_by(lambda o: o.o_orderpriority).select(lambda o: {"p": o.o_orderpriority, "median": fragment("percentile(?, 0.5)", o.o_totalprice, aggregate=True)})
+    return from_("orders").group_by(lambda o: o.o_orderpriority).select(lambda o: {"p": o.o_orderpriority, "median": fragment("round(percentile(?, 0.5), 3)", o.o_totalprice, aggregate=True)})
 
 
 _STATUS = types.Enum(open="O", filled="F", pending="P")
@@ -272,7 +272,7 @@ def _(engine):
     return rows.select("id", F.posexplode("nations").alias("nth", "x")).select("id", F.col("x.name").alias("name"), F.col("nth").cast("long").alias("nth"))
 
 
-@query("embedded_records", "SELECT n_nationkey AS id, n_name AS inner_name, n_regionkey AS second FROM nation")
+@query("embedded_records", "SELECT n_nationkey AS id, n_name AS inner_name, CAST(n_regionkey AS BIGINT) AS second FROM nation")
 def _(engine):
     inner = Schema("Inner", None, {"name": "string", "n": "integer"})
     outer = Schema("Outer", "held", {"id": Field("integer", primary_key=True)}, embeds={"one": Embed(inner), "many": Embed(inner, many=True)})
@@ -282,7 +282,7 @@ def _(engine):
     return Engine(engine.spark, {"held": held}).all(from_(outer).select(lambda o: {"id": o.id, "inner_name": o.one["name"], "second": o["many"][1]["n"]}))
 
 
-@query("assoc_built", "SELECT r_regionkey AS region_id, 'x' || r_name AS name FROM region")
+@query("assoc_built", "SELECT CAST(r_regionkey AS BIGINT) AS region_id, 'x' || r_name AS name FROM region")
 def _(engine):
     from tessera.operators.associations import build_assoc
 
@@ -343,7 +343,7 @@ def _(engine):
     return engine.insert_all(PART, rows, placeholders={"n": "held"}).table.select("p_partkey", "p_name", "p_size")
 
 
-@query("insert_first_of_repeats", "SELECT * FROM (VALUES (-1, 'first'), (-2, 'only')) t(p_partkey, p_name)")
+@query("insert_first_of_repeats", "SELECT CAST(k AS BIGINT) AS p_partkey, p_name FROM (VALUES (-1, 'first'), (-2, 'only')) t(k, p_name)")
 def _(engine):
     rows = [{"p_partkey": k, "p_name": n} for k, n in ((-1, "first"), (-1, "second"), (-2, "only"), (1, "there"))]
     return engine.insert_all(PART, rows, on_conflict="nothing", returning=["p_partkey", "p_name"]).affected
@@ -361,16 +361,20 @@ def _(engine):
     return engine.insert_all(PART, rows, on_conflict=("replace", ["p_size"]), returning=["p_partkey"]).affected
 
 
-@query("update_push", "SELECT p_partkey, [p_size, 5, 9] AS held FROM part")
+def joined_list(df):
+    return df.withColumn("held", F.array_join(F.col("held").cast("array<string>"), ","))
+
+
+@query("update_push", "SELECT p_partkey, array_to_string([p_size, 5, 9], ',') AS held FROM part")
 def _(engine):
     frame = engine.table("part").select("p_partkey", F.array("p_size", F.lit(5)).alias("held"))
-    return engine.update_all(from_(frame).update(push={"held": 9})).table
+    return joined_list(engine.update_all(from_(frame).update(push={"held": 9})).table)
 
 
-@query("update_pull", "SELECT p_partkey, list_filter([p_size, 5, 9, 5], lambda x: x <> 5) AS held FROM part")
+@query("update_pull", "SELECT p_partkey, array_to_string(list_filter([p_size, 5, 9, 5], lambda x: x <> 5), ',') AS held FROM part")
 def _(engine):
     frame = engine.table("part").select("p_partkey", F.array("p_size", F.lit(5), F.lit(9), F.lit(5)).alias("held"))
-    return engine.update_all(from_(frame).update(pull={"held": 5})).table
+    return joined_list(engine.update_all(from_(frame).update(pull={"held": 5})).table)
 
 
 @query("update_errors", "SELECT true AS twice, true AS fixed, true AS nothing, true AS limited")
@@ -437,7 +441,7 @@ def _(engine):
     return engine.update(edit).tables["nation"]
 
 
-@query("record_cast_embed", "SELECT 1 AS id, 7 AS price, 2 AS items")
+@query("record_cast_embed", "SELECT 1::BIGINT AS id, 7::BIGINT AS price, 2 AS items")
 def _(engine):
     item = Schema("Item", None, {"id": Field("integer", primary_key=True), "price": "integer"})
     held = Schema("Held2", "held", {"id": Field("integer", primary_key=True)}, embeds={"one": Embed(item), "many": Embed(item, many=True)})

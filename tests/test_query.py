@@ -404,3 +404,29 @@ def test_queries_as_text(engine):
     text = str(more)
     for part in ("with_cte('w', from_('t').select(['a']), materialized=True)", "exists(from_('t').where(t0.a == parent_as('u').id).select(['a']))", "row_number().over('w')", "datetime_add(u0.at, 1, 'day')", "u0.meta['a'][0]", "union(from_('t')", "preload('posts')", "lock('FOR UPDATE')"):
         assert part in text
+
+
+def test_recursion_over_local_and_staged_steps(engine, monkeypatch):
+    anchor = from_(values([{"n": 1, "s": "a"}, {"n": 3, "s": None}], {"n": "integer", "s": "string"})).select(lambda v: {"n": v.n, "s": v.s})
+    step = from_("t").select(lambda t: {"n": fragment("(? * 2) % 11", t.n), "s": t.s})
+    q = from_("t").recursive_ctes().with_cte("t", anchor.union(step)).select(["n", "s"])
+    want = sorted({(pow(2, k, 11) * n % 11, s) for k in range(10) for n, s in ((1, "a"), (3, None))}, key=str)
+    for rows in (Engine.LOCAL_ROWS, 1):
+        monkeypatch.setattr(Engine, "LOCAL_ROWS", rows)
+        assert sorted((tuple(r) for r in engine.all(q).collect()), key=str) == want
+
+
+def test_tables_of_folders(spark, tmp_path):
+    from tessera.sources import folder
+
+    at = str(tmp_path)
+    spark.range(2).toDF("id").write.parquet(f"{at}/t.parquet")
+    spark.createDataFrame([(1, "x")], "a int, b string").write.option("header", True).csv(f"{at}/c.csv")
+    own = Engine(spark, folder(spark, at))
+    assert own.all(from_("t").select(["id"])).count() == 2
+    spark.range(3).selectExpr("id", "id * 2 AS twice").write.mode("overwrite").parquet(f"{at}/t.parquet")
+    assert sorted(column(own.all(from_("t").select(["twice"])), "twice")) == [0, 2, 4]
+    assert Engine(spark, folder(spark, at, "csv", header=True)).all(from_("c").select(["b"])).first().b == "x"
+    assert folder(spark, at)("none") is None
+    spark.range(1).createOrReplaceTempView("only_in_the_catalog")
+    assert own.all(from_("only_in_the_catalog").select(["id"])).count() == 1
