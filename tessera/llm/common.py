@@ -40,6 +40,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` to be broadcast if it has few rows, as it is otherwise. It is counted, so it should be a stored table of slim rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 _STAGED: list[str] = []
 
 
@@ -52,3 +61,28 @@ def drop_staged(spark: SparkSession) -> int:
         at.getFileSystem(conf).delete(at, True)
     return gone
 
+
+#: Items whose results are gathered in one array.
+CHUNK = 256
+
+
+def in_chunks(items: Column, start: Column, none: Column, step) -> Column:
+    """The array that ``step(struct<at, out>, item)`` gathers in ``out`` over all items, ``at`` being carried along.
+
+    Adding to an array copies it. So items are taken ``CHUNK`` at a time, each chunk's results being an array of its own, and these
+    are joined once: a text with very many matches isn't a matter of their square.
+    """
+    chunks = F.transform(
+        F.array(items),  # bound to a variable, so it is made once
+        lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / CHUNK).cast("int")), lambda k: F.slice(x, k * CHUNK + 1, F.lit(CHUNK))),
+    )[0]
+    nested = F.slice(F.array(none), F.lit(1), F.lit(0))
+
+    def chunk_step(acc: Column, own: Column) -> Column:
+        made = F.transform(
+            F.array(F.aggregate(own, F.struct(acc["at"].alias("at"), none.alias("out")), step)),
+            lambda m: F.struct(m["at"].alias("at"), F.concat(acc["out"], F.array(m["out"])).alias("out")),
+        )
+        return made[0]
+
+    return F.aggregate(chunks, F.struct(start.alias("at"), nested.alias("out")), chunk_step, lambda acc: F.flatten(acc["out"]))

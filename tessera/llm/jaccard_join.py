@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import small, staged
 from tessera.llm.connected import components
 from tessera.llm.hashing import mix, shingle_sets, steps, utf8
 
@@ -264,14 +264,14 @@ class JaccardJoin:
         band = F.floor(F.log("n") / (math.log(100 / self.percent) * (1 + 1e-9))) if self.percent < 100 else F.col("n")
         rows = large.select("key", "sig", "rank", "out", F.explode(F.array(band.cast("long"), band.cast("long") - 1)).alias("band"))
         lead = rows.groupBy("key", "band").agg(F.min(F.struct("rank", "sig")).alias("lead"), F.max("out").alias("any"))
-        lead = lead.where("any").select("key", "band", F.col("lead.sig").alias("b"))
-        pairs = rows.join(lead, ["key", "band"]).where("sig <> b")
+        lead = staged(lead.where("any").select("key", "band", F.col("lead.sig").alias("b")), "jaccard-leaders")
+        pairs = rows.join(small(lead), ["key", "band"]).where("sig <> b")
         return pairs.select(F.col("sig").alias("a"), "b", "rank").distinct()
 
     def _next_rows(self, compared: DataFrame) -> DataFrame:
         """The rows of the next join: nodes of groups that have one not linked with the leader, by the prefixes of their differences."""
         p = self.percent
-        open_ = compared.where("star and not linked").select("b").distinct()
+        open_ = small(staged(compared.where("star and not linked").select("b").distinct(), "jaccard-open"))
         sets = compared.where("star").join(open_, "b", "left_semi").select("b", F.col("a").alias("sig"), "n", "rank", (~F.col("linked")).alias("out"), "delta")
         items = sets.select("b", "sig", "n", "rank", "out", F.size("delta").alias("size"), F.explode("delta").alias("item"))
         often = items.groupBy("b", "item").agg(F.count(F.lit(1)).alias("times"), F.max("out").alias("any"))
