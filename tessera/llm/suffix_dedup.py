@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import small, staged
 from tessera.llm.hashing import mix, powers, steps, utf8
 from tessera.llm.suffix_array import permuted_lcp, suffix_array
 
@@ -365,8 +365,8 @@ def suffix_dedup(
     ids = docs.select("doc_id", "copy", F.octet_length("text").alias("end"), F.sha2("text", 256).alias("whole"))
     ids = staged(ids.where(F.col("end") >= size), "suffix-texts")
     first = ids.groupBy("whole").agg(F.min(F.struct("doc_id", "copy")).alias("first"), F.max(F.struct("doc_id", "copy")).alias("last"))
-    first = first.where(F.col("first") != F.col("last")).select("whole", "first")
-    again = ids.join(first, "whole").where(F.struct("doc_id", "copy") != F.col("first"))
+    first = staged(first.where(F.col("first") != F.col("last")).select("whole", "first"), "suffix-copied")
+    again = ids.join(small(first), "whole").where(F.struct("doc_id", "copy") != F.col("first"))
     again = staged(again.select("doc_id", "copy", F.lit(0).alias("start"), "end").distinct(), "suffix-copies")
     gone = again.select(F.col("doc_id").alias("s_id"), F.col("copy").alias("s_copy"))
     if again.count() <= BROADCAST_IDS:
