@@ -30,7 +30,7 @@ from tessera.llm.toxicity import fold
 
 WINDOW, DIM, WIDTHS, FILTERS = 128, 6, (2, 3, 4, 5), 10
 PER_LANGUAGE, PER_TEXT = 600, 6
-BLOCK = 512
+BLOCK, PARTS = 512, 120
 #: Texts to fit are looked up by broadcasting their ids up to this many, by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 _LETTER = np.zeros(256, dtype=np.float32)
@@ -184,12 +184,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
     """Fit on texts with a language outside fold 1 of 3, about ``per_language`` of each language."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = rows.select("doc_id", "lang").where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
-    # a language's rows are ranked in 16 parts, so no language is ordered in one task
+    # a language's rows are ranked in parts, so no language is ordered in one task
     least = F.xxhash64("doc_id", "lang")
     ranked = known.withColumn(
-        "nth", F.row_number().over(Window.partitionBy("lang", F.pmod(least, F.lit(16))).orderBy(least, "doc_id"))
+        "nth", F.row_number().over(Window.partitionBy("lang", F.pmod(least, F.lit(PARTS))).orderBy(least, "doc_id"))
     )
-    taken = staged(ranked.where(F.col("nth") <= -(-per_language // 16)).select("doc_id", "lang").distinct(), "language-taken")
+    taken = staged(ranked.where(F.col("nth") <= -(-per_language // PARTS)).select("doc_id", "lang").distinct(), "language-taken")
     taken = F.broadcast(taken) if taken.count() <= BROADCAST_IDS else taken
     texts = rows.join(taken, ["doc_id", "lang"], "left_semi").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     cuts = texts.mapInArrow(_cut_windows, "doc_id long, lang string, window binary")
