@@ -124,10 +124,15 @@ def _children(engine, given: RecordChange, record: dict) -> dict:
 
 
 def _below(engine, given: RecordChange, name: str, action: str, child: RecordChange) -> dict:
+    """A related record's write; if it fails, its errors are below the record's own."""
     try:
         return _ACTIONS[action](engine, child, {})
     except _Failed as e:
-        raise _Failed(replace(given, related=given.related | {name: [(x, e.change if c is child or c.data == child.data and x == action else c) for x, c in given.related[name]]})) from None
+        own, held = given.related[name], []
+        for what, c in own:
+            hit = what == action and c.data == child.data
+            held.append((what, e.change if hit else c))
+        raise _Failed(replace(given, related=given.related | {name: held})) from None
 
 
 def _linked(engine, given: RecordChange, name: str, action: str, child: RecordChange, record: dict) -> list[dict]:
