@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import in_chunks
+
 HEADER = "### "
 CLOSE = "</turn>"
 #: Ends a block; it can't occur in a text either, for it holds "</".
@@ -47,20 +49,19 @@ def unescape_role(role: Column) -> Column:
     return role
 
 
-def _blocks(turns: Column) -> Column:
-    """Adjacent turns of one role merged: array<struct<role, texts>>."""
-    none = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
+def _merged(turns: Column) -> Column:
+    """Adjacent turns of one role merged: array<struct<head, text, loss>>, where head closes the block before and opens a new one."""
+    none = F.expr("cast(array() as array<struct<head:string,text:string,loss:boolean>>)")
 
     def step(acc: Column, t: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        same = (F.size(acc) > 0) & (last["role"] == t["role"])
-        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        new = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        return F.when(same, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(
-            F.concat(acc, F.array(new))
-        )
+        before = acc["at"]
+        opens = before["none"] | (before["role"] != t["role"])
+        header = F.concat(F.when(before["none"], "").otherwise(BLOCK_END), F.lit(HEADER), escape_role(t["role"]), F.lit("\n"))
+        piece = F.struct(F.when(opens, header).otherwise("").alias("head"), escape(t["text"]).alias("text"), (t["role"] == LOSS_ROLE).alias("loss"))
+        at = F.struct(F.lit(False).alias("none"), t["role"].alias("role"))
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
 
-    return F.aggregate(turns, none, step)
+    return in_chunks(turns, F.struct(F.lit(True).alias("none"), F.lit("").alias("role")), none, step)
 
 
 def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -75,22 +76,10 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         ).alias("t"),
     )
     grouped = rows.groupBy(conv).agg(F.array_sort(F.collect_list("t"), _order).alias("turns"))
-    blocks = F.transform(
-        _blocks(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))),
-        lambda b: F.struct(
-            b["role"].alias("role"),
-            F.concat(F.lit(HEADER), escape_role(b["role"]), F.lit("\n")).alias("head"),
-            F.transform(b["texts"], escape).alias("texts"),
-        ),
-    )
-    grouped = grouped.select(conv, blocks.alias("blocks"))
-    body = F.transform(
-        "blocks",
-        lambda b: F.concat(
-            b["head"], F.array_join(F.transform(b["texts"], lambda x: F.concat(x, F.lit(CLOSE))), ""), F.lit(BLOCK_END)
-        ),
-    )
-    return grouped.select(conv, F.array_join(body, "").alias("formatted"), _mask(F.col("blocks")).alias("loss_mask"))
+    own = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    merged = grouped.select(conv, _merged(own).alias("pieces"))
+    body = F.transform("pieces", lambda x: F.concat(x["head"], x["text"], F.lit(CLOSE)))
+    return merged.select(conv, F.concat(F.array_join(body, ""), F.lit(BLOCK_END)).alias("formatted"), _mask(F.col("pieces")).alias("loss_mask"))
 
 
 def _order(a: Column, b: Column) -> Column:
@@ -113,22 +102,15 @@ def _order(a: Column, b: Column) -> Column:
     return F.when(first != 0, first).otherwise(rest)
 
 
-def _mask(blocks: Column) -> Column:
+def _mask(pieces: Column) -> Column:
     none = F.expr("cast(array() as array<struct<start:int,length:int>>)")
 
-    def text_step(acc: Column, x: Column) -> Column:
-        span = F.array(F.struct(acc["at"].alias("start"), F.length(x).alias("length")))
-        at = acc["at"] + F.length(x) + len(CLOSE)
-        return F.struct(at.alias("at"), F.concat(acc["out"], span).alias("out"))
-
-    def block_step(acc: Column, b: Column) -> Column:
-        start = F.struct((acc["at"] + F.length(b["head"])).alias("at"), acc["out"].alias("out"))
-        skipped = F.aggregate(b["texts"], F.lit(0), lambda n, x: n + F.length(x) + len(CLOSE))
-        plain = F.struct((start["at"] + skipped).alias("at"), acc["out"].alias("out"))
-        done = F.when(b["role"] == LOSS_ROLE, F.aggregate(b["texts"], start, text_step)).otherwise(plain)
-        return F.struct((done["at"] + len(BLOCK_END)).alias("at"), done["out"].alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["head"])
+        span = F.when(x["loss"], F.array(F.struct(start.alias("start"), F.length(x["text"]).alias("length")))).otherwise(none)
+        return F.struct((start + F.length(x["text"]) + len(CLOSE)).alias("at"), F.concat(acc["out"], span).alias("out"))
 
-    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), block_step, lambda acc: acc["out"])
+    return in_chunks(pieces, F.lit(0), none, step)
 
 
 def read_turns(formatted: Column) -> Column:

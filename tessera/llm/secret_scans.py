@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import in_chunks
+
 #: In this order where two spans start together.
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -27,7 +29,6 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 WINDOW = 20
-CHUNK = 256
 #: Bits a character over the best window, by character class: hex digits, letters of both cases, letters with digits.
 #: Candidates of other classes (digits alone, letters of one case) are no secrets.
 THRESHOLDS = {"hex": 2.9, "letters": 3.9, "mixed": 3.6}
@@ -41,28 +42,6 @@ ALLOW_LIST = (
 )
 
 
-def in_chunks(items: Column, start: Column, none: Column, step) -> Column:
-    """The array that ``step(struct<at, out>, item)`` gathers in ``out`` over all items, ``at`` being carried along.
-
-    Adding to an array copies it. So items are taken ``CHUNK`` at a time, each chunk's results being an array of its own, and these
-    are joined once: a text with very many matches isn't a matter of their square.
-    """
-    chunks = F.transform(
-        F.array(items),  # bound to a variable, so it is made once
-        lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / CHUNK).cast("int")), lambda k: F.slice(x, k * CHUNK + 1, F.lit(CHUNK))),
-    )[0]
-    nested = F.slice(F.array(none), F.lit(1), F.lit(0))
-
-    def chunk_step(acc: Column, own: Column) -> Column:
-        made = F.transform(
-            F.array(F.aggregate(own, F.struct(acc["at"].alias("at"), none.alias("out")), step)),
-            lambda m: F.struct(m["at"].alias("at"), F.concat(acc["out"], F.array(m["out"])).alias("out")),
-        )
-        return made[0]
-
-    return F.aggregate(chunks, F.struct(start.alias("at"), nested.alias("out")), chunk_step, lambda acc: F.flatten(acc["out"]))
-
-
 def _located(text: Column, pattern: str, kind: str, keep_group: tuple[int, int] | None = None) -> Column:
     """array<struct<start, end, rank, kind, text>> of the pattern's matches, leftmost and non-overlapping.
 

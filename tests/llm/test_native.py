@@ -213,3 +213,26 @@ def test_chat_of_an_empty_table(spark):
 
 def test_digests_are_of_the_spec():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_staged_tables_can_be_dropped(spark):
+    import os
+
+    from tessera.llm.common import drop_staged, staged
+
+    drop_staged(spark)
+    held = staged(spark.range(3).toDF("id"), "test")
+    path = held.inputFiles()[0].removeprefix("file://")
+    assert held.count() == 3 and os.path.exists(path)
+    assert drop_staged(spark) == 1 and not os.path.exists(path) and drop_staged(spark) == 0
+
+
+def test_conversations_of_many_turns(spark):
+    n = 20_000
+    rows = spark.range(n).selectExpr("1 AS conv_id", "id AS turn", "CASE WHEN id % 3 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('t', id) AS text")
+    began = time.perf_counter()
+    row = chat.format_chats(rows).select("formatted", F.size("loss_mask").alias("n"), F.col("loss_mask")[0].alias("first"), F.element_at("loss_mask", -1).alias("last")).first()
+    assert time.perf_counter() - began < 30
+    want = "".join(f"### user\nt{i}</turn></end>\n### assistant\nt{i + 1}</turn>t{i + 2}</turn></end>\n" for i in range(0, n - 2, 3))
+    assert row.formatted.startswith(want) and row.n == n - -(-n // 3)
+    assert [row.formatted[x.start : x.start + x.length] for x in (row.first, row.last)] == ["t1", f"t{n - 1}"]
