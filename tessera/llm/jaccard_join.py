@@ -6,6 +6,10 @@ whole corpus, then by hash: a fixed-size table and one total order for all. (Any
 only keep frequent shingles out of prefixes.) A linked pair shares a shingle of both prefixes. Pairs that pass the length
 and positional filters are made distinct and verified once: first by the suffix filter, then exactly.
 
+Parities (below) tell nothing of long sets, and unrelated long texts often share one rare shingle by chance. So prefixes of long sets
+are longer by ``need`` - 1 shingles, and a linked pair shares ``need`` or more of them (the ``need``-th shared one comes after at most
+size - overlap + ``need`` - 1 others in either set). Shared ones in large groups aren't counted, but such groups link by leaders.
+
 A group is the nodes that have one prefix shingle in common. Small groups are paired off. A large one isn't: its nodes, band of
 length by band, are compared with one leader only, the node whose prefix is most common in the corpus. Nodes that link with the
 leader need no links to each other. For the rest let D(x) be what only one of x and the leader has. Two nodes differ by
@@ -103,6 +107,13 @@ def _add_blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
 
 
+def needed(n: int, percent: int) -> int:
+    """So many shingles are shared by the prefixes of linked sets of this size: 1, more where parities can't part unrelated sets."""
+    if 2 * (100 - percent) * n < (100 + percent) * PARITY * 2 // 5:
+        return 1
+    return 1 + (n - (percent * n + 99) // 100 + 1) // 8
+
+
 def _prefixes(k: int, percent: int, counts, hot: int):
     """doc_id, text -> a row for each shingle of the probe prefix of each set that the task hasn't had yet."""
 
@@ -112,7 +123,7 @@ def _prefixes(k: int, percent: int, counts, hot: int):
             data, offsets = utf8(batch.column(1))
             for first, last in steps(offsets):
                 hashes, at = shingle_sets(data, offsets[first : last + 1], k)
-                h, sig, size, pos, rank, often = [], [], [], [], [], []
+                h, sig, size, pos, rank, often, least = [], [], [], [], [], [], []
                 for i in range(last - first):
                     own = hashes[at[i] : at[i + 1]]
                     n = len(own)
@@ -120,7 +131,8 @@ def _prefixes(k: int, percent: int, counts, hot: int):
                         continue
                     if len(seen) < 1 << 20:
                         seen.add(s)
-                    length = n - (percent * n + 99) // 100 + 1
+                    need = needed(n, percent)
+                    length = min(n, n - (percent * n + 99) // 100 + need)
                     counted = counters[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]
                     order = np.argsort(counted, kind="stable")[:length]
                     counted = counted[order]
@@ -130,9 +142,10 @@ def _prefixes(k: int, percent: int, counts, hot: int):
                     pos.append(np.arange(length, dtype=np.int32))
                     rank.append(np.full(length, -int(100 * np.log2(1.0 + counted).mean()), np.int32))
                     often.append(counted > hot)
+                    least.append(np.full(length, need, np.int32))
                 if h:
-                    cols = [np.concatenate(x) for x in ([y.view(np.int64) for y in h], sig, size, pos, rank, often)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "sig", "n", "pos", "rank", "hot"])
+                    cols = [np.concatenate(x) for x in ([y.view(np.int64) for y in h], sig, size, pos, rank, often, least)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "sig", "n", "pos", "rank", "hot", "need"])
 
     return run
 
@@ -208,12 +221,16 @@ class JaccardJoin:
         self.spark = docs.sparkSession
 
     def _may_link(self, x: str, y: str) -> Column:
-        """Length and positional filters on one shared item of x and y, which are sets of ``size`` items that stand for ones of n."""
+        """Length and positional filters on one shared item of x and y, which are sets of ``size`` items that stand for ones of n.
+
+        Where several shared items are needed each is counted, so it need not be the first that x and y share.
+        """
         p = self.percent
         c = lambda side, name: F.col(f"{side}.{name}").cast("long")
         xn, yn = c(x, "n"), c(y, "n")
         overlap = F.floor(((100 + p) * (c(x, "size") + c(y, "size")) - (100 - p) * (xn + yn) + 2 * (100 + p) - 1) / (2 * (100 + p)))
-        reach = F.least(c(x, "size") - c(x, "pos"), c(y, "size") - c(y, "pos"))
+        before = F.when((c(x, "need") > 1) & (c(y, "need") > 1), F.least(c(x, "pos"), c(y, "pos"))).otherwise(F.lit(0))
+        reach = before + F.least(c(x, "size") - c(x, "pos"), c(y, "size") - c(y, "pos"))
         return (100 * F.least(xn, yn) >= p * F.greatest(xn, yn)) & (reach >= overlap)
 
     def measure(self) -> None:
@@ -233,9 +250,9 @@ class JaccardJoin:
 
     def first_rows(self) -> DataFrame:
         """The rows of the first join: each node by the shingles of its prefix."""
-        kinds = "key long, sig long, n int, pos int, rank int, hot boolean"
+        kinds = "key long, sig long, n int, pos int, rank int, hot boolean, need int"
         rows = self.docs.select("doc_id", "text").mapInArrow(_prefixes(self.k, self.percent, self.counters, self.hot), kinds)
-        return rows.select("key", "sig", "n", "pos", F.col("n").alias("size"), "rank", F.lit(True).alias("out"), "hot")
+        return rows.select("key", "sig", "n", "pos", F.col("n").alias("size"), "rank", F.lit(True).alias("out"), "hot", "need")
 
     def _grouped(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The rows of small groups, and of large ones."""
@@ -247,9 +264,10 @@ class JaccardJoin:
 
     def _small_pairs(self, small: DataFrame) -> DataFrame:
         """a, b: the pairs of small groups that pass all filters before the sets are there."""
-        x, y = (small.select("key", "sig", F.struct("sig", "n", "pos", "size", "out").alias(c)) for c in "xy")
+        x, y = (small.select("key", "sig", F.struct("sig", "n", "pos", "size", "out", "need").alias(c)) for c in "xy")
         met = x.join(y.withColumnRenamed("sig", "other"), "key").where((F.col("sig") < F.col("other")) & (F.col("x.out") | F.col("y.out")))
-        pairs = met.where(self._may_link("x", "y")).select(F.col("sig").alias("a"), F.col("other").alias("b")).distinct()
+        met = met.where(self._may_link("x", "y")).select(F.col("sig").alias("a"), F.col("other").alias("b"), F.least("x.need", "y.need").alias("need"))
+        pairs = met.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("shared")).where("shared >= need").select("a", "b")
         node = lambda c: self.nodes.select(F.col("sig").alias(c), F.struct("n", "bins").alias(f"{c}_"))
         apart = sum((F.bit_count(F.col("a_.bins")[i].bitwiseXOR(F.col("b_.bins")[i])) for i in range(_WORDS)), F.lit(0))
         near = (100 + self.percent) * apart <= (100 - self.percent) * (F.col("a_.n").cast("long") + F.col("b_.n"))
@@ -283,7 +301,7 @@ class JaccardJoin:
         prefix = F.posexplode(F.slice("items", F.lit(1), (size - overlap + 1).cast("int"))).alias("pos", "i")
         rows = wide.where(size >= overlap).select("b", "sig", "n", "size", "rank", "out", prefix).where("i.times > 1 and i.any")
         key, hot = F.xxhash64("b", "i.item").alias("key"), (F.col("i.times") > self.hot).alias("hot")
-        return rows.select(key, "sig", "n", "pos", "size", "rank", "out", hot)
+        return rows.select(key, "sig", "n", "pos", "size", "rank", "out", hot, F.lit(1).alias("need"))
 
     def _items(self, sigs: DataFrame) -> DataFrame:
         """sig, items: the sets of these nodes, made again from one document of each."""

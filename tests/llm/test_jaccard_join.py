@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join
 from tessera.llm.connected import components
-from tessera.llm.jaccard_join import jaccard_components
+from tessera.llm.jaccard_join import JaccardJoin, jaccard_components
 
 
 def shingles(text, k):
@@ -142,3 +142,49 @@ def test_suffix_bound_never_exceeds_the_difference():
         x, y = (np.unique(r.integers(0, 80, r.integers(1, 60)).astype(np.uint64)) for _ in range(2))
         assert jaccard_join.suffix_bound(x, y) <= len(np.setxor1d(x, y))
     assert jaccard_join.suffix_bound(np.arange(10), np.arange(100, 110)) == 18
+
+
+class Noted(JaccardJoin):
+    """Shingles in the order of their hashes, as where counters tell nothing; the pairs that are verified are noted."""
+
+    def measure(self):
+        super().measure()
+        self.counters = self.spark.sparkContext.broadcast(np.zeros(jaccard_join.COUNTERS, np.uint32))
+        self.pairs = 0
+
+    def _compared(self, pairs):
+        self.pairs += pairs.count()
+        return super()._compared(pairs)
+
+
+def test_long_texts_that_share_a_few_shingles_are_not_verified(spark):
+    r = random.Random(7)
+    new = lambda n: [f"q{r.randrange(10**9)}" for _ in range(n)]
+    passage, rows = new(60), []
+    for n in range(12):
+        rows.append((n, " ".join([*new(r.randrange(900, 1000)), *passage, *new(1000)])))
+    near = [new(size) for size in (930, 1400, 3000, 5000)]
+    for n, base in enumerate(near):
+        for i, share in enumerate((0.0, 0.05, 0.095, 0.105, 0.12)):
+            cut = int(share * len(base))
+            rows.append((100 + 10 * n + i, " ".join([*base[: 300 + n], *new(cut), *base[300 + n + cut :]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    join = Noted(df, 5, 80)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in join.link().collect()}
+    assert got == brute(rows, 5, 80)
+    # ten pairs of each four texts and copies at most; the twelve texts that share a passage would make 66 more
+    assert join.pairs <= 40
+
+
+def test_linked_sets_share_as_many_shingles_of_their_prefixes_as_needed():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        percent = int(r.choice([80, 85]))
+        n, m = int(r.integers(600, 4000)), int(r.integers(0, 900))
+        items = r.permutation(6000)
+        x, y = np.sort(items[:n]), np.sort(items[m // 4 : m // 4 + n - m % 50])
+        if 100 * len(np.intersect1d(x, y)) < percent * len(np.union1d(x, y)):
+            continue
+        needs = [jaccard_join.needed(len(s), percent) for s in (x, y)]
+        heads = [s[: len(s) - (percent * len(s) + 99) // 100 + need] for s, need in zip((x, y), needs)]
+        assert len(np.intersect1d(*heads)) >= min(needs)
