@@ -1,7 +1,7 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 A text is the set of its distinct k-word shingles, as 64-bit hashes; texts with equal sets count as one node,
-named by a hash of the set. A node's shingles are ordered rare-first by a table of 2**20 hashed counters over the
+named by a hash of the set. A node's shingles are ordered rare-first by a table of 2**23 hashed counters over the
 whole corpus, then by hash: a fixed-size table and one total order for all. (Any order gives the same result; the counters
 only keep frequent shingles out of prefixes.) A linked pair shares a shingle of both prefixes. Pairs that pass the length
 and positional filters are made distinct and verified once: first by the suffix filter, then exactly.
@@ -30,6 +30,7 @@ ids there, null where there are none; an empty table gives no rows; only the nam
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,11 @@ from tessera.llm.common import small, staged
 from tessera.llm.connected import components
 from tessera.llm.hashing import mix, shingle_sets, steps, utf8
 
-COUNTERS = 1 << 20
-BLOCK = 1 << 12
+#: A shingle is known to be frequent if it is counted more often than its counter's other shingles vary: the more counters, the rarer the prefixes.
+COUNTERS = 1 << 23
+BLOCK = 1 << 13
+#: Counts beyond this are equal in the order of shingles.
+MOST = (1 << 16) - 1
 #: Groups of up to so many nodes are paired off.
 SMALL = 128
 #: Shingles counted more often than this, and than four times the average counter, are never brought together in one task.
@@ -57,11 +61,22 @@ def _signature(own: np.ndarray) -> int:
     return int(mix(mix(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own))).view(np.int64)[0])
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of a block, most of them small, in few bytes."""
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32) if counts.max() <= np.iinfo(t).max)
+    return zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    data = zlib.decompress(data)
+    return np.frombuffer(data, f"u{len(data) // BLOCK}")
+
+
 def _measure(k: int):
     """doc_id, text, key -> a row for each document (key, n, sig, bins) and, at the end, the counters in blocks."""
 
     def run(batches):
-        counters, waiting, held = np.zeros(COUNTERS, np.int64), [], 0
+        counters = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             n, sig, bins = [], [], []
@@ -73,24 +88,18 @@ def _measure(k: int):
                     sig.append(_signature(own) if len(own) else None)
                     flips = np.bincount((own >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
                     bins.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
-                waiting.append((hashes & np.uint64(COUNTERS - 1)).astype(np.int64))
-                held += len(hashes)
-                if held > 1 << 21:
-                    counters += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
-                    waiting, held = [], 0
+                np.add.at(counters, (hashes & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array(bins, _BINS)]
                 + [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                 names=["doc_id", "key", "n", "sig", "bins", "block", "counts"],
             )
-        if waiting:
-            counters += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
         used = [b for b in range(COUNTERS // BLOCK) if counters[b * BLOCK : (b + 1) * BLOCK].any()]
         for b in used:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, _BINS)]
-                + [pa.array([b], pa.int32()), pa.array([counters[b * BLOCK : (b + 1) * BLOCK].astype(np.uint32).tobytes()], pa.binary())],
+                + [pa.array([b], pa.int32()), pa.array([_packed(counters[b * BLOCK : (b + 1) * BLOCK])], pa.binary())],
                 names=["doc_id", "key", "n", "sig", "bins", "block", "counts"],
             )
 
@@ -101,10 +110,12 @@ def _add_blocks(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = np.frombuffer(counts, np.uint32).astype(np.int64)
-            sums[b] = sums[b] + part if b in sums else part
+            if b in sums:
+                sums[b] += _unpacked(counts)
+            else:
+                sums[b] = _unpacked(counts).astype(np.int64)
     for b, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_packed(np.minimum(total, MOST))], pa.binary())], names=["block", "counts"])
 
 
 def needed(n: int, percent: int) -> int:
@@ -239,11 +250,11 @@ class JaccardJoin:
         self.rows = out.where("block is null").select("doc_id", "key", "n", "sig", "bins")
         blocks = out.where("block is not null").select("block", "counts").repartition("block")
         summed = blocks.mapInArrow(_add_blocks, "block int, counts binary").collect()
-        counters = np.zeros(COUNTERS, np.int64)
+        counters = np.zeros(COUNTERS, np.uint16)
         for r in summed:
-            counters[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
-        self.hot = int(max(HOT, 4 * counters.mean()))
-        self.counters = self.spark.sparkContext.broadcast(np.minimum(counters, 2**32 - 1).astype(np.uint32))
+            counters[r.block * BLOCK : (r.block + 1) * BLOCK] = _unpacked(r.counts)
+        self.hot = int(min(max(HOT, 4 * counters.mean()), MOST - 1))
+        self.counters = self.spark.sparkContext.broadcast(counters)
         named = self.rows.where("sig is not null").groupBy("sig")
         least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("least")
         self.nodes = staged(named.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"), least), "jaccard-nodes")
@@ -257,9 +268,13 @@ class JaccardJoin:
     def _grouped(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The rows of small groups, and of large ones."""
         # a key that isn't hot has a bounded number of rows; hot ones are dealt out, and go to leaders without being brought together
-        dealt = F.when(F.col("hot"), F.col("sig")).otherwise(F.lit(0))
-        held = rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key", dealt)))
-        held = staged(held.where("hot or members > 1"), "jaccard-groups")
+        dealt = F.when(F.col("hot"), F.col("sig")).otherwise(F.lit(0)).alias("dealt")
+        group = Window.partitionBy("key", "dealt")
+        # one select over a column, so that the rows are dealt out and sorted once
+        several = (F.min("sig").over(group) < F.max("sig").over(group)).alias("several")
+        held = rows.select("*", dealt).select(*rows.columns, F.count(F.lit(1)).over(group).alias("members"), several)
+        # copies of a text in several tasks are rows of one node
+        held = staged(held.where("hot or several").drop("several"), "jaccard-groups")
         return held.where((F.col("members") <= SMALL) & ~F.col("hot")), held.where((F.col("members") > SMALL) | F.col("hot"))
 
     def _small_pairs(self, small: DataFrame) -> DataFrame:

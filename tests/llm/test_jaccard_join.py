@@ -188,3 +188,11 @@ def test_linked_sets_share_as_many_shingles_of_their_prefixes_as_needed():
         needs = [jaccard_join.needed(len(s), percent) for s in (x, y)]
         heads = [s[: len(s) - (percent * len(s) + 99) // 100 + need] for s, need in zip((x, y), needs)]
         assert len(np.intersect1d(*heads)) >= min(needs)
+
+
+def test_copies_in_several_tasks_make_no_groups(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(n, text) for n in range(30)], "doc_id long, text string").repartition(3)
+    join = JaccardJoin(df, 4, 85)
+    join.measure()
+    assert [x.count() for x in join._grouped(join.first_rows())] == [0, 0]
