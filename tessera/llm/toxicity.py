@@ -15,7 +15,6 @@ rows score alike; without any label of one class every score is the share of tox
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -75,42 +74,91 @@ class Words:
         self.buckets, self.owner = np.concatenate(grams).astype(np.int64), np.concatenate(owners)
         self.weight = 1.0 / np.maximum(1, np.bincount(self.owner, minlength=len(s)))
 
-    @classmethod
-    def together(cls, data: np.ndarray, offsets: np.ndarray) -> Words:
-        """As if made at once, a step of the texts at a time."""
-        parts = [cls(data, offsets[a : b + 1]) for a, b in steps(offsets) if offsets[b] > offsets[a]]
-        out = cls.__new__(cls)
-        held = [w.hashes for w in parts]
-        out.hashes, first, new = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_index=True, return_inverse=True)
-        is_first = np.zeros(len(new), dtype=bool)
-        is_first[first] = True
-        ids, buckets, owner, at = [], [], [], 0
-        for w in parts:
-            to, fresh = new[at : at + len(w.hashes)], is_first[at : at + len(w.hashes)]
-            at += len(w.hashes)
-            ids.append(to[w.ids].astype(np.int32))
-            keep = fresh[w.owner]
-            buckets.append(w.buckets[keep].astype(np.int32))
-            owner.append(to[w.owner[keep]].astype(np.int32))
-        none = np.zeros(0, np.int32)
-        out.ids, out.buckets, out.owner = (np.concatenate([none, *x]) for x in (ids, buckets, owner))
-        out.weight = 1.0 / np.maximum(1, np.bincount(out.owner, minlength=len(out.hashes)))
-        counts, k = [], 0
-        for a, b in steps(offsets):
-            if offsets[b] > offsets[a]:
-                counts.append(np.diff(parts[k].texts))
-                k += 1
-            else:
-                counts.append(np.zeros(b - a, np.int64))
-        out.texts = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))])
-        return out
-
     def scores(self, table: np.ndarray) -> np.ndarray:
         """Of each word occurrence: the average of its subwords' entries."""
         per = np.bincount(self.owner, weights=table[self.buckets], minlength=len(self.weight)) * self.weight
         return per[self.ids]
 
 
+class Part:
+    """A step of a corpus: its texts' words, the subword buckets of the words that are new in it, and its stretches."""
+
+    def __init__(self, words: Words, first: int, numbers: np.ndarray, fresh: np.ndarray, known: int):
+        keep = fresh[words.owner]
+        self.ids = numbers[words.ids]
+        self.buckets = words.buckets[keep].astype(np.int32)
+        self.owner = numbers[words.owner[keep]] - np.int32(known)
+        self.weight = words.weight[fresh]
+        self.rows = slice(first, first + len(words.texts) - 1)
+        # stretches every half span, whose average is over the words there are
+        start, self.last = words.texts[:-1], words.texts[1:].astype(np.int32)
+        starts = [np.arange(a, max(a + 1, b - SPAN + 1), SPAN // 2, dtype=np.int32) for a, b in zip(start, self.last) if b > a]
+        held = np.flatnonzero(self.last > start).astype(np.int32)
+        self.begin = np.concatenate([np.zeros(0, np.int32), *starts])
+        self.text = np.repeat(held, [len(x) for x in starts])
+
+    def ends(self, pick: np.ndarray | slice) -> np.ndarray:
+        return np.minimum(self.begin[pick] + SPAN, self.last[self.text[pick]])
+
+
+class Corpus:
+    """Many texts, held in parts: what is made on the way is of a part's size, or of that of the distinct words.
+
+    Words are numbered as they first occur, so a word's subwords lie in one part. Sums run on from part to part in the order they
+    would have at once, so parts change results by rounding only.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.parts: list[Part] = []
+        seen, numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        for a, b in steps(offsets):
+            if offsets[b] == offsets[a]:
+                continue
+            words = Words(data, offsets[a : b + 1])
+            at = np.searchsorted(seen, words.hashes)
+            fresh = np.ones(len(at), dtype=bool)
+            inside = at < len(seen)
+            fresh[inside] = seen[at[inside]] != words.hashes[inside]
+            own = np.empty(len(at), np.int32)
+            own[~fresh] = numbers[at[~fresh]]
+            own[fresh] = np.arange(len(seen), len(seen) + int(fresh.sum()), dtype=np.int32)
+            self.parts.append(Part(words, a, own, fresh, len(seen)))
+            seen, numbers = np.insert(seen, at[fresh], words.hashes[fresh]), np.insert(numbers, at[fresh], own[fresh])
+        self.n_words = len(seen)
+
+    def forward(self, table: np.ndarray, picks: list):
+        """Of each part: the averages of its picked stretches."""
+        per, at = np.empty(self.n_words), 0
+        for p in self.parts:
+            n = len(p.weight)
+            per[at : at + n] = np.bincount(p.owner, weights=table[p.buckets], minlength=n) * p.weight
+            at += n
+        carry = 0.0
+        for p, pick in zip(self.parts, picks):
+            sums = np.cumsum(np.concatenate([[carry], per[p.ids]]))
+            carry = sums[-1]
+            yield (sums[p.ends(pick)] - sums[p.begin[pick]]) / SPAN
+
+    def back(self, gradients: list[np.ndarray], picks: list) -> np.ndarray:
+        """Gradient of the stretches' logits summed into the buckets."""
+        per, carry, open_end = np.zeros(self.n_words), 0.0, 0.0
+        for p, pick, g in zip(self.parts, picks, gradients):
+            step = np.zeros(len(p.ids) + 1)
+            step[0] = open_end
+            np.add.at(step, p.begin[pick], g / SPAN)
+            np.add.at(step, p.ends(pick), -g / SPAN)
+            open_end = step[-1]
+            sums = np.cumsum(np.concatenate([[carry], step[:-1]]))
+            carry = sums[-1]
+            np.add.at(per, p.ids, sums[1:])
+        out, at = np.zeros(BUCKETS), 0
+        for p in self.parts:
+            n = len(p.weight)
+            np.add.at(out, p.buckets, (per[at : at + n] * p.weight)[p.owner])
+            at += n
+        return out
+
+
 def stretches(values: np.ndarray, texts: np.ndarray, span: int | None = None) -> list[np.ndarray]:
     """Of each text: the average of each run of ``span`` words (of all its words, if fewer)."""
     span = span or SPAN
@@ -159,59 +207,46 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 3, steps_each: int = 25, seed: int = 7) -> Model:
+def fit(texts: list[str] | pa.Array, labels: list[int], rounds: int = 3, steps_each: int = 25, seed: int = 7) -> Model:
     y = np.asarray(labels, dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(BUCKETS), 0.0, 0.0, float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    data, offsets = utf8(_lower(pa.array(texts, pa.large_string())))
-    words = Words.together(data, offsets)
-    first, last = words.texts[:-1], words.texts[1:]
-    # stretches every half span, whose average is over the words there are
-    starts = [np.arange(a, max(a + 1, b - SPAN + 1), SPAN // 2) for a, b in zip(first, last) if b > a]
-    owner = np.repeat(np.flatnonzero(last > first), [len(x) for x in starts])
-    begin = np.concatenate(starts) if starts else np.zeros(0, int)
-    if len(begin) == 0:
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.large_string())
+    corpus = Corpus(*utf8(_lower(texts)))
+    parts = corpus.parts
+    if not any(len(p.begin) for p in parts):
         return Model(np.zeros(BUCKETS), 0.0, 0.0, float(y.mean()))
-    end = np.minimum(begin + SPAN, last[owner])
-    truth = y[owner]
-    n_words = len(words.ids)
-
-    def forward(table: np.ndarray, pick: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(words.scores(table))])
-        return (sums[end[pick]] - sums[begin[pick]]) / SPAN
-
-    def back(g: np.ndarray, pick: np.ndarray) -> np.ndarray:
-        """Gradient of the stretches' logits summed into the buckets."""
-        step = np.zeros(n_words + 1)
-        np.add.at(step, begin[pick], g / SPAN)
-        np.add.at(step, end[pick], -g / SPAN)
-        per_word = np.bincount(words.ids, weights=np.cumsum(step)[:-1], minlength=len(words.weight)) * words.weight
-        return np.bincount(words.buckets, weights=per_word[words.owner], minlength=BUCKETS)
 
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     top = rng.normal(0, 0.5, DIM).astype(np.float32)
-    bias, everything = 0.0, np.arange(len(begin))
+    bias, everything = 0.0, [slice(None)] * len(parts)
     moments = [np.zeros_like(emb), np.zeros(BUCKETS, np.float32), np.zeros_like(top), np.zeros_like(top), 0.0, 0.0]
     t = 0
-    pick = everything
+    picks = everything
     for r in range(rounds):
         if r:
-            z = forward(emb @ top, everything)
-            best = np.full(len(y), -np.inf)
-            np.maximum.at(best, owner, z)
-            # of toxic texts the stretches near their best, of the others the highest and a random share
-            toxic = (truth == 1) & (z >= best[owner] - 1e-9)
-            hard = (truth == 0) & ((z >= best[owner] - 1e-9) | (rng.random(len(z)) < 0.15))
-            pick = np.flatnonzero(toxic | hard)
-        positive = truth[pick] == 1
-        weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum()))
+            picks = []
+            for p, z in zip(parts, corpus.forward(emb @ top, everything)):
+                best = np.full(len(p.last), -np.inf)
+                np.maximum.at(best, p.text, z)
+                truth, high = y[p.rows][p.text], z >= best[p.text] - 1e-9
+                # of toxic texts the stretches near their best, of the others the highest and a random share
+                hard = (truth == 0) & (high | (rng.random(len(z)) < 0.15))
+                picks.append(np.flatnonzero(((truth == 1) & high) | hard).astype(np.int32))
+        positives = [y[p.rows][p.text[pick]] == 1 for p, pick in zip(parts, picks)]
+        n_positive, n_picked = sum(int(x.sum()) for x in positives), sum(map(len, positives))
+        weights = 0.5 / max(1, n_picked - n_positive), 0.5 / max(1, n_positive)
+        bounds = np.cumsum([len(x) for x in positives])[:-1]
+        held = np.empty(n_picked)
+        gradients = np.split(held, bounds)
         for _ in range(steps_each):
             t += 1
-            z = forward(emb @ top, pick) + bias
-            g = weight * (_sigmoid(z) - truth[pick])
-            per_bucket = back(g, pick).astype(np.float32)
-            d_emb, d_top, d_bias = per_bucket[:, None] * top[None, :], emb.T @ per_bucket, float(g.sum())
+            for g, positive, z in zip(gradients, positives, corpus.forward(emb @ top, picks)):
+                g[:] = np.where(positive, weights[1], weights[0]) * (_sigmoid(z + bias) - positive)
+            per_bucket = corpus.back(gradients, picks).astype(np.float32)
+            d_emb, d_top, d_bias = per_bucket[:, None] * top[None, :], emb.T @ per_bucket, float(held.sum())
             scale = (1 - 0.99**t) ** 0.5 / (1 - 0.9**t)
             moments[0] = 0.9 * moments[0] + 0.1 * d_emb
             moments[1] = 0.99 * moments[1] + 0.01 * (per_bucket**2) * float(top @ top) / DIM
@@ -224,7 +259,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3, steps_each: int =
             bias -= 0.05 * scale * moments[4] / (moments[5] ** 0.5 + 1e-7)
             emb *= 0.998
     model = Model(emb @ top, 1.0, 0.0)
-    peaks = model.peaks(pa.array(texts, pa.large_string()))
+    peaks = model.peaks(texts)
     ok = np.isfinite(peaks)
     model.slope, model.shift = _logistic(peaks[ok], y[ok])
     return model
@@ -258,20 +293,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     rows = texts.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "toxic").repartition(1)
     # the sample is bounded, so one task fits the model; only the model comes to the driver
-    got = rows.mapInPandas(_fit_task, "model binary, slope double, shift double, constant double").first()
+    got = rows.mapInArrow(_fit_task, "model binary, slope double, shift double, constant double").first()
     if got is None:  # no row, no task
         return fit([], [])
     return Model(np.frombuffer(got[0], np.float32), got[1], got[2], got[3])
 
 
 def _fit_task(batches):
-    held = [b for b in batches if len(b)]
-    texts, labels = [], []
-    if held:
-        rows = pd.concat(held).sort_values(["doc_id", "text", "toxic"], na_position="first")
-        texts, labels = [t or "" for t in rows["text"]], [int(x) for x in rows["toxic"]]
+    kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string()), ("toxic", pa.int32())])
+    held = pa.Table.from_batches([b.cast(kinds) for b in batches if b.num_rows], kinds)
+    held = held.take(pc.sort_indices(held, [("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")], null_placement="at_start"))
+    texts, labels = held["text"].combine_chunks(), held["toxic"].to_pylist()
+    del held
     m = fit(texts, labels)
-    yield pd.DataFrame({"model": [m.table.tobytes()], "slope": [m.slope], "shift": [m.shift], "constant": pd.Series([m.constant], dtype=object)})
+    kinds = pa.schema([("model", pa.binary()), ("slope", pa.float64()), ("shift", pa.float64()), ("constant", pa.float64())])
+    yield pa.RecordBatch.from_pylist([{"model": m.table.tobytes(), "slope": m.slope, "shift": m.shift, "constant": m.constant}], kinds)
 
 
 def toxicity(text: Column, model: Model) -> Column:

@@ -3,15 +3,17 @@
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination as decon
-from tessera.llm import language_id, queries, toxicity
+from tessera.llm import hashing, language_id, queries, toxicity
 
 SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
@@ -159,6 +161,26 @@ def test_toxicity_learns_words_and_their_misspellings():
     assert list(model.score(pa.array([None, "", "!!"], pa.string()))) == [0, 0, 0]
 
 
+def test_toxicity_fit_works_in_parts(monkeypatch):
+    """What the fit holds at once is a small multiple of its texts, and the parts that it works in change no score."""
+    r = np.random.default_rng(4)
+    letters = r.choice([*b"abcdefghijklmnopqrst"], (50_000, 7)).astype(np.uint8)
+    letters[:, 6] = 32
+    letters = letters[r.integers(0, len(letters), 1_000_000)]
+    texts = [letters[a : a + 500].tobytes().decode() + "worthless pathetic" * (a % 1000 > 0) for a in range(0, len(letters), 500)]
+    labels = [int("worthless" in t) for t in texts]
+    some = pa.array(["", *texts[:60], "worthless", None], pa.large_string())
+    tracemalloc.start()
+    toxicity.fit(texts, labels, rounds=2, steps_each=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * letters.nbytes
+    one = toxicity.fit(texts[:100], labels[:100]).score(some)
+    monkeypatch.setattr(toxicity, "steps", lambda offsets: hashing.steps(offsets, 9000))
+    parts = toxicity.fit(texts[:100], labels[:100]).score(some)
+    assert np.allclose(one, parts, atol=1e-3) and set(parts[1:61] >= 0.5) == {False, True}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_toxicity_query(spark):
     out = queries.QUERIES["op6_toxicity"](spark, SF)
