@@ -32,12 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: With it a query's shuffles are deleted as soon as it has ended, not when the driver's JVM happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/staged/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     _STAGED.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.staged_at)
+        _STAGED.remove(df.staged_at)
 
 
 #: Rows of a table that is broadcast.
@@ -54,14 +73,17 @@ _STAGED: list[str] = []
 
 def drop_staged(spark: SparkSession) -> int:
     """Delete the tables that this process has staged; results that still read them must be written before. Returns their number."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     gone = len(_STAGED)
     while _STAGED:
-        at = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        at.getFileSystem(conf).delete(at, True)
+        _delete(spark, _STAGED.pop())
     return gone
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Items whose results are gathered in one array.
 CHUNK = 256
 

@@ -20,7 +20,8 @@ gone from them, and groups get smaller. This goes on until no group has a node t
 
 The suffix filter works in two steps. A string of ``PARITY`` bits for each node holds the parity of its shingles' number in as
 many hash ranges; then the sorted sets are cut at ``PIVOTS`` of one set's shingles, and the differences of the parts' sizes are
-summed up. Both are lower bounds of the number of shingles that only one of two sets has.
+summed up. Both are lower bounds of the number of shingles that only one of two sets has. So is a finer string of parities, with as many
+bits as a long set has shingles or more; it parts unrelated long sets, which meet by chance ever more often, before the sets themselves are sent.
 
 Results by case: null text, empty text and text without words make an empty set, linked with nothing; repeated rows are
 rows of their own with one component; a text without an id links like any other, and its component's id is the least of the
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, staged
+from tessera.llm.common import forget, small, staged
 from tessera.llm.connected import components
 from tessera.llm.hashing import mix, shingle_sets, steps, utf8
 
@@ -51,6 +52,8 @@ SMALL = 128
 #: Shingles counted more often than this, and than four times the average counter, are never brought together in one task.
 HOT = 1 << 12
 PARITY, PIVOTS = 512, 7
+#: Sets of so many shingles or more have a finer string of parities as well.
+LONG = 512
 _WORDS = PARITY // 64
 _BINS = pa.list_(pa.int64())
 #: Documents to verify are looked up by broadcasting their ids up to this many, by a shuffle beyond.
@@ -72,35 +75,61 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"u{len(data) // BLOCK}")
 
 
+def parities(own: np.ndarray, bits: int) -> np.ndarray:
+    """Of a set's hashes, the parity of their number in each of as many hash ranges (a power of two), packed."""
+    flips = np.bincount((own >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8))
+
+
+def fine_bound(x: bytes, y: bytes) -> int:
+    """At least so many items are in one of two sets only, by their fine parities; the longer string is folded to the other's length."""
+    x, y = (np.unpackbits(np.frombuffer(z, np.uint8)) for z in sorted((x, y), key=len))
+    while len(y) > len(x):
+        y = y[::2] ^ y[1::2]
+    return int((x ^ y).sum())
+
+
+def _near(percent: int):
+    """a, b, total (of their sizes), a_fine, b_fine -> the pairs a, b that may link."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
+            may = [x is None or y is None or (100 + percent) * fine_bound(x, y) <= (100 - percent) * total for total, x, y in rows]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(may, pa.bool_()))
+
+    return run
+
+
 def _measure(k: int):
-    """doc_id, text, key -> a row for each document (key, n, sig, bins) and, at the end, the counters in blocks."""
+    """doc_id, text, key -> a row for each document (key, n, sig, bins, fine) and, at the end, the counters in blocks."""
 
     def run(batches):
         counters = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            n, sig, bins = [], [], []
+            n, sig, bins, fine = [], [], [], []
             for first, last in steps(offsets):
                 hashes, at = shingle_sets(data, offsets[first : last + 1], k)
                 for i in range(last - first):
                     own = hashes[at[i] : at[i + 1]]
                     n.append(len(own))
                     sig.append(_signature(own) if len(own) else None)
-                    flips = np.bincount((own >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
-                    bins.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
+                    bins.append(parities(own, PARITY).view(np.int64))
+                    fine.append(parities(own, 1 << (len(own) - 1).bit_length()).tobytes() if len(own) >= LONG else None)
                 np.add.at(counters, (hashes & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array(bins, _BINS)]
-                + [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                names=["doc_id", "key", "n", "sig", "bins", "block", "counts"],
+                + [pa.array(fine, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                names=["doc_id", "key", "n", "sig", "bins", "fine", "block", "counts"],
             )
         used = [b for b in range(COUNTERS // BLOCK) if counters[b * BLOCK : (b + 1) * BLOCK].any()]
         for b in used:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, _BINS)]
-                + [pa.array([b], pa.int32()), pa.array([_packed(counters[b * BLOCK : (b + 1) * BLOCK])], pa.binary())],
-                names=["doc_id", "key", "n", "sig", "bins", "block", "counts"],
+                + [pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([_packed(counters[b * BLOCK : (b + 1) * BLOCK])], pa.binary())],
+                names=["doc_id", "key", "n", "sig", "bins", "fine", "block", "counts"],
             )
 
     return run
@@ -230,6 +259,8 @@ class JaccardJoin:
         self.k, self.percent = k, percent
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("key"))
         self.spark = docs.sparkSession
+        #: Staged tables that go as soon as the step that reads them has ended.
+        self.passing: list[DataFrame] = []
 
     def _may_link(self, x: str, y: str) -> Column:
         """Length and positional filters on one shared item of x and y, which are sets of ``size`` items that stand for ones of n.
@@ -245,9 +276,9 @@ class JaccardJoin:
         return (100 * F.least(xn, yn) >= p * F.greatest(xn, yn)) & (reach >= overlap)
 
     def measure(self) -> None:
-        kinds = "doc_id long, key long, n int, sig long, bins array<bigint>, block int, counts binary"
+        kinds = "doc_id long, key long, n int, sig long, bins array<bigint>, fine binary, block int, counts binary"
         out = staged(self.docs.mapInArrow(_measure(self.k), kinds), "jaccard-sets")
-        self.rows = out.where("block is null").select("doc_id", "key", "n", "sig", "bins")
+        self.rows = out.where("block is null").select("doc_id", "key", "n", "sig", "bins", "fine")
         blocks = out.where("block is not null").select("block", "counts").repartition("block")
         summed = blocks.mapInArrow(_add_blocks, "block int, counts binary").collect()
         counters = np.zeros(COUNTERS, np.uint16)
@@ -257,7 +288,7 @@ class JaccardJoin:
         self.counters = self.spark.sparkContext.broadcast(counters)
         named = self.rows.where("sig is not null").groupBy("sig")
         least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("least")
-        self.nodes = staged(named.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"), least), "jaccard-nodes")
+        self.nodes = staged(named.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("fine").alias("fine"), least), "jaccard-nodes")
 
     def first_rows(self) -> DataFrame:
         """The rows of the first join: each node by the shingles of its prefix."""
@@ -266,27 +297,35 @@ class JaccardJoin:
         return rows.select("key", "sig", "n", "pos", F.col("n").alias("size"), "rank", F.lit(True).alias("out"), "hot", "need")
 
     def _grouped(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The rows of small groups, and of large ones."""
+        """Small groups, each with its nodes, and the rows of large ones."""
         # a key that isn't hot has a bounded number of rows; hot ones are dealt out, and go to leaders without being brought together
         dealt = F.when(F.col("hot"), F.col("sig")).otherwise(F.lit(0)).alias("dealt")
         group = Window.partitionBy("key", "dealt")
         # one select over a column, so that the rows are dealt out and sorted once
         several = (F.min("sig").over(group) < F.max("sig").over(group)).alias("several")
-        held = rows.select("*", dealt).select(*rows.columns, F.count(F.lit(1)).over(group).alias("members"), several)
-        # copies of a text in several tasks are rows of one node
-        held = staged(held.where("hot or several").drop("several"), "jaccard-groups")
-        return held.where((F.col("members") <= SMALL) & ~F.col("hot")), held.where((F.col("members") > SMALL) | F.col("hot"))
+        held = rows.select("*", dealt).select("*", several).where("hot or several")
+        # copies of a text in several tasks are rows of one node; gathered where they are, so that pairs need no shuffle of the rows again
+        node = F.struct(*[c for c in rows.columns if c != "key"])
+        held = staged(held.groupBy("key", "dealt").agg(F.collect_set(node).alias("nodes")), "jaccard-groups")
+        self.passing.append(held)
+        few = (F.size("nodes") <= SMALL) & ~F.col("nodes")[0]["hot"]
+        return held.where(few), held.where(~few).select("key", F.inline("nodes"))
 
     def _small_pairs(self, small: DataFrame) -> DataFrame:
         """a, b: the pairs of small groups that pass all filters before the sets are there."""
-        x, y = (small.select("key", "sig", F.struct("sig", "n", "pos", "size", "out", "need").alias(c)) for c in "xy")
-        met = x.join(y.withColumnRenamed("sig", "other"), "key").where((F.col("sig") < F.col("other")) & (F.col("x.out") | F.col("y.out")))
-        met = met.where(self._may_link("x", "y")).select(F.col("sig").alias("a"), F.col("other").alias("b"), F.least("x.need", "y.need").alias("need"))
+        met = small.select("nodes", F.explode("nodes").alias("x")).select("x", F.explode("nodes").alias("y"))
+        met = met.where((F.col("x.sig") < F.col("y.sig")) & (F.col("x.out") | F.col("y.out"))).where(self._may_link("x", "y"))
+        met = met.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.least("x.need", "y.need").alias("need"))
         pairs = met.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("shared")).where("shared >= need").select("a", "b")
         node = lambda c: self.nodes.select(F.col("sig").alias(c), F.struct("n", "bins").alias(f"{c}_"))
         apart = sum((F.bit_count(F.col("a_.bins")[i].bitwiseXOR(F.col("b_.bins")[i])) for i in range(_WORDS)), F.lit(0))
         near = (100 + self.percent) * apart <= (100 - self.percent) * (F.col("a_.n").cast("long") + F.col("b_.n"))
-        return pairs.join(node("a"), "a").join(node("b"), "b").where(near).select("a", "b")
+        total = (F.col("a_.n").cast("long") + F.col("b_.n")).alias("total")
+        pairs = pairs.join(node("a"), "a").join(node("b"), "b").where(near).select("a", "b", total)
+        for c in "ab":
+            fine = self.nodes.where("fine is not null").select(F.col("sig").alias(c), F.col("fine").alias(f"{c}_fine"))
+            pairs = pairs.join(fine, c, "left")
+        return pairs.select("a", "b", "total", "a_fine", "b_fine").mapInArrow(_near(self.percent), "a long, b long")
 
     def _leader_pairs(self, large: DataFrame) -> DataFrame:
         """a, rank, b: each node of a large group with its leaders b; a group's nodes are taken two neighbouring bands of length at a time.
@@ -298,6 +337,7 @@ class JaccardJoin:
         rows = large.select("key", "sig", "rank", "out", F.explode(F.array(band.cast("long"), band.cast("long") - 1)).alias("band"))
         lead = rows.groupBy("key", "band").agg(F.min(F.struct("rank", "sig")).alias("lead"), F.max("out").alias("any"))
         lead = staged(lead.where("any").select("key", "band", F.col("lead.sig").alias("b")), "jaccard-leaders")
+        self.passing.append(lead)
         pairs = rows.join(small(lead), ["key", "band"]).where("sig <> b")
         return pairs.select(F.col("sig").alias("a"), "b", "rank").distinct()
 
@@ -321,6 +361,7 @@ class JaccardJoin:
     def _items(self, sigs: DataFrame) -> DataFrame:
         """sig, items: the sets of these nodes, made again from one document of each."""
         wanted = staged(sigs.distinct().join(self.nodes.select("sig", "doc_id"), "sig"), "jaccard-wanted")
+        self.passing.append(wanted)
         ids = wanted.select("doc_id").distinct()
         total, with_id = wanted.agg(F.count(F.lit(1)), F.count("doc_id")).first()
         if total <= BROADCAST_IDS:
@@ -333,7 +374,9 @@ class JaccardJoin:
             texts = self.docs.where("doc_id is null").select("doc_id", "text").distinct()
             left = texts.mapInArrow(_sets(self.k), kinds).join(wanted.where("doc_id is null"), "sig", "left_semi")
             found = found.union(left.select("sig", "items").dropDuplicates(["sig"]))
-        return staged(found, "jaccard-items")
+        found = staged(found, "jaccard-items")
+        self.passing.append(found)
+        return found
 
     def _compared(self, pairs: DataFrame) -> DataFrame:
         """a, b, star, rank (of a), linked, n (of a), delta for pairs a, b, star, rank; each pair comes here once."""
@@ -346,6 +389,10 @@ class JaccardJoin:
         met = met.select("a", "b", "star", "rank", "a_items", "b_items")
         return staged(met.mapInArrow(_compare(self.percent), kinds), "jaccard-compared")
 
+    def _pass(self) -> None:
+        forget(*self.passing)
+        self.passing.clear()
+
     def link(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every document."""
         self.measure()
@@ -354,7 +401,11 @@ class JaccardJoin:
             small, large = self._grouped(rows)
             pairs = self._small_pairs(small).select("a", "b", F.lit(False).alias("star"), F.lit(None).cast("int").alias("rank"))
             pairs = pairs.union(self._leader_pairs(large).select("a", "b", F.lit(True), "rank"))
-            compared = self._compared(staged(pairs.groupBy("a", "b").agg(F.max("star").alias("star"), F.max("rank").alias("rank")), "jaccard-pairs"))
+            pairs = staged(pairs.groupBy("a", "b").agg(F.max("star").alias("star"), F.max("rank").alias("rank")), "jaccard-pairs")
+            self._pass()  # the groups, before the sets come
+            self.passing.append(pairs)
+            compared = self._compared(pairs)
+            self._pass()
             found = compared.where("linked").select("a", "b")
             links = found if links is None else links.union(found)
             if compared.where("star and not linked").isEmpty():

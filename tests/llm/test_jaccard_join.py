@@ -1,5 +1,6 @@
 """The n-gram Jaccard join against brute force."""
 
+import os
 import random
 import re
 from collections import defaultdict
@@ -7,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard_join
+from tessera.llm import common, jaccard_join
 from tessera.llm.connected import components
 from tessera.llm.jaccard_join import JaccardJoin, jaccard_components
 
@@ -196,3 +197,27 @@ def test_copies_in_several_tasks_make_no_groups(spark):
     join = JaccardJoin(df, 4, 85)
     join.measure()
     assert [x.count() for x in join._grouped(join.first_rows())] == [0, 0]
+
+
+def test_fine_parities_never_exceed_the_difference():
+    r = np.random.default_rng(6)
+    for _ in range(100):
+        pool = r.integers(0, 1 << 63, 6000).astype(np.uint64) * np.uint64(2)
+        n, m = (int(r.integers(512, 3000)) for _ in range(2))
+        x, y = np.unique(pool[:n]), np.unique(pool[n // 3 : n // 3 + m])
+        own = [jaccard_join.parities(s, 1 << (len(s) - 1).bit_length()).tobytes() for s in (x, y)]
+        assert jaccard_join.fine_bound(*own) == jaccard_join.fine_bound(*own[::-1]) <= len(np.setxor1d(x, y))
+
+
+def test_long_texts_that_share_a_third_are_not_verified_and_steps_leave_no_tables(spark):
+    r = random.Random(8)
+    new = lambda n: [f"q{r.randrange(10**9)}" for _ in range(n)]
+    passage = new(700)
+    rows = [(n, " ".join([*new(600 + 40 * n), *passage, *new(700)])) for n in range(12)]
+    df = spark.createDataFrame(rows + [(50, rows[3][1] + " and more")], "doc_id long, text string").repartition(3)
+    join, before = Noted(df, 5, 80), set(common._STAGED)
+    got = {x.doc_id: x.component_id for x in join.link().collect()}
+    assert got == {n: n for n in range(12)} | {50: 3}
+    assert join.pairs <= 5 and not join.passing
+    left = set(os.listdir(f"{common.shared_dir(spark)}/staged".removeprefix("file://"))) - {os.path.basename(p) for p in before}
+    assert left and not [p for p in left if re.match("jaccard-(groups|pairs|items|wanted|leaders)-", p)]

@@ -97,3 +97,11 @@ def test_texts_that_share_an_id_are_kept_apart(spark):
     c = [r for r in got if r[1] and r[1].startswith("c0 ")]
     assert len(a) == 1 and a[0][0] == 1 and len(c) == 1 and c[0][0] == 2
     assert sorted((r for r in got if r not in a + c), key=str) == sorted([(1, text("b")), (5, ""), (5, text("d")), (None, text("b"))], key=str)
+
+
+@need
+def test_texts_are_shuffled_once_to_keep_one_of_each_group(spark):
+    kept = pipe.keep_one_of_each_group(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert sum("row_key" in d for d in dealt) <= 2 and not any(d.startswith("row#") for d in dealt), dealt
