@@ -46,6 +46,7 @@ class Context:
         self.selects: dict[str, Expr] = {}
         self.pending: list[tuple[str, Any]] = []
         self.lateral = False
+        self.aggregated = True  # until it is known not to be
 
     # bindings
 
@@ -423,6 +424,7 @@ def lower(engine, query: Query, parent: Context | None = None, scope: dict[str,
     distinct_on = _distinct_on(query)
     sorting = _orders(query)
     aggregated = bool(groups) or bool(query.havings) or any(e.has_aggregate() for _, e in named)
+    ctx.aggregated = aggregated
     hidden = [] if query.combinations else [(f"__order_{i}", o.expr, o.direction) for i, o in enumerate(sorting)]
     if aggregated:
         df, named_columns, hidden_columns = _grouped(df, ctx, query, groups, named, hidden, distinct_on)

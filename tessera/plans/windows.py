@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.errors import CompileError, QueryError
 from tessera.plans.expr import Aggregate, Expr, Fragment, Order, WindowFunction, ordered, wrap
@@ -14,6 +15,8 @@ _BOUND = r"(UNBOUNDED PRECEDING|UNBOUNDED FOLLOWING|CURRENT ROW|(?:\d+|INTERVAL
 _FRAME = re.compile(
     rf"(ROWS|RANGE|GROUPS) (?:BETWEEN {_BOUND} AND {_BOUND}|{_BOUND})(?: EXCLUDE (CURRENT ROW|NO OTHERS|GROUP|TIES))?", re.IGNORECASE
 )
+#: A window over a whole table is ranked in ranges of about so many rows, and in so many ranges at most.
+RANGE_ROWS, MOST_RANGES = 1 << 18, 256
 _MICROS = {"week": 604_800_000_000, "day": 86_400_000_000, "hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000, "millisecond": 1000, "microsecond": 1}
 
 
@@ -85,7 +88,7 @@ def build_over(ctx, function: Expr, window):
     if isinstance(function, WindowFunction):
         if excluded != "NO OTHERS":
             raise QueryError("EXCLUDE is for sum and count only")
-        return _function(ctx, function, w, whole, terms, parts)
+        return _function(ctx, function, w, whole, terms, parts, orders(spec.get("order_by", [])))
     if isinstance(function, Aggregate):
         if function.distinct:
             return _count_distinct(ctx, function, w, whole, parts, terms, spec.get("frame") is not None and (kind, low, high))
@@ -144,10 +147,85 @@ def _shifted(ctx, value, offset, parts, ranked):
     return ctx.before_select_step(name, step)
 
 
-def _function(ctx, f: WindowFunction, w, whole, terms, parts):
+def _key_of(column, kind: T.DataType):
+    """A column in the same order whose values pass through Python unchanged, None where there is none."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column)
+    if isinstance(kind, T.StringType) and kind == T.StringType() or isinstance(kind, (T.IntegralType, T.DoubleType, T.FloatType, T.DecimalType, T.DateType, T.BooleanType)):
+        return column
+    return None
+
+
+def _before(terms, bound, kinds):
+    """Whether a row comes before the bound in the order of the terms, (column, direction)."""
+    out = F.lit(False)
+    for (key, direction), v, kind in reversed(list(zip(terms, bound, kinds))):
+        down = direction.startswith("desc")
+        nulls_first = direction.endswith("nulls_first") or down and not direction.endswith("nulls_last")
+        if v is None:
+            less, same = F.lit(False) if nulls_first else key.isNotNull(), key.isNull()
+        else:
+            at = F.lit(v).cast(kind)
+            less, same = F.coalesce(key > at if down else key < at, F.lit(nulls_first)), F.coalesce(key == at, F.lit(False))
+        out = less | same & out
+    return out
+
+
+def _ranked(ctx, name: str, sorting: list[Order]):
+    """row_number or rank over a whole table: numbers within ranges of the order, and how many rows the ranges before have.
+
+    Where a table has more than RANGE_ROWS rows a sample gives the ranges' bounds, so no task sorts the whole table. Rows
+    that are equal by all terms are in one range.
+    """
+    held = [ctx.before_select_name(o.expr.build(ctx)) for o in sorting]
+    out = ctx.before_select_name(F.lit(None))  # a name; the step below makes the column
+    ctx.pending.pop()
+
+    def step(df):
+        function = getattr(F, name)()
+        by = [ordered(F.col(h), o.direction) for h, o in zip(held, sorting)]
+        plain = df.withColumn(out, function.over(Window.orderBy(*by)).cast("long"))
+        keys = [_key_of(F.col(h), df.schema[h].dataType) for h in held]
+        plan = df._jdf.queryExecution().analyzed()
+        # the rows are read several times, so they must be the same each time
+        if any(k is None for k in keys) or not plan.deterministic() or re.search(r"Limit |Offset |Sample ", plan.toString()):
+            return plain
+        only = df.select(*[k.alias(h) for k, h in zip(keys, held)])
+        rows = only.count()
+        parts = min(-(-rows // RANGE_ROWS), MOST_RANGES)
+        if parts < 2:
+            return plain
+        sample = only.sample(min(1.0, 100 * parts / rows), 7).orderBy(*by).collect()
+        bounds = list(dict.fromkeys(tuple(sample[len(sample) * i // parts]) for i in range(1, parts))) if sample else []
+        terms = [(k, o.direction) for k, o in zip(keys, sorting)]
+        kinds = [only.schema[h].dataType for h in held]
+
+        def place(low: int, high: int):
+            if low == high:
+                return F.lit(low)
+            mid = (low + high) // 2
+            return F.when(_before(terms, bounds[mid], kinds), place(low, mid)).otherwise(place(mid + 1, high))
+
+        df = df.withColumn(f"{out}_range", place(0, len(bounds)))
+        sizes = df.groupBy(F.col(f"{out}_range").alias(f"{out}_of")).agg(F.count(F.lit(1)).alias(f"{out}_rows"))
+        up_to = F.sum(f"{out}_rows").over(Window.orderBy(f"{out}_of")) - F.col(f"{out}_rows")
+        skipped = sizes.select(f"{out}_of", up_to.alias(f"{out}_skip"))
+        within = function.over(Window.partitionBy(f"{out}_range").orderBy(*by))
+        numbered = df.repartition(parts, f"{out}_range").withColumn(out, within)
+        numbered = numbered.join(F.broadcast(skipped), F.col(f"{out}_range") == F.col(f"{out}_of"))
+        return numbered.withColumn(out, (F.col(out) + F.col(f"{out}_skip")).cast("long"))
+
+    return ctx.before_select_step(out, step)
+
+
+def _function(ctx, f: WindowFunction, w, whole, terms, parts, sorting):
     ranked = w if terms else whole.orderBy(F.lit(1))
     if f.name in ("percent_rank", "cume_dist"):
         return getattr(F, f.name)().over(ranked)
+    if f.name in ("row_number", "rank") and terms and not parts and ctx.parent is None and not ctx.aggregated:
+        return _ranked(ctx, f.name, sorting)
     if f.name in ("row_number", "rank", "dense_rank"):
         return getattr(F, f.name)().over(ranked).cast("long")
     if f.name == "ntile":

@@ -1,11 +1,17 @@
 """Registered queries that must take whole tables, against brute force at sf0.01."""
 
+import datetime as dt
 import os
+import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 
-from tessera.plans import registry, suite  # noqa: F401
+from tessera import Engine, from_
+from tessera.plans import registry, suite, suite_more, windows  # noqa: F401
+from tessera.plans.expr import rank, row_number
+from tessera.sources import folder
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -57,3 +63,23 @@ def test_insert_select_takes_rows_whose_keys_are_there(spark, tmp_path):
     part.write.parquet(f"{tmp_path}/part.parquet")
     got = sorted(tuple(r) for r in registry.QUERIES["insert_select"](spark, str(tmp_path)).collect())
     assert got == [(1, "one"), (1000001, "ONE"), (1000001, "two"), (1000002, "three"), (2000001, "TWO")]
+
+
+def test_rows_of_a_whole_table_are_numbered_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(windows, "RANGE_ROWS", 40)
+    r = random.Random(3)
+    rows = [(n, r.choice([None, "a", "b", "é", ""]), r.choice([None, 1.5, -0.0, 0.0, float("nan"), 7.25]), r.choice([None, *(dt.datetime(2000, 1, d, 3) for d in range(1, 9))])) for n in range(600)]
+    spark.createDataFrame(rows, "k long, s string, x double, t timestamp_ntz").write.parquet(f"{tmp_path}/t.parquet")
+    engine = Engine(spark, folder(spark, str(tmp_path)))
+    number = lambda f, by: from_("t").select(lambda t: {"k": t.k, "v": f.over(order_by=[(d, getattr(t, c)) for d, c in by])})
+    for by in ([("asc", "s"), ("desc", "k")], [("desc", "x"), ("asc_nulls_first", "t"), ("asc", "k")], [("desc_nulls_last", "t"), ("asc", "s"), ("asc", "k")], [("asc", "k")]):
+        for f, many in ((row_number(), by), (rank(), by[:1])):
+            query = number(f, many)
+            monkeypatch.setattr(windows, "MOST_RANGES", 1)
+            want = sorted(tuple(x) for x in engine.all(query).collect())
+            monkeypatch.setattr(windows, "MOST_RANGES", 256)
+            got = engine.all(query)
+            assert "_range" in got._jdf.queryExecution().analyzed().toString()
+            assert sorted(tuple(x) for x in got.collect()) == want
+    counted = from_("t").group_by(lambda t: t.s).select(lambda t: {"s": t.s, "v": row_number().over(order_by=[("desc", t.s)])})
+    assert {x.s: x.v for x in engine.all(counted).collect()} == {None: 1, "é": 2, "b": 3, "a": 4, "": 5}
