@@ -122,9 +122,12 @@ class Context:
             raise QueryError(f"nothing is selected as {name!r}")
         return self.selects[name]
 
-    def before_select(self, column: Column) -> Column:
-        """A column to be there before the select is built."""
-        return F.col(self.before_select_name(column))
+    def before_select(self, column: Column, first: bool = False) -> Column:
+        """A column to be there before the select is built; first: before the columns there are so far, which it must not use."""
+        name = self.before_select_name(column)
+        if first:
+            self.pending.insert(0, self.pending.pop())
+        return F.col(name)
 
     def before_select_name(self, column: Column) -> str:
         name = f"__pre_{next(_count)}"

@@ -63,7 +63,7 @@ def build_over(ctx, function: Expr, window):
     unknown = spec.keys() - {"partition_by", "order_by", "frame"}
     if unknown:
         raise CompileError(f"unknown window options {sorted(unknown)}")
-    parts = spec.get("partition_by", [])
+    parts, made = spec.get("partition_by", []), len(ctx.pending)
     parts = [wrap(p).build(ctx) for p in (parts if isinstance(parts, (list, tuple)) else [parts])]
     terms = [o.column(ctx) for o in orders(spec.get("order_by", []))]
     whole = Window.partitionBy(*parts)
@@ -91,7 +91,7 @@ def build_over(ctx, function: Expr, window):
         return _function(ctx, function, w, whole, terms, parts, orders(spec.get("order_by", [])))
     if isinstance(function, Aggregate):
         if function.distinct:
-            return _count_distinct(ctx, function, w, whole, parts, terms, spec.get("frame") is not None and (kind, low, high))
+            return _count_distinct(ctx, function, w, whole, parts, terms, spec.get("frame") is not None and (kind, low, high), made)
         value = function.build(ctx, over=True).over(w)
         if excluded == "NO OTHERS":
             return value
@@ -112,7 +112,7 @@ def build_over(ctx, function: Expr, window):
     raise CompileError("over() needs an aggregate or a window function")
 
 
-def _count_distinct(ctx, function: Aggregate, w, whole, parts, terms, frame):
+def _count_distinct(ctx, function: Aggregate, w, whole, parts, terms, frame, made: int):
     """Over whole partitions by ranks, over running frames by first occurrences; other frames gather what they hold."""
     value = function.arg.build(ctx)
     if function.condition is not None:
@@ -120,7 +120,9 @@ def _count_distinct(ctx, function: Aggregate, w, whole, parts, terms, frame):
     unbounded = (Window.unboundedPreceding, Window.unboundedFollowing)
     if not function.arg.has_aggregate():
         if not terms and not frame or frame and frame[1:] == unbounded:
-            place = ctx.before_select(F.dense_rank().over(whole.orderBy(value.asc_nulls_last())))
+            # before others, unless it uses columns made for it: the other windows' rows are in order then, and a task sorts them once
+            first = not terms and len(ctx.pending) == made
+            place = ctx.before_select(F.dense_rank().over(whole.orderBy(value.asc_nulls_last())), first)
             return F.coalesce(F.max(F.when(value.isNotNull(), place)).over(whole), F.lit(0)).cast("long")
         if terms and (not frame or frame[0] in ("ROWS", "RANGE") and frame[1:] == (Window.unboundedPreceding, Window.currentRow)):
             held = ctx.before_select(value)

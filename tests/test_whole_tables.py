@@ -83,3 +83,12 @@ def test_rows_of_a_whole_table_are_numbered_in_ranges(spark, tmp_path, monkeypat
             assert sorted(tuple(x) for x in got.collect()) == want
     counted = from_("t").group_by(lambda t: t.s).select(lambda t: {"s": t.s, "v": row_number().over(order_by=[("desc", t.s)])})
     assert {x.s: x.v for x in engine.all(counted).collect()} == {None: 1, "é": 2, "b": 3, "a": 4, "": 5}
+
+
+def sorts(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"\bSort \[", plan))
+
+
+def test_window_aggregates_sorts_its_rows_once(spark):
+    assert sorts(spark, "window_aggregates") == 1
