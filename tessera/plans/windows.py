@@ -102,7 +102,8 @@ def build_over(ctx, function: Expr, window):
             own = F.when(function.condition.build(ctx), own)
         gone, gone_sum = F.when(own.isNull(), 0).otherwise(1), F.coalesce(own, F.lit(0))
         if excluded in ("GROUP", "TIES"):
-            peers = Window.partitionBy(*parts, *[o.expr.build(ctx) for o in orders(spec.get("order_by", []))])
+            # by the order of the window itself, so that a task sorts its rows once
+            peers = whole.orderBy(*terms).rangeBetween(Window.currentRow, Window.currentRow) if terms else whole
             mine, mine_sum = (gone, gone_sum) if excluded == "TIES" else (F.lit(0), F.lit(0))
             gone, gone_sum = F.count(own).over(peers) - mine, F.coalesce(F.sum(own).over(peers), F.lit(0)) - mine_sum
         others = F.count(own).over(w) - gone

@@ -92,3 +92,7 @@ def sorts(spark, name):
 
 def test_window_aggregates_sorts_its_rows_once(spark):
     assert sorts(spark, "window_aggregates") == 1
+
+
+def test_window_exclude_group_sorts_its_rows_once(spark):
+    assert sorts(spark, "window_exclude_group") == 1
